@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import exact_dedup, mixing, sharding, warc
+from newsloom.llm import bpe, exact_dedup, fingerprint, mixing, sharding, simhash, substring_dedup, warc
 from newsloom.llm.common import table
 
 
@@ -27,11 +27,45 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_successors(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is, on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_exact_dedup, op6_mixing, op7_warc)}
+    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_exact_dedup, op5_simhash, op6_mixing, op7_warc, op8_fingerprint, op9_bpe)}
 
 
 SQL = {
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+        g AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM s JOIN d USING (doc_id)),
+        r AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS low FROM g) WHERE low < doc_id),
+        c AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS gone FROM r GROUP BY doc_id),
+        k AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN c USING (doc_id))
+        SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+               sha256(coalesce((SELECT string_agg(x.v, ' ' ORDER BY x.j) FROM (SELECT unnest(w) AS v, unnest(range(1, len(w) + 1)) AS j) x
+                                WHERE NOT list_contains(gone, x.j)), '')) AS kept_sha256
+        FROM k""",
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
