@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, exact_dedup, fingerprint, mixing, sharding, simhash, substring_dedup, warc
+from newsloom.llm import bpe, exact_dedup, fingerprint, licenses, mixing, sharding, simhash, substring_dedup, toxicity, warc
 from newsloom.llm.common import table
 
 
@@ -43,6 +43,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def vocabulary(name: str) -> str:
     """Where a public vocabulary file is, on every machine."""
     import public_tokenizers
@@ -51,7 +65,7 @@ def vocabulary(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_exact_dedup, op5_simhash, op6_mixing, op7_warc, op8_fingerprint, op9_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_exact_dedup, op4_licenses, op5_simhash, op6_mixing, op7_warc, op8_fingerprint, op9_bpe, op10_toxicity, pipeline)}
 
 
 SQL = {
