@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from newsloom.llm.common import bounded_batches
 
@@ -199,10 +200,8 @@ def score_documents(docs: DataFrame, chain: list[Linear], names: list[str], keep
             own = b.schema.names if keep else [id_column]
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, found)], [*own, *(f"{n}_probability" for n in names)])
 
-    schema = wanted.schema if keep else wanted.select(id_column).schema
-    for n in names:
-        schema = schema.add(f"{n}_probability", "double")
-    return wanted.mapInArrow(run, schema)
+    own = wanted.schema.fields if keep else [wanted.schema[id_column]]
+    return wanted.mapInArrow(run, StructType([*own, *(StructField(f"{n}_probability", DoubleType()) for n in names)]))
 
 
 def categories() -> dict[str, Column]:
@@ -219,4 +218,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, id_column: str = "doc_id") -> DataFrame:
     """docs without those that are toxic."""
     chain = train(docs, labels, categories(), sample, id_column)
-    return score_documents(docs, chain, list(categories()), True, id_column).where(F.col("toxic_probability") < threshold).select(*docs.columns)
+    scored = score_documents(docs, chain, [f"_{k}" for k in categories()], True, id_column)
+    return scored.where(F.col("_toxic_probability") < threshold).select(*docs.columns)
