@@ -41,20 +41,20 @@ def features(longest: int = 1, min_df: int = 5, vocabulary: int = 1 << 18) -> li
 
 
 MODELS = {
-    "linear_svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=50, regParam=0.01, rawPredictionCol="scores"), labelCol="target", weightCol="weight", rawPredictionCol="scores"),
-    "logistic_regression": lambda: LogisticRegression(maxIter=50, regParam=0.001, labelCol="target", weightCol="weight", rawPredictionCol="scores"),
-    "naive_bayes": lambda: NaiveBayes(labelCol="target", weightCol="weight", rawPredictionCol="scores"),
+    "linear_svm": lambda n: OneVsRest(classifier=LinearSVC(maxIter=n, regParam=0.01, rawPredictionCol="scores"), labelCol="target", weightCol="weight", rawPredictionCol="scores"),
+    "logistic_regression": lambda n: LogisticRegression(maxIter=n, regParam=0.001, labelCol="target", weightCol="weight", rawPredictionCol="scores"),
+    "naive_bayes": lambda _: NaiveBayes(labelCol="target", weightCol="weight", rawPredictionCol="scores"),
 }
 
 
-def train(df: DataFrame, label: str = "label", model: str = "linear_svm", balanced: bool = True, longest: int = 1, min_df: int = 5) -> PipelineModel:
+def train(df: DataFrame, label: str = "label", model: str = "linear_svm", balanced: bool = True, longest: int = 1, min_df: int = 5, rounds: int = 50) -> PipelineModel:
     """A model of tokens; save and load it as any PipelineModel."""
     rows = balanced_weights(df, label) if balanced else df.withColumn("weight", F.lit(1.0))
     indexer = StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
     names = IndexToString(inputCol="prediction", outputCol="label_found", labels=indexer.labels)
     stages = [SQLTransformer(statement=f"SELECT *, {float(len(indexer.labels))} AS classes FROM __THIS__"), *features(longest, min_df)]
     index = indexer.setOutputCol("target").transform(rows)
-    return Pipeline(stages=[*stages, MODELS[model](), names]).fit(index.where(F.col("target") < len(indexer.labels)))
+    return Pipeline(stages=[*stages, MODELS[model](rounds), names]).fit(index.where(F.col("target") < len(indexer.labels)))
 
 
 def predict(model: PipelineModel, df: DataFrame, text: str = "text") -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import pages, scores, text, urls
 from newsloom.operators import analytics, classify, dedup, evaluate, filters, graph, ingest, keywords, prepare, topics, trends
-from newsloom.plans.sql import KEYWORDS, NEWS, PREDICTIONS, TOKENS
+from newsloom.plans.sql import KEYWORDS, NEWS, PREDICTIONS
+from newsloom.session import materialize
 from newsloom.sources import tables
 from newsloom.sources.files import feed_items
 from newsloom.streaming.ingest import event_windows
@@ -630,7 +631,8 @@ def labelling_sheet(spark, sf_dir):
 @query()
 def predict_batch(spark, sf_dir):
     d = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
-    model = classify.train(classify.with_tokens(prepare.sample_per_class(d, "label", 100)))
+    rows = materialize(classify.with_tokens(prepare.sample_per_class(d, "label", 100)).coalesce(1), "training")  # 100 rows a class
+    model = classify.train(rows, rounds=10)
     return rounded(classify.predict(model, d).select("id", "label", "prediction", "score", "margin", "status"), "score", "margin")
 
 

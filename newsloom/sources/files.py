@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from newsloom.functions.pages import decode_bytes, parse_feed
 from newsloom.functions.text import tokens
@@ -85,7 +86,7 @@ def fetch(rows: DataFrame, get: Callable[[str], str], retries: int = 3, backoff:
         for b in batches:
             yield b.assign(page=[one(u) if u else None for u in b["url"]])
 
-    return rows.mapInPandas(run, rows.schema.add("page", "string"))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("page", StringType())]))
 
 
 def write_token_cache(docs: DataFrame, path: str, version: str, id_column: str = "id", text: str = "text") -> None:
