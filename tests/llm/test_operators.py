@@ -1,0 +1,370 @@
+"""Each operator against a plain version, on cases with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from newsloom.llm import bpe, exact_dedup, fingerprint, licenses, mixing, sharding, simhash, substring_dedup, toxicity, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, size string, part string, `order` string"
+
+
+def rows(seed=1, n=120):
+    """Documents with shared passages, copies, near copies and odd ones."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    passages = [[rng.choice(words) for _ in range(70)] for _ in range(4)]
+    texts = []
+    for i in range(n):
+        t = [rng.choice(words) for _ in range(rng.randint(0, 150))]
+        if i % 3 == 0:
+            p = rng.choice(passages)
+            a, b = rng.randint(0, 15), rng.randint(52, 70)
+            t[len(t) // 2 : len(t) // 2] = p[a:b]
+        texts.append(" ".join(t))
+    texts += [texts[3]] * 5 + [texts[6] + " tail"] + [None, "", "  \t\n", "A B", "Ünï  cödé\x0bx 日本 🙂", "w1 " * 5000, None, ""]
+    out = [(i, t, "en", f"s{i % 5}" if i % 7 else None, 0, i, "k", "z", "p", "o") for i, t in enumerate(texts)]
+    return out + [out[3], (None, texts[3], *out[3][2:]), (None, None, *out[3][2:])]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def plain():
+    return [(r[0], r[1]) for r in rows()]
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def same(got, want):
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_sharding(docs, plain, empty):
+    got = sharding.byte_shards(docs).collect()
+    last = float("inf")
+    ordered = sorted(((last if i is None else i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for i, t in plain))
+    total, at, slots, want = sum(r[2] for r in ordered), 0, defaultdict(int), []
+    for i, crc, size in ordered:
+        shard = 16 * (2 * at + size) // (2 * total)
+        want.append((None if i == last else i, size, crc, "bytes", shard, slots[shard], None))
+        slots[shard] += 1
+        at += size
+    same(got, want)
+    assert sharding.byte_shards(empty).count() == 0
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_exact_dedup(docs, plain, empty, largest, monkeypatch):
+    for least in (1000, 3):  # 3: some texts are hot
+        monkeypatch.setattr(exact_dedup, "HOT_LEAST", least)
+        groups = defaultdict(list)
+        for i, t in plain:
+            groups[t or ""].append(i)
+        key = lambda i: (i is not None, i or 0)
+        want = []
+        for t, ids in groups.items():
+            keep = (max if largest else min)(ids, key=key)
+            first = True
+            for i in ids:
+                want.append((i, keep, len(ids), i == keep and first, hashlib.sha256(t.encode()).hexdigest()))
+                first &= i != keep
+        same(exact_dedup.duplicate_groups(docs, largest=largest).collect(), want)
+        kept = exact_dedup.drop_duplicates(docs, largest=largest)
+        assert kept.columns == docs.columns
+        same(kept.select("doc_id", F.coalesce("text", F.lit(""))).collect(), [((max if largest else min)(ids, key=key), t) for t, ids in groups.items()])
+    assert exact_dedup.duplicate_groups(empty).count() == exact_dedup.drop_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("length", [50, 7])
+def test_substring_dedup(docs, plain, empty, length):
+    top = float("inf")
+    first = {}
+    split = [(top if i is None else i, (t or "").encode().split()) for i, t in plain]
+    for i, w in split:
+        for k in range(len(w) - length + 1):
+            h = tuple(w[k : k + length])
+            first[h] = min(first.get(h, top), i)
+    want = []
+    for i, w in split:
+        gone = {j for k in range(len(w) - length + 1) if first[tuple(w[k : k + length])] < i for j in range(k, k + length)}
+        want.append((None if i == top else i, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
+    same(substring_dedup.remove_repeats(docs, length).collect(), want)
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def brute_fingerprint(text):
+    w = (text or "").encode().translate(simhash.LOWER).split()
+    s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps):
+    out = {f: f for f in fps}
+
+    def find(f):
+        while out[f] != f:
+            f = out[f]
+        return f
+
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 2:
+                out[find(a)] = find(b)
+    return {f: find(f) for f in fps}
+
+
+def test_simhash(docs, plain, empty):
+    prints = {t: brute_fingerprint(t) for _, t in plain}
+    of = brute_components({*prints.values()})
+    least = {}
+    for i, t in plain:
+        c = of[prints[t]]
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    same(simhash.near_duplicates(docs).collect(), [(i, f"{prints[t]:016x}", least[of[prints[t]]]) for i, t in plain])
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted({r.doc_id for r in kept.select("doc_id").collect()}) == sorted(least.values())
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [256, 2])
+def test_near_pairs(spark, crowd):
+    rng = random.Random(crowd)
+    fps = {rng.getrandbits(64) for _ in range(200)}
+    for f in list(fps)[:40]:
+        for _ in range(12):
+            f ^= 1 << rng.randrange(64)
+            f ^= rng.choice([0, 1 << rng.randrange(64), 1 << rng.randrange(64) | 1 << rng.randrange(64)])
+            fps.add(f)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    pairs = simhash.near_pairs(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), crowd).collect()
+    mask = (1 << 64) - 1
+    assert all(((a ^ b) & mask).bit_count() <= 2 for a, b in pairs)
+    want, got = brute_components(fps), {f: f for f in fps}
+
+    def find(f):
+        while got[f] != f:
+            f = got[f]
+        return f
+
+    for a, b in pairs:
+        got[find(a & mask)] = find(b & mask)
+    shape = lambda m: {frozenset(f for f in fps if m(f) == r) for r in {m(f) for f in fps}}
+    assert shape(find) == shape(want.__getitem__)
+
+
+def test_mixing(docs, plain, empty):
+    got = mixing.mix(docs).collect()
+    size = lambda t: len((t or "").encode().split())
+    source = {}
+    for r in rows():
+        source[r[3]] = source.get(r[3], 0) + size(r[1])
+    names = sorted((s for s in source if s), key=str) + [None] * (None in source)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    left, free, target = 1.5 * sum(source.values()), set(names), {}
+    while True:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] >= 2 * source[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 2 * source[s]
+            left -= target[s]
+        free -= over
+    target |= {s: level * weight[s] for s in free}
+    of = {(r[0], size(r[1])): r[3] for r in rows()}
+    taken = defaultdict(int)
+    for r in got:
+        s = of[r.doc_id, r.size]
+        assert r.target == pytest.approx(target[s]) and r.source_size == source[s] and 0 <= r.taken <= 2 * r.size
+        taken[s] += r.taken
+    assert len(got) == len(rows()) and all(abs(taken[s] - target[s]) <= 1 for s in names)
+    same(got, map(tuple, mixing.mix(docs.repartition(3)).collect()))
+    many = mixing.mixed_documents(docs)
+    assert many.columns == docs.columns
+    words = many.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    longest = max(size(r[1]) for r in rows())
+    assert all(abs(r.n - target[r.source]) <= longest for r in words)
+    assert mixing.mix(empty).count() == mixing.mixed_documents(empty).count() == 0
+
+
+def test_warc(spark):
+    rng = random.Random(3)
+    long = ["".join(rng.choice("abcdefgh <>") for _ in range(1000 + 10 * i)) for i in range(30)]
+    pages = [(i, f"http://a/{i}", long[i % 30] if i % 4 else "short", "x") for i in range(200)] + [(500, None, None, "x"), (501, "u", "", "x"), (502, "u\r\nX: y", "é" * 600, "x"), (503, "u", "é" * 600, "x")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, digest string").repartition(3)
+    last = {}
+    for i, _, h, _ in pages:
+        last[h or ""] = max(i, last.get(h or "", -1))
+    want = []
+    for i, _, h, _ in pages:
+        data = (h or "").encode()
+        again = len(data) >= 1000 and last[h] != i
+        want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", last[h] if again else None))
+    same(warc.archive_pages(df).drop("url").collect(), want)
+    assert warc.archive_pages(df.where("page_id < 0")).count() == 0
+    twice = warc.archive_pages(df.where("page_id = 503").unionAll(df.where("page_id = 503"))).collect()
+    assert sorted((r.record_type, r.refers_to) for r in twice) == [("response", None), ("revisit", 503)]
+
+
+def test_archive_bytes():
+    records = [warc.record(i, f"http://a/{i}", f"<html>{i} common text of many pages {i * i}</html>" * 5, "d", "response", None) for i in range(300)]
+    data = warc.archive(records)
+    assert int.from_bytes(data[:4], "little") == warc.DICT_FRAME
+    assert [h["WARC-Record-ID"] for h, _ in warc.read_archive(data)] == [f"<urn:page:{i}>" for i in range(300)]
+    assert [b for _, b in warc.read_archive(warc.archive(records[:3]))][2].endswith(b"</html>")
+    assert warc.archive([]) == b"" and list(warc.read_archive(b"")) == []
+
+
+def brute_distance(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
+    return d[-1]
+
+
+def test_edit_distances():
+    rng = random.Random(5)
+    pairs = [(bytes(rng.choice(b"ABC") for _ in range(rng.randint(1, 64))), bytes(rng.choice(b"ABC") for _ in range(rng.randint(1, 64)))) for _ in range(200)]
+    assert list(fingerprint.edit_distances(pairs)) == [brute_distance(a, b) for a, b in pairs]
+
+
+def test_fingerprints(docs, plain, empty):
+    top = float("inf")
+    order = sorted(plain, key=lambda r: (top if r[0] is None else r[0], np.int64(0)))
+    got = {(r.doc_id, r.n_chars): r for r in fingerprint.compare_successors(docs).collect()}
+    known = [r for r in order if r[0] is not None and [x[0] for x in plain].count(r[0]) == 1]
+    at = {r[0]: k for k, r in enumerate(order)}
+    for i, t in known:
+        nxt = order[at[i] + 1]
+        if nxt[0] is None or [x[0] for x in plain].count(nxt[0]) > 1:
+            continue
+        t, following = t or "", nxt[1] or ""
+        k = len(t) // 4
+        changed = t[: len(t) - k] + following[:k]
+        r = got[i, len(t)]
+        assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert r.fingerprint == str(fingerprint.signature(t.encode())) and r.edited_fingerprint == str(fingerprint.signature(changed.encode()))
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert fingerprint.compare_successors(docs).count() == len(plain)
+    assert fingerprint.compare_successors(empty).count() == 0
+    one = fingerprint.compare_successors(docs.where("doc_id = 5")).first()
+    assert one.near_next == 1.0
+    rng = random.Random(2)
+    texts = [" ".join(str(rng.random()) for _ in range(300)).encode() for _ in range(20)]
+    a = [fingerprint.signature(t) for t in texts]
+    b = [fingerprint.signature(t[:2000] + b"an edit" + t[2000:]) for t in texts]
+    assert min(fingerprint.likeness(list(zip(a, b, strict=True)))) > 0.8 and max(fingerprint.likeness(list(zip(a, a[1:], strict=False)))) < 0.4
+
+
+def test_licenses(docs, plain, empty):
+    s = licenses.Scanner()
+    n, base, first, last, labels, every, free, score = s.scan("x Under the MIT-license, under THE mit License; CC BY NC sa. SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 AND ISC) OR apache-2.0\nx")
+    assert (base, first, last, labels, every, free) == (3, 1, 9, "cc-by-nc,mit", "apache-2,cc-by-nc,gpl,isc,mit", True) and 0.9 < score <= 1
+    assert s.scan("") == (0, 0, None, None, "", "", None, 0.0)
+    assert s.scan("apache license version 2.0 apache license version 20")[1:4] == (1, 0, 0)
+    assert s.scan("émit under the mit license")[:4] == (5, 1, 1, 1)
+    assert licenses.postfix("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
+    for bad in ("", "or a", "(a", "a)", "a and", "a or ( )"):
+        with pytest.raises(ValueError):
+            licenses.postfix(bad)
+    assert licenses.evaluate("mit and gpl-3.0") == (frozenset({"mit", "gpl"}), False)
+    assert licenses.evaluate("mit and or") == (frozenset({"mit"}), None)
+    assert licenses.scan_documents(docs).count() == len(plain) and licenses.scan_documents(empty).count() == 0
+
+
+def test_license_words():
+    s, rng = licenses.Scanner(), random.Random(4)
+    import re
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for _ in range(300):
+        t = "".join(rng.choice([" under the MIT license ", "apache license\nversion 2", "cc-by-nc", "é", ".", "x", " ", "2", "mit license"]) for _ in range(rng.randint(0, 30)))
+        w = word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        places = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p := phrase.split())] == p]
+        n, base, first, last, labels, *_ = s.scan(t)
+        assert (n, base) == (len(w), len(places))
+        assert (first, last) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert labels == ",".join(sorted({x[1] for x in places}))
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+def test_bpe(docs, plain, empty, vocabulary):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary)
+    lib.no_padding()
+    lib.no_truncation()
+    e = bpe.Encoder(vocabulary)
+    d = bpe.Decoder(e)
+    rng = random.Random(6)
+    parts = [t.replace("</w>", "") for t in e.vocab if t.isascii() and not t.startswith("<|")]
+    texts = [t or "" for _, t in plain] + ["a" * 5000, "ab" * 3000 + "é" * 700, "<|endoftext|>a<|startoftext|>", "İ Σας \x1cx\x85y it's 12½", "thethethe" * 500]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 600))) for _ in range(60)]
+    for t in texts:
+        ids = e.encode(t)
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert list(memoryview(ids).cast("I")) == want
+        assert "".join(d.joined(ids)) == lib.decode(want, skip_special_tokens=False)
+    assert "".join(d.plain(e.encode("naïve 日本 X"))) == "naïve 日本 x "
+    word = "".join(rng.choice(parts) for _ in range(900)).lower()
+    word = "".join(c for c in word if c.isalpha())
+    assert list(e.stream(e.letters[b] if k < len(word) - 1 else e.letters[b] + e.end for k, b in enumerate(word.encode()))) == e.merge([*word[:-1], word[-1] + e.end])
+    m = bpe.ByteToText()
+    assert [m.feed(b"\xf0\x9f"), m.feed(b"\x99\x82"), m.feed(b"\xff"), m.feed(b"\xc3"), m.finish()] == ["", "🙂", "�", "", "�"]
+    got = bpe.encode_documents(docs, vocabulary).collect()
+    want = [(i, len(x := lib.encode(t or "", add_special_tokens=False).ids), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(x, skip_special_tokens=False).encode()).hexdigest()) for i, t in plain]
+    same(got, want)
+    assert bpe.encode_documents(empty, vocabulary).count() == 0
+
+
+def test_toxicity(spark):
+    rng = random.Random(7)
+    words = [f"{a}{b}" for a in "bcdfghjkl" for b in ("ab", "ec", "id", "of", "ug")]
+    table = []
+    for i in range(600):
+        t = [rng.choice(words) for _ in range(rng.randint(5, 200))]
+        toxic = i % 5 == 0
+        if toxic:
+            t[1:1] = rng.sample(["vilest", "vilely", "nasty"], 2)
+        table.append((i, " ".join(t), 0 if i % 11 == 0 else 1, int(toxic)))
+    df = spark.createDataFrame(table, "doc_id long, text string, quality int, toxic int")
+    docs = df.select("doc_id", "text", F.lit("x").alias("toxic_probability"), F.lit(1).alias("quality")).unionByName(spark.createDataFrame([(None, None, "x", 1), (1000, "", "x", 1)], "doc_id long, text string, toxic_probability string, quality int"))
+    labels = df.where("doc_id < 300").select("doc_id", "quality", "toxic").unionByName(spark.createDataFrame([(3, None, None), (None, 1, 1), (5, 1, 1)], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.toxic for r in toxicity.classify(docs.select("doc_id", "text"), labels).collect()}
+    assert all(got[i] == bool(x) for i, _, _, x in table) and not got[None] and not got[1000]
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, x in got.items() if not x}
+    none = toxicity.classify(docs.select("doc_id", "text"), labels.where("doc_id < 0")).collect()
+    assert len(none) == 602 and not any(r.toxic for r in none)
+    assert toxicity.classify(docs.select("doc_id", "text").where("doc_id < 0"), labels).count() == 0
+
+
+def test_chain_learns_from_what_came_before():
+    rng = np.random.default_rng(8)
+    rows_ = [{f"word{c}" * 2 for c in map(chr, rng.integers(97, 117, 6))} for _ in range(400)]
+    y = np.array([["worda" * 2 in r, ("worda" * 2 in r) ^ (rng.random() < 0.02)] for r in rows_], int)
+    chain = toxicity.fit_chain(rows_, y)
+    assert chain[1].earlier[0] > 0.5
+    p = toxicity.predict(chain[1], rows_, toxicity.predict(chain[0], rows_, np.empty((400, 0)))[:, None])
+    assert ((p >= 0.5) == y[:, 1]).mean() > 0.95

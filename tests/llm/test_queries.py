@@ -1,0 +1,55 @@
+"""The registered queries against their SQL, and the pipeline against its stages, on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from newsloom.llm import queries
+
+
+def norm(v):
+    return f"{v:.9g}" if isinstance(v, float) else str(v)
+
+
+@pytest.fixture(scope="module")
+def duck(small):
+    c = duckdb.connect()
+    for f in os.listdir(small):
+        c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{small}/{f}'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"pipeline"}))
+def test_query(spark, small, duck, name):
+    df = queries.queries()[name](spark, small)
+    rows = df.collect()
+    assert len(rows) == (50 if name == "op7_warc" else 200)
+    if name in queries.SQL:
+        r = duck.execute(queries.SQL[name])
+        columns = sorted(c[0] for c in r.description)
+        at = [[c[0] for c in r.description].index(c) for c in columns]
+        assert columns == sorted(df.columns)
+        assert sorted(tuple(norm(x[c]) for c in columns) for x in rows) == sorted(tuple(norm(x[i]) for i in at) for x in r.fetchall())
+
+
+def test_pipeline(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    columns, ids = docs.columns, {r.doc_id for r in docs.collect()}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.collect()
+        docs = stage(spark, docs, small).cache()
+        after = docs.collect()
+        assert {r.doc_id for r in after} <= ids
+        if k < 4:
+            assert docs.columns == columns
+        if k == 1:  # exact copies: the largest identifier of each text stays
+            best = {}
+            for r in before:
+                best[r.text] = max(r.doc_id, best.get(r.text, -1))
+            assert sorted(r.doc_id for r in after) == sorted(best.values())
+        if k == 4:
+            assert len(after) == len(before)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, small).collect())) == sorted(map(tuple, after))
