@@ -54,7 +54,8 @@ def duplicate_groups(docs: DataFrame, text: Column | None = None, id_column: str
     groups = thin.groupBy("sha").agg(best(F.when(F.col("_rank") == 1, F.col("id"))).alias("keep_id"), F.count("*").alias("group_size"), (F.min("id") if largest else F.max(F.col("id").isNull())).alias("_least"))
     if not largest:  # a null identifier is the smallest
         groups = groups.withColumn("keep_id", F.when(~F.col("_least"), F.col("keep_id")))
-    return thin.join(groups, "sha").select(
+    # As tables of their own, so that Spark can split the join's partition of a large group.
+    return thin.join(materialize(groups, "groups"), "sha").select(
         F.col("id").alias(id_column),
         "keep_id",
         "group_size",
