@@ -189,17 +189,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id")
     texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), "text")
     found = materialize(scan(texts, length), "anchors")
     # Copies: the first of each class is searched.
-    classes = found.where(F.col("n_words") >= length).groupBy("sha").agg(F.min("id").alias("first"))
+    # Tables that are joined with hot keys are written first: Spark splits the partitions of a join of plain tables only.
+    classes = materialize(found.where(F.col("n_words") >= length).groupBy("sha").agg(F.min("id").alias("first")), "classes")
     first = found.where(F.col("n_words") >= length).join(classes, "sha").where("id = first").select("id", "sha", F.arrays_zip("places", "hashes").alias("a")).dropDuplicates(["sha"])
     anchors = materialize(first.select("id", "sha", F.explode("a").alias("a")).select("id", "sha", F.col("a.places").alias("place"), F.col("a.hashes").alias("hash")), "level1")
 
-    shared = anchors.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash")
+    shared = materialize(anchors.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash"), "shared")
     survivors = anchors.join(shared, "hash").groupBy("sha", "id").agg(F.collect_list("place").alias("places"))
     # By identifier alone the texts come with one shuffle; the hash of the words tells rows with one identifier apart.
     windows = materialize(extend(texts.join(survivors, "id").select("id", "sha", "places", "text"), length), "level2")
 
     each = windows.select("id", "sha", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("id", "sha", F.col("w.starts").alias("start"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
-    repeated = each.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
+    repeated = materialize(each.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"), "repeated")
     starts = each.join(repeated, ["h1", "h2"]).where("id > low").groupBy("sha").agg(F.collect_set("start").alias("starts"))
     changed = cut(windows.select("sha", "text").dropDuplicates(["sha"]).join(starts, "sha").select("sha", "text", "starts"), length)
 
