@@ -145,7 +145,7 @@ def components(docs: DataFrame, words: int = 3, seed: int = 42, id_column: str =
     labels = connected_components(near_pairs(classes.select("fp")))
     labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = labelled.join(least, "component").select("fp", "component_id")
+    of = materialize(labelled.join(least, "component").select("fp", "component_id"), "of")  # plain tables: Spark can split a hot fingerprint's partition
     return prints.join(of, "fp").select("id", "key", "fp", "component_id")
 
 
