@@ -7,9 +7,10 @@ The table holds each fingerprint's Hamming distances to many reference fingerpri
 and for each of BLOCKS blocks of bits the one with just these bits set. By the triangle inequality, fingerprints
 within radius differ by at most radius in every distance, and in what any two distances tell together: the
 distances to zero and to a block's pivot give the block's count of set bits, and the blocks' counts
-differ by at most radius in total. So if the blocks are dealt into GROUPS groups, the counts agree in at
-least GROUPS - radius of them, and only fingerprints that agree in some such choice of groups need be
-compared: an equi-join over choices of groups. Of the pairs it meets, those whose largest difference of
+differ by at most radius in total. So if the blocks are dealt into groups, the counts agree in all but
+radius of them at least, and only fingerprints that agree in some such choice of groups need be
+compared: an equi-join over choices of groups. There are four groups, or eight for so many fingerprints that
+choices of two of four would be crowded. Of the pairs it meets, those whose largest difference of
 distances is above radius are discarded, and the Hamming distance verifies the rest.
 
 A choice of groups that more than `crowd` fingerprints share would make too many pairs. Its fingerprints
@@ -39,7 +40,7 @@ from newsloom.session import materialize
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 LANES = np.uint64(0x0101010101010101)
-BLOCKS, GROUPS, RADIUS = 32, 4, 2
+BLOCKS, RADIUS = 32, 2
 
 
 def shingle_hashes(text: str, words: int = 3, seed: int = 42) -> np.ndarray:
@@ -96,23 +97,23 @@ def distance_table(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.array(*(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots())).alias("distances"))
 
 
-def choices() -> Column:
-    """For each choice of GROUPS - RADIUS groups: its number, and the blocks' counts in these groups.
+def choices(groups: int) -> Column:
+    """For each choice of all but RADIUS of groups: its number, and the blocks' counts in these groups.
 
     A block's count of set bits is half of the distance to zero plus the width less the distance to its pivot.
     """
-    width, per = 64 // BLOCKS, BLOCKS // GROUPS
+    width, per = 64 // BLOCKS, BLOCKS // groups
     zero = F.col("distances")[0]
     count = [((zero + F.lit(width) - F.col("distances")[b + 1]) / 2).cast("long") for b in range(BLOCKS)]
     packed = []
-    for g in range(GROUPS):
+    for g in range(groups):
         group = F.lit(0).cast("long")
         for c in count[g * per : (g + 1) * per]:
             group = group * (width + 1) + c
         packed.append(group)
     size = (width + 1) ** per
     keys = []
-    for n, chosen in enumerate(combinations(range(GROUPS), GROUPS - RADIUS)):
+    for n, chosen in enumerate(combinations(range(groups), groups - RADIUS)):
         key = F.lit(n).cast("long")
         for g in chosen:
             key = key * size + packed[g]
@@ -120,9 +121,11 @@ def choices() -> Column:
     return F.array(*keys)
 
 
-def near_pairs(fps: DataFrame, crowd: int = 256) -> DataFrame:
+def near_pairs(fps: DataFrame, crowd: int = 256, groups: int | None = None) -> DataFrame:
     """(left, right): links between distinct fingerprints within RADIUS bits, enough of them to join all that are linked."""
-    spread = materialize(distance_table(fps).withColumn("choice", F.explode(choices())), "pivots")
+    # Two of four groups tell 2^24 kinds of fingerprints apart, six of eight 2^36.
+    groups = groups or (4 if fps.count() < 1 << 28 else 8)
+    spread = materialize(distance_table(fps).withColumn("choice", F.explode(choices(groups))), "pivots")
     counts = materialize(spread.groupBy("choice").count().where("count > 1"), "choices")
     few = spread.join(counts.where(F.col("count") <= crowd).select("choice"), "choice")
     a, b = few.alias("a"), few.alias("b")

@@ -141,8 +141,8 @@ def test_simhash(docs, plain, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [256, 2])
-def test_near_pairs(spark, crowd):
+@pytest.mark.parametrize(("crowd", "groups"), [(256, 4), (256, 8), (2, 4)])
+def test_near_pairs(spark, crowd, groups):
     rng = random.Random(crowd)
     fps = {rng.getrandbits(64) for _ in range(200)}
     for f in list(fps)[:40]:
@@ -151,7 +151,7 @@ def test_near_pairs(spark, crowd):
             f ^= rng.choice([0, 1 << rng.randrange(64), 1 << rng.randrange(64) | 1 << rng.randrange(64)])
             fps.add(f)
     signed = lambda f: f - (1 << 64) if f >> 63 else f
-    pairs = simhash.near_pairs(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), crowd).collect()
+    pairs = simhash.near_pairs(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), crowd, groups).collect()
     mask = (1 << 64) - 1
     assert all(((a ^ b) & mask).bit_count() <= 2 for a, b in pairs)
     want, got = brute_components(fps), {f: f for f in fps}
