@@ -340,11 +340,17 @@ def pmi(spark, sf_dir):
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
 
 
-@query(rf"""WITH {GRAMS.replace("[1, 2, 3]", "[1, 2, 3, 4, 5]")}, ok AS (
-    SELECT * FROM g WHERE NOT list_contains({STOP}, lower(raw[1])) AND NOT list_contains({STOP}, lower(raw[-1])) AND regexp_matches(array_to_string(raw, ' '), '\p{{L}}')
-    AND len(list_filter(raw, lambda t: regexp_full_match(replace(replace(t, '.', ''), ',', ''), '\p{{Nd}}+'))) <= 1
-    AND NOT (n = 1 AND length(raw[1]) <= 2 AND NOT (regexp_matches(raw[1], '\p{{L}}') AND (regexp_matches(raw[1], '\p{{Nd}}') OR regexp_matches(raw[1], '^\p{{Lu}}')))))
-    SELECT id, lower(array_to_string(raw, ' ')) AS key, n, count(*) AS freq, arg_min(array_to_string(raw, ' '), pos) AS display FROM ok GROUP BY 1, 2, 3""")
+# Each token's properties once, and those of n-grams from slices of them.
+CANDIDATES = rf"""{WORDS}, t AS (
+    SELECT id, w, list_transform(w, lambda t: list_contains({STOP}, lower(t))) AS stop, list_transform(w, lambda t: regexp_matches(t, '\p{{L}}')) AS letter,
+           list_transform(w, lambda t: regexp_full_match(replace(replace(t, '.', ''), ',', ''), '\p{{Nd}}+')::INT) AS num,
+           list_transform(w, lambda t: length(t) <= 2 AND NOT (regexp_matches(t, '\p{{L}}') AND (regexp_matches(t, '\p{{Nd}}') OR regexp_matches(t, '^\p{{Lu}}')))) AS short FROM w
+), pos AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t), ok AS (
+    SELECT id, n, i - 1 AS pos, array_to_string(list_slice(w, i, i + n - 1), ' ') AS raw FROM pos, (SELECT unnest([1, 2, 3, 4, 5]) AS n)
+    WHERE i + n - 1 <= len(w) AND NOT stop[i] AND NOT stop[i + n - 1] AND NOT (n = 1 AND short[i]) AND list_bool_or(list_slice(letter, i, i + n - 1)) AND list_sum(list_slice(num, i, i + n - 1)) <= 1)"""
+
+
+@query(f"WITH {CANDIDATES} SELECT id, lower(raw) AS key, n, count(*) AS freq, arg_min(raw, pos) AS display FROM ok GROUP BY 1, 2, 3")
 def keyword_candidates(spark, sf_dir):
     return keywords.candidates(as_docs(spark, sf_dir)).drop("entity_like")
 
