@@ -28,6 +28,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -70,24 +71,42 @@ class Linear:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))
 
 
+def counted_features(words: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A document's features in order, and how many of its words have each."""
+    return np.unique(np.fromiter((f for w in words for f in features_of(w)), np.int32), return_counts=True)
+
+
 class Design:
-    """Training documents as arrays: (row, feature, count) of each feature that a row has, and the rows' lengths."""
+    """Training documents as flat arrays: (row, feature, count) of each feature that a row has, and the rows' lengths."""
+
+    def __init__(self, row: np.ndarray, feature: np.ndarray, count: np.ndarray, length: np.ndarray):
+        self.n, self.row, self.feature, self.count, self.length = len(length), row, feature, count, length
+
+    @staticmethod
+    def of_words(rows: list[set[str]]) -> Design:
+        found = [counted_features(words) for words in rows]
+        sizes = [len(f) for f, _ in found]
+        join = lambda i, kind: np.concatenate([x[i] for x in found] or [[]]).astype(kind)
+        return Design(np.repeat(np.arange(len(rows), dtype=np.int32), sizes), join(0, np.int32), join(1, np.float32), np.array([length_feature(len(w)) for w in rows]))
 
-    def __init__(self, rows: list[set[str]]):
-        found = [np.unique(np.fromiter((f for w in words for f in features_of(w)), np.int64), return_counts=True) for words in rows]
-        self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(f) for f, _ in found])
-        self.feature = np.concatenate([f for f, _ in found] or [np.empty(0, np.int64)])
-        self.count = np.concatenate([c for _, c in found] or [np.empty(0, np.int64)]).astype(np.float64)
-        self.length = np.array([length_feature(len(words)) for words in rows])
+    @staticmethod
+    def of_table(t: pa.Table) -> Design:
+        """From lists of features and counts, and numbers of words."""
+        flat = lambda c, kind: np.concatenate([x.flatten().to_numpy() for x in t.column(c).chunks] or [[]]).astype(kind)
+        sizes = np.array(pc.list_value_length(t.column("features")).to_pylist(), np.int64)
+        return Design(np.repeat(np.arange(t.num_rows, dtype=np.int32), sizes), flat("features", np.int32), flat("counts", np.float32), np.array([length_feature(n) for n in t.column("n").to_pylist()]))
 
     def part(self, inside: np.ndarray) -> Design:
         """The documents where inside is true."""
-        out = object.__new__(Design)
         keep = inside[self.row]
-        out.n, out.row = int(inside.sum()), (np.cumsum(inside) - 1)[self.row[keep]]
-        out.feature, out.count, out.length = self.feature[keep], self.count[keep], self.length[inside]
-        return out
+        return Design((np.cumsum(inside) - 1).astype(np.int32)[self.row[keep]], self.feature[keep], self.count[keep], self.length[inside])
+
+    def probabilities(self, model: Linear, earlier: np.ndarray) -> np.ndarray:
+        """What model.probability gives for each document."""
+        weights = np.zeros(SPACE, np.float32)
+        weights[list(model.weights)] = list(model.weights.values())
+        z = np.bincount(self.row, self.count * weights[self.feature], self.n) + model.length * self.length + model.intercept
+        return 1 / (1 + np.exp(-np.clip(z + earlier @ np.array(model.earlier).reshape(earlier.shape[1]), -40, 40)))
 
     def chosen(self, y: np.ndarray, most: int, least: float = 12.0) -> np.ndarray:
         """The features that tell the classes apart best, by chi-square over documents, and at least so much."""
@@ -107,7 +126,9 @@ def fit(design: Design, y: np.ndarray, earlier: np.ndarray, most: int = FEATURES
         share = (y.sum() + 1e-3) / (len(y) + 2e-3) if len(y) else 1e-3
         return Linear({}, 0.0, [0.0] * earlier.shape[1], float(np.log(share / (1 - share))))
     chosen = design.chosen(y, most)
-    keep = np.isin(design.feature, chosen)
+    is_chosen = np.zeros(SPACE, bool)
+    is_chosen[chosen] = True
+    keep = is_chosen[design.feature]
     cols, at, counts = np.searchsorted(chosen, design.feature[keep]), design.row[keep], design.count[keep]
     dense = np.column_stack([design.length, earlier, np.ones(design.n)])
     w, v = np.zeros(len(chosen)), np.zeros(dense.shape[1])
@@ -124,29 +145,24 @@ def fit(design: Design, y: np.ndarray, earlier: np.ndarray, most: int = FEATURES
     return Linear({int(f): float(x) for f, x in zip(chosen, w, strict=True)}, float(v[0]), [float(x) for x in v[1:-1]], float(v[-1]))
 
 
-def predict(model: Linear, rows: list[set[str]], earlier: np.ndarray) -> np.ndarray:
-    return np.array([model.probability(sum(map(model.word, r)), len(r), list(e)) for r, e in zip(rows, earlier, strict=True)])
-
-
-def fit_chain(rows: list[set[str]], labels: np.ndarray, folds: int = FOLDS) -> list[Linear]:
+def fit_chain(design: Design, labels: np.ndarray, folds: int = FOLDS) -> list[Linear]:
     """A model for each column of labels; each sees out-of-fold probabilities of those before it."""
-    chain, earlier, design = [], np.empty((len(rows), 0)), Design(rows)
-    fold = np.arange(len(rows)) % folds
+    chain, earlier = [], np.empty((design.n, 0))
+    fold = np.arange(design.n) % folds
     for k in range(labels.shape[1]):
         y = labels[:, k]
         chain.append(fit(design, y, earlier))
         if k + 1 < labels.shape[1]:
-            out = np.zeros(len(rows))
+            out = np.zeros(design.n)
             for f in range(folds):
-                inside, outside = fold != f, np.flatnonzero(fold == f)
-                part = fit(design.part(inside), y[inside], earlier[inside])
-                out[outside] = predict(part, [rows[i] for i in outside], earlier[outside])
+                part = fit(design.part(fold != f), y[fold != f], earlier[fold != f])
+                out[fold == f] = design.part(fold == f).probabilities(part, earlier[fold == f])
             earlier = np.column_stack([earlier, out])
     return chain
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int, id_column: str) -> list:
-    """(words, labels...) of at most sample documents of each class of each category."""
+def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int, id_column: str) -> DataFrame:
+    """(features, counts, n, labels...) of at most sample documents of each class of each category; features are made on the executors."""
     each = labels.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(*(F.max(c.cast("int")).alias(k) for k, c in categories.items())).dropna()
     each = each.withColumn("order", F.xxhash64(F.col(id_column), F.lit(SEED)))
     picked = None
@@ -155,14 +171,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
             some = each.where(F.col(k) == value).orderBy("order", id_column).limit(sample)
             picked = some if picked is None else picked.unionAll(some)
     picked = picked.distinct().drop("order")  # at most 2 * sample * categories rows
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    return docs.join(F.broadcast(picked), id_column).select(words.alias("words"), *categories).where("words is not null").orderBy(F.xxhash64(id_column, F.lit(SEED + 1)), F.xxhash64("words")).collect()
+    picked = docs.select(id_column, "text").join(F.broadcast(picked), id_column).where("text is not null")
+    picked = picked.select("text", F.xxhash64(id_column, F.lit(SEED + 1)).alias("first"), F.xxhash64("text").alias("second"), *categories)
+
+    names = list(categories)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [distinct_words(t) for t in map(pa.StringScalar.as_py, b.column("text"))]
+            found = [counted_features(w) for w in words]
+            rest = [b.column(c) for c in ("first", "second", *names)]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32())), pa.array([len(w) for w in words], pa.int32()), *rest], ["features", "counts", "n", "first", "second", *names])
+
+    schema = "features array<int>, counts array<int>, n int, first long, second long, " + ", ".join(f"{k} int" for k in categories)
+    return picked.mapInArrow(run, schema).orderBy("first", "second").drop("first", "second")
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, id_column: str = "doc_id") -> list[Linear]:
-    rows = training_rows(docs, labels, categories, sample, id_column)
-    y = np.array([[r[k] for k in categories] for r in rows], np.int64).reshape(len(rows), len(categories))
-    return fit_chain([set(r.words) for r in rows], y)
+    bounded_batches(docs.sparkSession)
+    t = training_rows(docs, labels, categories, sample, id_column).toArrow()
+    y = np.column_stack([np.array(t.column(k).to_pylist(), np.int64) for k in categories])
+    return fit_chain(Design.of_table(t), y)
 
 
 def score_documents(docs: DataFrame, chain: list[Linear], names: list[str], keep: bool = False, id_column: str = "doc_id") -> DataFrame:

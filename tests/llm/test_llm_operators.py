@@ -364,7 +364,11 @@ def test_chain_learns_from_what_came_before():
     rng = np.random.default_rng(8)
     rows_ = [{f"word{c}" * 2 for c in map(chr, rng.integers(97, 117, 6))} for _ in range(400)]
     y = np.array([["worda" * 2 in r, ("worda" * 2 in r) ^ (rng.random() < 0.02)] for r in rows_], int)
-    chain = toxicity.fit_chain(rows_, y)
+    design = toxicity.Design.of_words(rows_)
+    chain = toxicity.fit_chain(design, y)
     assert chain[1].earlier[0] > 0.5
-    p = toxicity.predict(chain[1], rows_, toxicity.predict(chain[0], rows_, np.empty((400, 0)))[:, None])
+    first = design.probabilities(chain[0], np.empty((400, 0)))
+    p = design.probabilities(chain[1], first[:, None])
     assert ((p >= 0.5) == y[:, 1]).mean() > 0.95
+    one = chain[1].probability(sum(map(chain[1].word, rows_[7])), len(rows_[7]), [first[7]])
+    assert one == pytest.approx(p[7], abs=1e-5)
