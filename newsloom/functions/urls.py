@@ -22,7 +22,7 @@ def normalize_url(url: Column) -> Column:
     base, query = F.regexp_extract(u, r"(?s)^([^?]*)", 1), F.regexp_extract(u, r"(?s)\?(.*)$", 1)
     name = lambda p: F.regexp_extract(p, r"(?s)^([^=]*)", 1)
     value = lambda p: F.regexp_extract(p, r"(?s)=(.*)$", 1)
-    again = lambda x: F.replace(F.url_encode(F.try_url_decode(x)), F.lit("*"), F.lit("%2A"))
+    again = lambda x: F.replace(F.replace(F.url_encode(F.try_url_decode(x)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     plain = lambda p: F.lower(F.try_url_decode(name(p)))
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~plain(p).startswith("utm_") & ~plain(p).isin(*TRACKING))
     params = F.array_join(F.transform(kept, lambda p: F.concat(again(name(p)), F.lit("="), again(value(p)))), "&")
