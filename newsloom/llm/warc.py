@@ -44,7 +44,8 @@ def decide(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.sha2(payload, 256).alias("sha"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
     thin = keyed.where(F.col("bytes") >= least_bytes)
     last = thin.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = keyed.join(last, "sha", "left")
+    # A table of its own: Spark can split the partition of a payload that very many pages have.
+    rows = keyed.join(materialize(last, "last"), "sha", "left")
     # Of rows repeated with the last page_id, one is the response; such rows are few beside their group.
     again = Window.partitionBy("sha", "page_id", F.when(~F.col("page_id").eqNullSafe(F.col("last")) | (F.col("bytes") < least_bytes) | F.col("last").isNull(), F.monotonically_increasing_id())).orderBy(F.lit(0))
     rows = rows.withColumn("nth", F.row_number().over(again))
