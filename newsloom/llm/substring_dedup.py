@@ -204,7 +204,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id")
     starts = each.join(repeated, ["h1", "h2"]).where("id > low").groupBy("sha").agg(F.collect_set("start").alias("starts"))
     changed = cut(windows.select("sha", "text").dropDuplicates(["sha"]).join(starts, "sha").select("sha", "text", "starts"), length)
 
-    rows = found.select("id", "n_words", "sha").join(classes, "sha", "left").join(changed, "sha", "left")
+    of = materialize(classes.join(changed, "sha", "left"), "of")
+    rows = found.select("id", "n_words", "sha").join(of, "sha", "left")
     copy = F.col("id") > F.col("first")  # null: no window
     return rows.select(
         F.when(F.col("id") < NO_ID, F.col("id")).alias(id_column),
