@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from newsloom.llm import bpe, exact_dedup, mixing, near_copies, toxicity
 from newsloom.llm.common import table
 from newsloom.llm.queries import vocabulary
 from newsloom.session import materialize
@@ -21,8 +21,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, the document with the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of near copies (0.8 or more of five-word shingles in common, and what these link), the document with the smallest doc_id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ least that is not null; repeated rows are in one class; an empty table gives non
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -144,8 +144,13 @@ def near_pairs(fps: DataFrame, crowd: int = 256, groups: int | None = None) -> D
 def components(docs: DataFrame, words: int = 3, seed: int = 42, id_column: str = "doc_id") -> DataFrame:
     """(id, key, fp, component_id) for each document."""
     prints = materialize(fingerprints(docs, words, seed, id_column), "fingerprints")
+    return grouped(prints, lambda p: near_pairs(p.select("fp").distinct()))
+
+
+def grouped(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, key, fp, component_id) for each of prints, whose fps links(prints) joins."""
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    labels = connected_components(near_pairs(classes.select("fp")))
+    labels = connected_components(links(prints))
     labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     of = materialize(labelled.join(least, "component").select("fp", "component_id"), "of")  # plain tables: Spark can split a hot fingerprint's partition
@@ -158,11 +163,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_column:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_column: str = "doc_id") -> DataFrame:
-    """docs with one document of each group, that with the least id (and then the least text hash).
+    """docs with one document of each group, that with the least id (and then the least text hash)."""
+    return drop_groups(docs, components(docs, words, seed, id_column), id_column)
+
+
+def drop_groups(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """docs with one document of each of groups (id, key, component_id).
 
     Only identifiers and hashes of the documents that go are joined.
     """
-    found = materialize(components(docs, words, seed, id_column), "components")
+    found = materialize(groups, "components")
     least = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("stays"))
     stays = least.select(F.col("component_id").alias("_c"), F.col("stays.id").alias("_id"), F.col("stays.key").alias("_key"))
     gone = found.join(stays, F.col("component_id").eqNullSafe(F.col("_c"))).where(~(F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, exact_dedup, fingerprint, licenses, mixing, sharding, simhash, substring_dedup, toxicity, warc
+from newsloom.llm import bpe, exact_dedup, fingerprint, licenses, mixing, near_copies, sharding, simhash, substring_dedup, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, size string, part string, `order` string"
 
@@ -141,6 +141,43 @@ def test_simhash(docs, plain, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def near_texts(seed=2):
+    """Texts with edited copies of all degrees, chains of them, and a line that most share."""
+    rng = random.Random(seed)
+    words, line = [f"w{i}" for i in range(400)], " ".join(f"hot{i}" for i in range(12))
+    texts = [None, "", " \t", "one two", "One two", "one two three", "a b c d e f", "a b c d e g"]
+    for _ in range(12):
+        t = [rng.choice(words) for _ in range(rng.randint(5, 160))]
+        for _ in range(8):
+            texts.append(" ".join([*t, line] if rng.random() < 0.6 else t))
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            t = t[: len(t) - rng.randint(0, 2)] or ["x"]
+    return texts
+
+
+def test_near_copies(spark):
+    import corpus_pipeline
+
+    texts = near_texts()
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    least = list(range(len(texts)))
+    linked = [(i, j) for i in least for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len([p for p in linked if len(sets[p[0]] ^ sets[p[1]]) > 2]) > 20
+    for _ in texts:
+        for i, j in linked:
+            least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.id: r.component_id for r in near_copies.components(docs).collect()}
+    assert got == dict(enumerate(least))
+    kept = corpus_pipeline.drop_near(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
+    assert near_copies.components(docs.where("doc_id < 0")).count() == 0
+
+
 @pytest.mark.parametrize(("crowd", "groups"), [(256, 4), (256, 8), (2, 4)])
 def test_near_pairs(spark, crowd, groups):
     rng = random.Random(crowd)
