@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import strip
+from newsloom.session import materialize
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -33,23 +34,30 @@ def deduplicate(df: DataFrame, position: str = "pos", url: str = "url", text: st
 def insert_status(batch: DataFrame, existing: DataFrame, position: str = "pos") -> DataFrame:
     """batch with status CREATED, DUPLICATE_URL or DUPLICATE_CONTENT, as if inserted row by row.
 
-    A row repeats an existing URL or content hash, or one of an earlier row of the batch. A row is refused by its URL first.
-    Earlier means the first row of the batch with that URL or hash, whether or not it was refused itself;
-    that row's own URL or hash exists then, or its content does, except for a hash first seen in a row refused by its URL,
-    which a second step settles.
+    A row repeats an existing URL or content hash, or one of an earlier row of the batch that was created. A row is refused by its URL first.
+    In each round the rows that are the first undecided ones of their URL and of their hash are created, and the others of these URLs and
+    hashes are refused; refused rows store nothing, so the next round is without them. Each round is a written table.
     """
     urls = existing.select(F.col("url")).distinct().withColumn("_url", F.lit(True))
     hashes = existing.select(F.col("content_hash")).distinct().withColumn("_hash", F.lit(True))
-    rows = batch.join(urls, "url", "left").join(hashes, "content_hash", "left")
-    w = Window.partitionBy("url").orderBy(position)
-    # A row whose content exists is not inserted, so it does not make its URL exist.
-    free = F.col("_hash").isNull()
-    rows = rows.withColumn("_before", F.coalesce(F.max(free.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1)
-    rows = rows.withColumn("_by_url", F.col("_url").isNotNull() | F.col("_before"))
-    v = Window.partitionBy("content_hash").orderBy(position)
-    inserted = F.max((~F.col("_by_url")).cast("int")).over(v.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_by_hash", F.col("_hash").isNotNull() | (F.coalesce(inserted, F.lit(0)) == 1))
-    status = F.when(F.col("_by_url"), "DUPLICATE_URL").when(F.col("_by_hash"), "DUPLICATE_CONTENT").otherwise("CREATED")
+    rows = batch.join(urls, "url", "left").join(hashes, "content_hash", "left").withColumn("_n", F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("_at", F.struct(position, "_n")), "rows")
+    left, created = rows.where("_url is null and _hash is null").select("_at", "url", "content_hash"), None
+    by_url, by_hash = Window.partitionBy("url"), Window.partitionBy("content_hash")
+    while True:
+        first = (F.col("_at") == F.min("_at").over(by_url)) & (F.col("_at") == F.min("_at").over(by_hash))
+        left = left.withColumn("_new", first)
+        left = materialize(left.withColumn("_known", F.max("_new").over(by_url) | F.max("_new").over(by_hash)), "decided")
+        new = left.where("_new").select("_at", "url", "content_hash")
+        created = new if created is None else created.unionAll(new)
+        left = left.where("not _known").select("_at", "url", "content_hash")
+        if left.isEmpty():
+            break
+    rows = rows.join(created.select(F.col("_at._n").alias("_n"), F.lit(True).alias("_new")), "_n", "left").withColumn("_new", F.col("_new").isNotNull())
+    # At most one row of a URL is created.
+    earlier = F.min(F.when(F.col("_new"), F.col("_at"))).over(by_url)
+    by = F.col("_url").isNotNull() | F.coalesce(earlier < F.col("_at"), F.lit(False))
+    status = F.when(F.col("_new"), "CREATED").when(by, "DUPLICATE_URL").otherwise("DUPLICATE_CONTENT")
     return rows.withColumn("status", status).select(*batch.columns, "status")
 
 

@@ -64,6 +64,24 @@ def test_insert_status(spark):
     assert got == {1: "DUPLICATE_URL", 2: "DUPLICATE_CONTENT", 3: "CREATED", 4: "DUPLICATE_URL", 5: "DUPLICATE_CONTENT", 6: "CREATED", 7: "CREATED"}
 
 
+def test_insert_status_row_by_row(spark):
+    import random
+
+    rng = random.Random(3)
+    old = [("u1", "h1"), ("u2", "h2")]
+    batch = [(1, "a", "x"), (2, "b", "x"), (3, "b", "y")] + [(i, f"u{rng.randint(0, 40)}", f"h{rng.randint(0, 40)}") for i in range(4, 150)]
+    urls, hashes, want = {u for u, _ in old}, {h for _, h in old}, {}
+    for i, u, h in batch:
+        want[i] = "DUPLICATE_URL" if u in urls else "DUPLICATE_CONTENT" if h in hashes else "CREATED"
+        if want[i] == "CREATED":
+            urls.add(u)
+            hashes.add(h)
+    kind = "url string, content_hash string"
+    rows = spark.createDataFrame(batch, f"pos int, {kind}").repartition(3)
+    assert want[3] == "CREATED" and {r.pos: r.status for r in dedup.insert_status(rows, spark.createDataFrame(old, kind)).collect()} == want
+    assert dedup.insert_status(rows.where("pos < 0"), spark.createDataFrame([], kind)).count() == 0
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "news_id int, keyword string, n int")
     new = spark.createDataFrame([(1, "a", 5, 1), (1, "a", 6, 2), (2, "c", 7, 1)], "news_id int, keyword string, n int, at int")
