@@ -66,8 +66,8 @@ def feed_items(files: DataFrame, source: str | None = None) -> DataFrame:
     return files.select("data").mapInPandas(run, ITEM).withColumn("source", F.lit(source))
 
 
-def fetch(rows: DataFrame, get: Callable[[str], str], retries: int = 3, backoff: float = 1.0, longest: float = 8.0, most_chars: int = 40_000) -> DataFrame:
-    """rows (with url) and page: what get(url) gives, cut to most_chars; null where it fails to the end.
+def fetch(rows: DataFrame, get: Callable[[str], str], retries: int = 3, backoff: float = 1.0, longest: float = 8.0, most_chars: int | None = None) -> DataFrame:
+    """rows (with url) and page: what get(url) gives, whole unless most_chars is given; null where it fails to the end.
 
     get runs on the executors and raises on failure. An exception's retry_after (seconds) is waited for; else the waits double.
     """

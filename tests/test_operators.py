@@ -89,6 +89,11 @@ def test_upsert(spark):
     assert {(r.news_id, r.keyword): r.n for r in got} == {(1, "a"): 6, (1, "b"): 2, (2, "c"): 7}
 
 
+def test_fetch_whole_page(spark):
+    page = "<p>" + "x" * 60_000
+    assert files.fetch(spark.createDataFrame([("u",)], "url string"), lambda url: page).first().page == page
+
+
 def test_feeds_and_fetch(spark):
     t = ingest.feeds(spark)
     assert [r.name for r in ingest.resolve_feeds(t, [" TuoiTre "]).collect()] == ["tuoitre"]
