@@ -1,17 +1,23 @@
 """BPE encoding as a streaming transducer with bounded lookahead, and incremental decoding.
 
-How far the right context of a token can reach is computed from the merge list (`sufficient_lookahead`). A word
-is read symbol by symbol into a buffer; the tokens of the buffer that end at least that far from its end
-can't change any more and are given out, so the memory is bounded by the lookahead, whatever the length
-of the word. Text is split into chunks without white space, which no word crosses; the ids of short
-chunks and words are remembered in tables of bounded size.
+Text is fed in pieces. It is cut into chunks without white space, these into words, and a word is a run of symbols that
+the transducer reads one by one. It keeps, for each prefix of the word that it still holds, the last token of that prefix's
+encoding. A prefix's last token is the one token that ends there and stands beside the last token of
+what is before it as merging would leave them (`Merges.beside`), so a symbol costs a bounded number of steps
+and nothing is ever merged again. How far the right context of a token can reach is computed from the merge list
+(`sufficient_lookahead`): tokens that end at least that far from the end can't change any more and are given out, so
+the memory is bounded by the lookahead, whatever the length of the word. The ids of short chunks and words, as the transducer
+gave them, are remembered in tables of bounded size.
 
 Decoding is a state machine that takes token bytes one after the other and gives out text as soon as it
-is whole, with U+FFFD for bytes that are no UTF-8.
+is whole, with U+FFFD for bytes that are no UTF-8. The encoder feeds it as it goes.
+
+Letters and digits are those of Unicode 16, lower case is that of Unicode 17, as in the tokenizers library: Python's tables (15.1), and
+what later versions added, as fixed values. Every code point is encoded as the library does.
 
 Cases: a null text is empty; an empty text has no ids; strings of special tokens in a text become these tokens;
-control characters that are no white space are words; repeated rows are encoded each for itself;
-other columns are ignored.
+control characters that are no white space are words; characters that compose with those before them are held until one
+comes that doesn't; repeated rows are encoded each for itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,23 +25,71 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
+import sys
 import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import bounded_batches
 
-#: White space of Unicode; str.split() would split at the four ASCII separators too.
-SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-SEPARATORS = regex.compile("[\x1c-\x1f]")
-SHORT, REMEMBERED = 64, 1 << 19
+#: White space of Unicode, which is that of str.split() but for the four ASCII separators.
+SPACE = "\t-\r \x85\xa0  -     　"
+SPACES = re.compile(f"[{SPACE}]+")
+SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Letters and digits that Unicode 16 added, as ranges, and lower-case forms that Unicode 16 and 17 added.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_DIGITS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: Characters of a chunk that is remembered, chunks that are, and characters of a piece.
+SHORT, REMEMBERED, PIECE = 64, 1 << 19, 1 << 16
+
+
+def ranges(inside: Callable[[str], bool], more: list[tuple[int, int]]) -> str:
+    """The characters that are inside, and more, as ranges of a character class."""
+    out, start = [f"\\U{a:08x}-\\U{b:08x}" for a, b in more], None
+    for c in range(sys.maxunicode + 2):
+        if c <= sys.maxunicode and inside(chr(c)):
+            start = c if start is None else start
+        elif start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+@lru_cache(1)
+def composing() -> frozenset[str]:
+    """Characters that may compose with one before them, though they are no marks: those behind the first of a decomposition, and Hangul's."""
+    out = {chr(c) for a, b in ((0x1161, 0x1176), (0x11A8, 0x11C3)) for c in range(a, b)}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        d = unicodedata.decomposition(c)
+        if d and d[0] != "<":
+            out.update(chr(int(x, 16)) for x in d.split()[1:])
+    return frozenset(out)
+
+
+def settled(text: str) -> int:
+    """How much of text can be composed before what follows is known: up to the last character that no mark or part can be."""
+    for i in range(len(text) - 1, -1, -1):
+        if text[i] < "\x80" or (not unicodedata.combining(text[i]) and text[i] not in composing()):
+            return i
+    return 0
+
+
+def folded(text: str) -> str:
+    """Composed, in lower case, each character for itself."""
+    return text.lower() if text.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", text))).translate(NEW_LOWER)
 
 
 def byte_letters() -> list[str]:
@@ -89,8 +143,109 @@ def sufficient_lookahead(merges: list[tuple[str, str]], symbols: dict[str, int])
     return most + 1
 
 
+class Merges:
+    """A merge list, and how its tokens come about."""
+
+    def __init__(self, merges: list[tuple[str, str]], symbols: list[str]):
+        self.rank = {pair: i for i, pair in enumerate(merges)}
+        #: Each token that merging its own symbols gives: the rank of its last merge and the two parts; a symbol has none.
+        self.made: dict[str, tuple[int, str, str] | None] = dict.fromkeys(symbols)
+        for i, (a, b) in enumerate(merges):
+            # Merging has one outcome, so of several merges that spell a token at most one is its own.
+            if a in self.made and b in self.made and a + b not in self.made and not self.crossed(a, b, i):
+                self.made[a + b] = (i, a, b)
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def crossed(self, a: str, b: str, rank: int | None = None) -> bool:
+        """Whether a merge joins a's end to b's start before both are whole and used up; rank: that of their own merge, which isn't one.
+
+        Backwards in time, of the two tokens at the border the one made last is undone, of equals the right one. What stands
+        there merges if its rank comes before those by which the left (an equal merge there is further left, so it comes first)
+        and the right are used up.
+        """
+        never = len(self.rank)
+        left = right = never if rank is None else rank
+        while True:
+            r = self.rank.get((a, b), never)
+            if r < left and r <= right:
+                return True
+            x, y = self.made[a], self.made[b]
+            if y is not None and (x is None or x[0] <= y[0]):
+                right, b, _ = y
+            elif x is not None:
+                left, _, a = x
+            else:
+                return False
+
+    def beside(self, a: str, b: str) -> bool:
+        """Whether a and b stay two tokens where they meet."""
+        stay = self.pairs.get((a, b))
+        if stay is None:
+            if len(self.pairs) >= REMEMBERED:
+                self.pairs.clear()
+            stay = self.pairs[a, b] = not self.crossed(a, b)
+        return stay
+
+
+class Word:
+    """The transducer: symbols of one word in, tokens out as soon as they are stable."""
+
+    def __init__(self, merges: Merges, end: str, lookahead: int, longest: int):
+        self.merges, self.end, self.lookahead, self.longest = merges, end, lookahead, longest
+        self.symbols, self.last, self.sizes = "", [], []  # what is held, and for each prefix of it its last token and that one's symbols
+        self.before: str | None = None  # the token given out last
+        self.next: str | None = None  # a symbol that may be the word's last
+        self.most = 0
+
+    def step(self, symbol: str, ending: str = "") -> None:
+        self.symbols = held = self.symbols + symbol
+        n, made = len(held), self.merges.made
+        for size in range(min(n, self.longest), 0, -1):
+            token = held[n - size :] + ending
+            if token in made:
+                beside = self.last[n - size - 1] if size < n else self.before
+                if beside is None or self.merges.beside(beside, token):
+                    self.last.append(token)
+                    self.sizes.append(size)
+                    return
+        raise AssertionError("no token fits")
+
+    def give(self, upto: int) -> list[str]:
+        """The tokens of the held symbols' encoding up to the last end of a token not after upto; they are held no longer."""
+        n = len(self.last)
+        while n > upto:
+            n -= self.sizes[n - 1]
+        out, at = [], n
+        while at:
+            out.append(self.last[at - 1])
+            at -= self.sizes[at - 1]
+        if out:
+            self.before = out[0]
+            self.symbols, self.last, self.sizes = self.symbols[n:], self.last[n:], self.sizes[n:]
+        return out[::-1]
+
+    def push(self, symbols: str) -> Iterator[str]:
+        """Read symbols of which the word's last may be one; the tokens that they make stable."""
+        for s in symbols:
+            if self.next is not None:
+                self.step(self.next)
+                if len(self.last) >= 2 * self.lookahead:
+                    self.most = max(self.most, len(self.last))
+                    yield from self.give(len(self.last) - self.lookahead)
+            self.next = s
+
+    def finish(self) -> list[str]:
+        """The tokens that are left at the word's end; after it the next word may come."""
+        if self.next is None:
+            return []
+        self.step(self.next, self.end)
+        out = self.give(len(self.last))
+        self.before = self.next = None
+        return out
+
+
 class Encoder:
-    """The transducer for a vocabulary file of lower-cased word BPE with an ending for the last symbol of a word."""
+    """What a vocabulary file of lower-cased word BPE with an ending for the last symbol of a word says."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -99,91 +254,168 @@ class Encoder:
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {pair: i for i, pair in enumerate(merges)}
         self.letters = byte_letters()
+        self.merges = Merges(merges, [x for c in self.letters for x in dict.fromkeys((c, c + self.end))])
+        self.longest = max(len(t.removesuffix(self.end)) for t in self.merges.made)
         self.lookahead = sufficient_lookahead(merges, {x: 1 for c in self.letters for x in (c, c + self.end)})
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pieces = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        splits = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(splits)
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        letter, digit = ranges(str.isalpha, NEW_LETTERS), ranges(lambda c: unicodedata.category(c)[0] == "N", NEW_DIGITS)
+        for name, inside in (("[\\p{L}]", f"[{letter}]"), ("[\\p{N}]", f"[{digit}]"), ("\\p{L}", letter), ("\\p{N}", digit), ("\\s", SPACE)):
+            pattern = pattern.replace(name, inside)
+        self.words = re.compile(pattern)
+        #: What a word that goes on can go on with, for the kind of its first character.
+        self.runs = (re.compile(f"[{letter}]+"), re.compile(f"[^{SPACE}{letter}{digit}]+"))
         self.codes = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
+        self.bytes_to_letters = str.maketrans({chr(b): c for b, c in enumerate(self.letters)})
         self.chunks: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """All merges within symbols, lowest rank first, the leftmost of equals first."""
-        get, none = self.ranks.get, len(self.ranks)
-        ranks = [get(pair, none) for pair in zip(symbols, symbols[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
-            if i < len(ranks):
-                ranks[i] = get((symbols[i], symbols[i + 1]), none)
-        return symbols
-
-    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """The tokens of a word that is read symbol by symbol; the last symbol has the ending of words."""
-        buffer: list[str] = []
-        full = 4 * self.lookahead
-        for s in symbols:
-            buffer.append(s)
-            if len(buffer) >= full:
-                done, stable = 0, len(buffer) - self.lookahead
-                for token in self.merge(buffer[:]):
-                    size = 1 if len(token) == 1 else len(token.removesuffix(self.end)) if self.end else len(token)
-                    if done + size > stable:
-                        break
-                    done += size
-                    yield token
-                del buffer[:done]
-        yield from self.merge(buffer)
+    def word(self) -> Word:
+        return Word(self.merges, self.end, self.lookahead, self.longest)
+
+    def symbols(self, text: str) -> str:
+        """A letter for each byte of text."""
+        return text.encode().decode("latin-1").translate(self.bytes_to_letters)
 
     def word_ids(self, word: str) -> bytes:
-        """The ids of a word. One that the buffer holds as a whole is merged at once, as stream() would."""
-        symbols = [self.letters[b] for b in word.encode()]
-        symbols[-1] += self.end
-        tokens = self.merge(symbols) if len(symbols) < 4 * self.lookahead else self.stream(symbols)
-        return b"".join([self.codes[t] for t in tokens])
+        ids = self.known.get(word)
+        if ids is None:
+            w = self.word()
+            ids = b"".join([self.codes[t] for t in (*w.push(self.symbols(word)), *w.finish())])
+            if len(word) <= SHORT:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
 
     def chunk_ids(self, chunk: str) -> bytes:
-        """The ids of a chunk without white space, each as a little-endian unsigned 32-bit integer."""
-        plain = chunk.lower() if chunk.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
-        out, known = [], self.known
-        for word in self.words.findall(plain):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.word_ids(word)
-                if len(word) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        """The ids of a whole short chunk without white space."""
+        ids = self.chunks.get(chunk)
+        if ids is None:
+            if len(self.chunks) >= REMEMBERED:
+                self.chunks.clear()
+            ids = self.chunks[chunk] = b"".join(map(self.word_ids, self.words.findall(folded(chunk))))
+        return ids
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text, as chunk_ids gives them."""
-        out, known = [], self.chunks
-        for piece in self.pieces.split(text) if "<|" in text else (text,):
-            if piece in self.special:
-                out.append(self.special[piece].to_bytes(4, "little"))
-                continue
-            for chunk in SPACES.split(piece) if SEPARATORS.search(piece) else piece.split():
-                ids = known.get(chunk)
-                if ids is None:
-                    ids = self.chunk_ids(chunk)
-                    if len(chunk) <= SHORT:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[chunk] = ids
-                out.append(ids)
+        """The ids of a text, each as a little-endian unsigned 32-bit integer."""
+        t = Transducer(self)
+        return b"".join([*(t.feed(text[at : at + PIECE]) for at in range(0, len(text), PIECE)), t.finish()])
+
+
+class Chunk:
+    """A long chunk, read in pieces: composed, folded, split into words, and these fed to the transducer as they come."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.word = encoder, encoder.word()
+        self.raw = self.text = ""  # not composed yet; not split yet
+        self.run: re.Pattern | None = None  # what goes on with the open word
+
+    def feed(self, raw: str) -> bytes:
+        raw = self.raw + raw
+        n = settled(raw)
+        self.raw = raw[n:]
+        return self.split(folded(raw[:n]), False)
+
+    def finish(self) -> bytes:
+        raw, self.raw = self.raw, ""
+        return self.split(folded(raw), True)
+
+    def split(self, text: str, whole: bool) -> bytes:
+        """The ids that text adds. Unless it is whole, its last word may go on, and three characters tell what a word at an apostrophe is."""
+        e, out = self.encoder, []
+        text, at = self.text + text, 0
+        push = lambda part: out.extend([e.codes[t] for t in self.word.push(e.symbols(part))])
+        if self.run:
+            if more := self.run.match(text):
+                push(more[0])
+                at = more.end()
+            if at == len(text) and not whole:
+                self.text = ""
+                return b"".join(out)
+            out.extend([e.codes[t] for t in self.word.finish()])
+            self.run = None
+        while at < len(text):
+            if not whole and len(text) - at < 3:
+                break
+            w = e.words.match(text, at)
+            at = w.end()
+            if at < len(text) or whole or not (run := next((r for r in e.runs if r.fullmatch(w[0])), None)):
+                out.append(e.word_ids(w[0]) if len(w[0]) <= SHORT else b"".join([e.codes[t] for t in (*self.word.push(e.symbols(w[0])), *self.word.finish())]))
+            else:
+                push(w[0])
+                self.run = run
+        self.text = text[at:]
+        return b"".join(out)
+
+
+class Transducer:
+    """Ids of a text that comes in pieces; what it holds is bounded, whatever the lengths of the text, its chunks and words."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+        self.tail = ""  # the start of what may be a special token
+        self.held = ""  # a short chunk that may go on
+        self.open: Chunk | None = None  # a long chunk that may go on; then none is held
+
+    def feed(self, piece: str) -> bytes:
+        text, special = self.tail + piece, self.encoder.special
+        widest = min(len(text), max(map(len, special), default=1) - 1)
+        n = next((n for n in range(widest, 0, -1) if any(n < len(s) and s.startswith(text[-n:]) for s in special)), 0)
+        self.tail = text[len(text) - n :]
+        return self.parts(text[: len(text) - n])
+
+    def finish(self) -> bytes:
+        """The ids that are left at the text's end."""
+        tail, self.tail = self.tail, ""
+        return self.parts(tail) + self.close()
+
+    def parts(self, text: str) -> bytes:
+        special = self.encoder.special
+        if not any(s in text for s in special):
+            return self.plain(text)
+        out = []
+        for part in self.encoder.specials.split(text):
+            out.append(self.close() + special[part].to_bytes(4, "little") if part in special else self.plain(part))
         return b"".join(out)
 
+    def plain(self, text: str) -> bytes:
+        """The ids of a piece without special tokens, but for those of a chunk that may go on."""
+        out, last = [], ""
+        if self.open:
+            space = SPACES.search(text)
+            out.append(self.open.feed(text[: space.start()] if space else text))
+            if not space:
+                return out[0]
+            out.append(self.close())
+            text = text[space.end() :]
+        text, self.held = self.held + text, ""
+        chunks = SPACES.split(text) if SEPARATORS.search(text) else text.split()
+        if chunks and not SPACES.match(text, len(text) - 1):
+            last = chunks.pop()
+        for c in chunks:
+            out.append(self.encoder.chunk_ids(c) if len(c) <= SHORT else self.long(c))
+        if len(last) <= SHORT:
+            self.held = last
+        else:
+            self.open = Chunk(self.encoder)
+            out.append(self.open.feed(last))
+        return b"".join(out)
+
+    def long(self, chunk: str) -> bytes:
+        c = Chunk(self.encoder)
+        return c.feed(chunk) + c.finish()
+
+    def close(self) -> bytes:
+        """The ids that are left of the last chunk, which is whole."""
+        if self.open:
+            out, self.open = self.open.finish(), None
+            return out
+        held, self.held = self.held, ""
+        return self.encoder.chunk_ids(held) if held else b""
+
 
 class ByteToText:
     """Text from bytes that come in pieces; holds at most the three bytes of an unfinished character."""
@@ -225,29 +457,40 @@ class Decoder:
         yield machine.finish()
 
 
+@lru_cache(2)
+def encoder_of(path: str) -> Encoder:
+    """A worker reads the vocabulary once."""
+    return Encoder(path)
+
+
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each document."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         names = Decoder(encoder).names
         for b in batches:
             n, digest, decoded, all_ids = [], [], [], []
             for text in map(pa.StringScalar.as_py, b.column("text")):
-                data = encoder.encode(text or "")
-                view = memoryview(data).cast("I")
-                n.append(len(view))
-                digest.append(hashlib.sha256(data).hexdigest())
-                machine, back = ByteToText(), hashlib.sha256()
-                for at in range(0, len(view), 4096):  # the state machine carries over from piece to piece
-                    piece = b" ".join(map(names.__getitem__, view[at : at + 4096]))
-                    back.update(machine.feed(b" " + piece if at else piece).encode())
+                text, transducer, machine = text or "", Transducer(encoder), ByteToText()
+                forth, back, count, kept = hashlib.sha256(), hashlib.sha256(), 0, []
+                for at in range(0, len(text) + 1, PIECE):  # one piece more than whole ones, which ends the text
+                    data = transducer.feed(text[at : at + PIECE])
+                    data += transducer.finish() if at + PIECE > len(text) else b""
+                    view = memoryview(data).cast("I")
+                    forth.update(data)
+                    words = b" ".join(map(names.__getitem__, view))
+                    back.update(machine.feed(b" " + words if count and words else words).encode())
+                    count += len(view)
+                    if ids:
+                        kept.extend(view)
                 back.update(machine.finish().encode())
+                n.append(count)
+                digest.append(forth.hexdigest())
                 decoded.append(back.hexdigest())
-                if ids:
-                    all_ids.append(list(view))
+                all_ids.append(kept)
             columns = [b.column("id"), pa.array(n, pa.int64()), pa.array(digest), pa.array(decoded)] + [pa.array(all_ids, pa.list_(pa.int32()))] * ids
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 

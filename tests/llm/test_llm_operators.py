@@ -364,9 +364,12 @@ def test_bpe(docs, plain, empty, vocabulary):
         assert list(memoryview(ids).cast("I")) == want
         assert "".join(d.joined(ids)) == lib.decode(want, skip_special_tokens=False)
     assert "".join(d.plain(e.encode("naïve 日本 X"))) == "naïve 日本 x "
-    word = "".join(rng.choice(parts) for _ in range(900)).lower()
-    word = "".join(c for c in word if c.isalpha())
-    assert list(e.stream(e.letters[b] if k < len(word) - 1 else e.letters[b] + e.end for k, b in enumerate(word.encode()))) == e.merge([*word[:-1], word[-1] + e.end])
+    for t in texts:  # in pieces of any size
+        transducer, at, out = bpe.Transducer(e), 0, b""
+        while at < len(t):
+            size = rng.choice([1, 2, 3, 10, 100, 1000])
+            out, at = out + transducer.feed(t[at : at + size]), at + size
+        assert out + transducer.finish() == e.encode(t)
     m = bpe.ByteToText()
     assert [m.feed(b"\xf0\x9f"), m.feed(b"\x99\x82"), m.feed(b"\xff"), m.feed(b"\xc3"), m.finish()] == ["", "🙂", "�", "", "�"]
     got = bpe.encode_documents(docs, vocabulary).collect()
@@ -375,6 +378,79 @@ def test_bpe(docs, plain, empty, vocabulary):
     assert bpe.encode_documents(empty, vocabulary).count() == 0
 
 
+def plain_merges(merges, symbols):
+    """BPE by its definition: the lowest rank first, the leftmost of equals."""
+    rank = {p: i for i, p in enumerate(merges)}
+    symbols = list(symbols)
+    while pairs := [(rank[p], i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in rank]:
+        _, i = min(pairs)
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+    return symbols
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_transducer_equals_merging(seed):
+    """Random merge lists over few symbols, with many ties and overlaps; the tokens come before the word's end once the lookahead is past."""
+    rng = random.Random(seed)
+    tokens, merges = list("ab") if seed % 2 else list("abc"), []
+    symbols = list(tokens)
+    while len(merges) < 12:
+        pair = (rng.choice(tokens), rng.choice(tokens))
+        if pair not in merges and pair[0] + pair[1] not in tokens and len(pair[0] + pair[1]) < 9:
+            merges.append(pair)
+            tokens.append(pair[0] + pair[1])
+    m = bpe.Merges(merges, symbols)
+    lookahead = bpe.sufficient_lookahead(merges, dict.fromkeys(symbols, 1))
+    for _ in range(60):
+        text = "".join(rng.choice(symbols) for _ in range(rng.randint(1, 200)))
+        w = bpe.Word(m, "", lookahead, max(map(len, tokens)))
+        early = list(w.push(text))
+        assert early + w.finish() == plain_merges(merges, text)
+        assert w.most <= 2 * lookahead + len(max(tokens, key=len)) and (early or len(text) <= 2 * lookahead + len(max(tokens, key=len)))
+
+
+def test_every_token_comes_from_the_transducer(vocabulary, small, monkeypatch):
+    import pyarrow.parquet as pq
+
+    given, finish, push = [], bpe.Word.finish, bpe.Word.push
+    monkeypatch.setattr(bpe.Word, "finish", lambda w: given.extend(out := finish(w)) or out)
+    monkeypatch.setattr(bpe.Word, "push", lambda w, s: (given.append(t) or t for t in push(w, s)))
+    monkeypatch.setattr(bpe, "SHORT", 0)  # nothing is remembered
+    e, n = bpe.Encoder(vocabulary), 0
+    for text in pq.read_table(f"{small}/documents.parquet").column("text").to_pylist()[:60]:
+        n += len(e.encode(text or "")) // 4
+    assert len(given) == n > 10000
+
+
+def test_transducer_memory(vocabulary):
+    """What a very long word holds doesn't grow with it."""
+    import tracemalloc
+
+    e, peaks = bpe.Encoder(vocabulary), []
+    for pieces in (8, 64):
+        t, n = bpe.Transducer(e), 0
+        tracemalloc.start()
+        for _ in range(pieces):
+            n += len(t.feed("antidisestablish" * 256)) // 4
+        held = (len(t.held), len(t.open.text), len(t.open.raw), len(t.open.word.last))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n > pieces * 256 and max(held) <= 2 * e.lookahead
+    assert peaks[1] < 1.5 * peaks[0] + 100_000
+
+
+def test_every_code_point(vocabulary):
+    from tokenizers import Tokenizer
+
+    lib, e = Tokenizer.from_file(vocabulary), bpe.Encoder(vocabulary)
+    lib.no_padding()
+    lib.no_truncation()
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or 0xA000 <= c < 0xAC10 or 0xF900 <= c < 0x1FFFF or c % 97 == 0)]
+    for c in points:
+        t = f"a{chr(c)}b{chr(c)}1"
+        assert list(memoryview(e.encode(t)).cast("I")) == lib.encode(t, add_special_tokens=False).ids, hex(c)
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     words = [f"{a}{b}" for a in "bcdfghjkl" for b in ("ab", "ec", "id", "of", "ug")]
