@@ -1,14 +1,25 @@
 """Near copies: all documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what these link.
 
-No radius of a 64-bit SimHash holds all such pairs and can still be joined (at 0.8 the mean distance is about ten bits), so the search is a
-prefix filter over the shingles, which misses none. A set's shingles are put in one order for all documents,
-rare ones first. If two sets share 0.8 of their union, they share 0.8 of each, so among the first n // 5 + 1 shingles of both
-is a common one, and only documents with a common one there are compared. How often a shingle occurs is counted over a
-sample; that decides how many pairs are met, never which are found.
-
-Documents with one set are one class. First each class is compared with one class of each shingle it shares, which joins large groups
-without their square of pairs; then all pairs that share a shingle and are not yet in one component. Pairs whose sizes, or
-whose counts of shingles by hash, already differ by too much are discarded; the rest are verified by the intersection of their sets (of 64-bit hashes).
+It is simhash's search on unfolded fingerprints. A 64-bit SimHash can't decide such pairs (at 0.8 the mean distance is about ten
+bits, and no radius that holds all can be joined), so a fingerprint here has a bit for each of the 2^64 shingle hashes, and is
+kept as the sorted list of its set bits. The Hamming distance of two is what their sets don't share, and
+sets of a and b shingles are similar if it is at most (a + b) / 9.
+
+The pivot distance table has the distances to the fingerprint zero (the number of shingles) and to one for each of PIVOTS
+blocks of the bits (all of the block's set), less that one's own bits. By the triangle inequality these differ no more than two fingerprints do,
+so pairs with a larger difference are discarded. Then folds are compared, FOLD words with the parities of that many bits' worth of
+blocks: their Hamming distance is no more than that of the fingerprints either. The rest are verified by the intersection of their sets.
+
+Pairs are met at their rare shingles (a prefix filter, which misses none): all fingerprints' bits are put in one order, those
+that are common in a sample of the documents last; two similar sets share one of the first n // 5 + 1 bits of both.
+How common a shingle is decides how many pairs are met, never which are found.
+
+The fingerprints that share a bit are compared with a leader first, the one that shares most of its first bits with others, which joins a large group of
+copies of one document without its square of pairs. Bits whose fingerprints are in one component then have nothing left to
+find, and a leader that has met all of a bit's fingerprints is done there. If more pairs are left than grow with the corpus, the bits that a
+fingerprint has alone are counted, which tells how much it can share with any other: those that can't reach the similarity go, and
+further leaders follow as long as they join something. Then the pairs of different components that are left, and that their
+distances allow, are verified. Documents with one set are one class.
 
 Cases: a null text has no words, and texts without words are copies of each other; fewer words than a shingle are one shingle;
 nulls and repeated rows are as in simhash.
@@ -17,11 +28,12 @@ nulls and repeated rows are as in simhash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import bounded_batches
@@ -30,90 +42,175 @@ from newsloom.operators.graph import connected_components
 from newsloom.session import materialize
 
 #: One in SAMPLE documents is counted; the COMMON commonest shingles go last, by their counts.
-SAMPLE, COMMON, COUNTS = 16, 1 << 16, 32
+SAMPLE, COMMON, PIVOTS, FOLD = 16, 1 << 16, 8, 8
+#: Further leaders follow while there are more than PAIRS pairs for each shared bit of a fingerprint; lists of at most FEW fingerprints (24 bytes each) are broadcast.
+PAIRS, FEW = 8, 1 << 20
+
+
+def lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, kind), *arrays]).astype(kind)))
+
+
+def set_bits(text: str | None, words: int) -> tuple[int, np.ndarray]:
+    """(a name of the set, the sorted hashes of its shingles)"""
+    bits = np.unique(shingle_hashes(text or "", words).view(np.int64))
+    return xxhash.xxh64_intdigest(bits.tobytes()) - (1 << 63), bits
 
 
-def shingle_sets(docs: DataFrame, words: int = 5, common: tuple[np.ndarray, np.ndarray] | None = None, id_column: str = "doc_id") -> DataFrame:
-    """(id, key, fp, n, counts, hashes) for each document: fp names its set of n shingles, hashes has them in order."""
+def tables(docs: DataFrame, words: int = 5, common: tuple[np.ndarray, np.ndarray] | None = None, id_column: str = "doc_id") -> DataFrame:
+    """(id, key, fp, n, pivots, fold, first) for each document: fp names its set, n and pivots are its distances, first are its rarest bits."""
     bounded_batches(docs.sparkSession)
     known, often = common if common and len(common[0]) else (np.array([0], np.int64), np.array([0], np.int64))
 
-    def lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
-        offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, kind), *arrays]).astype(kind)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, counts, hashes = [], [], []
-            for t in map(pa.StringScalar.as_py, b.column("text")):
-                s = np.unique(shingle_hashes(t or "", words).view(np.int64))
-                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                fps.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
-                counts.append(np.minimum(np.bincount(s & (COUNTS - 1), minlength=COUNTS), 127))
-                hashes.append(s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")])
-            n = pa.array([len(h) for h in hashes], pa.int64())
-            columns = [b.column("id"), b.column("key"), pa.array(fps, pa.int64()), n, lists(counts, np.int8), lists(hashes, np.int64)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fp", "n", "counts", "hashes"])
+            fps, n, pivots, folds, first = [], [], [], [], []
+            for text in map(pa.StringScalar.as_py, b.column("text")):
+                fp, bits = set_bits(text, words)
+                at = np.minimum(np.searchsorted(known, bits), len(known) - 1)
+                order = np.argsort(np.where(known[at] == bits, often[at], 0), kind="stable")
+                fps.append(fp)
+                n.append(len(bits))
+                pivots.append(len(bits) - 2 * np.bincount(bits & (PIVOTS - 1), minlength=PIVOTS))
+                odd = np.bincount((bits >> 8) & (64 * FOLD - 1), minlength=64 * FOLD) & 1
+                folds.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+                first.append(bits[order[: len(bits) // 5 + 1]])
+            columns = [b.column("id"), b.column("key"), pa.array(fps, pa.int64()), pa.array(n, pa.int64()), lists(pivots, np.int32), lists(folds, np.int64), lists(first, np.int64)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fp", "n", "pivots", "fold", "first"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(run, f"id {kind}, key long, fp long, n long, counts array<tinyint>, hashes array<long>")
+    return rows.mapInArrow(run, f"id {kind}, key long, fp long, n long, pivots array<int>, fold array<long>, first array<long>")
+
 
+def bits_of(texts: DataFrame, words: int) -> DataFrame:
+    """texts (fp, text) to (fp, bits), where fp is the name of the text's set."""
+    bounded_batches(texts.sparkSession)
 
-def common_shingles(docs: DataFrame, words: int = 5, id_column: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [set_bits(t, words) for t in map(pa.StringScalar.as_py, b.column("text"))]
+            same = [i for i, (fp, own) in enumerate(zip(b.column("fp").to_pylist(), found, strict=True)) if fp == own[0]]
+            yield pa.RecordBatch.from_arrays([b.column("fp").take(pa.array(same, pa.int32())), lists([found[i][1] for i in same], np.int64)], ["fp", "bits"])
+
+    return texts.select("fp", "text").mapInArrow(run, "fp long, bits array<long>")
+
+
+def common_shingles(docs: DataFrame, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The commonest shingles of a sample of docs, and how often they occur in it."""
-    sample = shingle_sets(docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), words, None, id_column)
-    found = sample.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    found = sorted((r["h"], r["count"]) for r in found)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([lists([set_bits(t, words)[1] for t in map(pa.StringScalar.as_py, b.column("text"))], np.int64)], ["bits"])
+
+    found = sample.mapInArrow(run, "bits array<long>").select(F.explode("bits").alias("h")).groupBy("h").count().where("count > 1")
+    found = sorted((r["h"], r["count"]) for r in found.orderBy(F.desc("count"), "h").limit(COMMON).collect())
     return np.array([h for h, _ in found], np.int64), np.array([c for _, c in found], np.int64)
 
 
-def alike(a: str, b: str, differ: Column) -> Column:
+def alike(a: Column, b: Column, differ: Column) -> Column:
     """Whether sets of a and b shingles that differ in so many have a similarity of 0.8 or more, in integers."""
-    return differ * 9 <= F.col(a) + F.col(b)
-
-
-def verified(pairs: DataFrame, prints: DataFrame, few: int = 1 << 21) -> DataFrame:
-    """Those of pairs (left, right) that are similar. The sets are read without a shuffle if only few are needed."""
-    pairs = materialize(pairs.distinct(), "met")
-    light = materialize(prints.select("fp", "n", "counts").dropDuplicates(["fp"]), "counts")
-    for end in ("left", "right"):
-        pairs = pairs.join(light.select(F.col("fp").alias(end), F.col("n").alias(f"n_{end}"), F.col("counts").alias(f"c_{end}")), end)
-        pairs = pairs if end == "left" else pairs.where(alike("n_left", "n_right", F.abs(F.col("n_left") - F.col("n_right"))))
-    # The differences of counts, capped or not, are no more than the shingles in one set only.
-    differ = F.aggregate(F.zip_with("c_left", "c_right", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
-    pairs = materialize(pairs.where(alike("n_left", "n_right", differ)).select("left", "right", "n_left", "n_right"), "close")
-    ends = materialize(pairs.select(F.explode(F.array("left", "right")).alias("fp")).distinct(), "ends")
-    ends = F.broadcast(ends) if ends.count() <= few else ends
-    sets = materialize(prints.select("fp", "hashes").join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
-    for end in ("left", "right"):
-        pairs = pairs.join(sets.select(F.col("fp").alias(end), F.col("hashes").alias(f"h_{end}")), end)
-    differ = F.col("n_left") + F.col("n_right") - F.size(F.array_intersect("h_left", "h_right")) * 2
-    return materialize(pairs.where(alike("n_left", "n_right", differ)).select("left", "right"), "similar")
-
-
-def similar_pairs(prints: DataFrame) -> DataFrame:
+    return differ * 9 <= a + b
+
+
+def near(left: str, right: str) -> Column:
+    """Whether the distances of two rows of the table, what they can share, and their folds allow the similarity."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    n, m = c(left, "n"), c(right, "n")
+    furthest = F.greatest(F.abs(n - m), *(F.abs(c(left, "pivots")[i] - c(right, "pivots")[i]) for i in range(PIVOTS)))
+    most = F.least(n - c(left, "own"), m - c(right, "own"))  # bits in common
+    folds = reduce(Column.__add__, (F.bit_count(c(left, "fold")[i].bitwiseXOR(c(right, "fold")[i])) for i in range(FOLD)))
+    return alike(n, m, furthest) & (most * 9 >= (n + m) * 4) & alike(n, m, folds)
+
+
+class Search:
+    """What the search for similar fingerprints needs again and again."""
+
+    def __init__(self, prints: DataFrame, docs: DataFrame, words: int, id_column: str):
+        self.docs, self.words, self.id_column = docs, words, id_column
+        first = F.min(F.struct(F.isnull("id").alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "key")).alias("row")
+        #: (fp, n, pivots, fold, row): one row for each set; row says which document has it.
+        self.sets = materialize(prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"), F.first("fold").alias("fold"), first), "sets")
+
+    def bits(self, fps: DataFrame) -> DataFrame:
+        """(fp, bits) of some fps, made again from their documents' texts."""
+        wanted = materialize(self.sets.join(fps, "fp", "left_semi").select("fp", "row.*"), "wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+        texts = self.docs.select(F.isnull(self.id_column).alias("none"), F.coalesce(F.col(self.id_column), F.lit(0)).alias("id"), F.xxhash64("text").alias("key"), "text")
+        found = bits_of(texts.join(wanted, ["none", "id", "key"]), self.words)
+        return materialize(found.dropDuplicates(["fp"]), "bits")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs (left, right) that are similar."""
+        pairs = materialize(pairs.distinct(), "met")
+        bits = self.bits(pairs.select(F.explode(F.array("left", "right")).alias("fp")).distinct())
+        for end in ("left", "right"):
+            pairs = pairs.join(bits.select(F.col("fp").alias(end), F.col("bits").alias(f"b_{end}")), end)
+        a, b = F.size("b_left"), F.size("b_right")
+        return materialize(pairs.where(alike(a, b, a + b - F.size(F.array_intersect("b_left", "b_right")) * 2)).select("left", "right"), "similar")
+
+    def shared(self, prints: DataFrame) -> DataFrame:
+        """(h, fp, n, pivots, fold, weight): the first bits that several fingerprints share. weight: how many of a fingerprint's first bits are shared."""
+        first = prints.select("fp", F.explode("first").alias("h"))
+        several = materialize(first.groupBy("h").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("h"), "several")
+        rows = materialize(first.join(several, "h").distinct(), "shared")
+        weights = rows.groupBy("fp").agg(F.count("*").alias("k")).join(self.sets, "fp").select("fp", "n", "pivots", "fold", (F.col("k") / (F.floor(F.col("n") / 5) + 1)).alias("weight"))
+        return rows.join(materialize(weights, "weights"), "fp")
+
+    def possible(self, rows: DataFrame) -> DataFrame:
+        """rows with own, the bits that a fingerprint alone has; without those that have too many for any partner of a size that there is."""
+        bits = self.bits(rows.select("fp").distinct()).select("fp", F.explode("bits").alias("b"))
+        own = bits.groupBy("b").agg(F.count("*").alias("k"), F.min("fp").alias("fp")).where("k = 1").groupBy("fp").agg(F.count("*").alias("own"))
+        rows = materialize(rows.drop("own").join(materialize(own, "own"), "fp", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long")), "owned")
+        least = materialize(rows.groupBy("h").agg(F.min("n").alias("least")), "least")
+        most = F.col("n") - F.col("own")
+        return rows.join(least, "h").where(most * 9 >= (F.col("n") + F.greatest("least", F.ceil(F.col("n") * 4 / 5))) * 4).drop("least")
+
+
+def several_components(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with their components by links, of bits whose fingerprints are in several."""
+    labels = connected_components(links).withColumnRenamed("node", "fp")
+    rows = materialize(rows.drop("component").join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "labelled")
+    several = rows.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+    return materialize(rows.join(materialize(several, "several"), "h"), "apart")
+
+
+def similar_pairs(prints: DataFrame, docs: DataFrame, words: int = 5, id_column: str = "doc_id") -> DataFrame:
     """(left, right): links between distinct sets of a similarity of 0.8 or more, enough of them to join all that are linked."""
-    of = Window.partitionBy("h")
-    first = prints.select("fp", "n", F.explode(F.slice("hashes", F.lit(1), (F.floor(F.col("n") / 5) + 1).cast("int"))).alias("h"))
-    met = first.withColumns({"lead": F.min("fp").over(of), "last": F.max("fp").over(of)}).where("lead <> last").select("h", "fp", "n", "lead").distinct()
-    met = materialize(met, "shared")
-    stars = verified(met.where("fp <> lead").select(F.col("lead").alias("left"), F.col("fp").alias("right")), prints)
-
-    labels = connected_components(stars).withColumnRenamed("node", "fp")
-    rest = met.join(labels, "fp", "left").select("h", "fp", "n", F.coalesce("component", "fp").alias("component"))
-    rest = rest.withColumns({"least": F.min("component").over(of), "most": F.max("component").over(of)}).where("least <> most")
-    rest = materialize(rest.drop("least", "most"), "apart")
-    a, b = rest.toDF("h", "left", "n_left", "c_left"), rest.toDF("h", "right", "n_right", "c_right")
-    sizes = alike("n_left", "n_right", F.abs(F.col("n_left") - F.col("n_right")))
-    pairs = a.join(b, "h").where((F.col("left") < F.col("right")) & (F.col("c_left") != F.col("c_right")) & sizes)
-    return stars.unionAll(verified(pairs.select("left", "right"), prints))
+    search = Search(prints, docs, words, id_column)
+    rows = materialize(search.shared(prints).withColumn("component", F.col("fp")).withColumn("own", F.lit(0).cast("long")), "rows")
+    most, links, turn = PAIRS * rows.count(), None, 0
+    while True:
+        lead = rows.groupBy("h").agg(F.max(F.struct("weight", "fp", "n", "pivots", "fold", "own", "component")).alias("l"))
+        lead = materialize(lead.select("h", "l.*"), "leaders")
+        met = rows.alias("r").join(lead.alias("l"), "h").where((F.col("r.component") != F.col("l.component")) & near("r", "l"))
+        stars = search.verified(met.select(F.col("l.fp").alias("left"), F.col("r.fp").alias("right")))
+        links = stars if links is None else links.unionAll(stars)
+        rows = several_components(rows.join(lead.select("h", "fp"), ["h", "fp"], "left_anti"), links)
+        if pairs_apart(rows) <= most or (turn and stars.isEmpty()):
+            break
+        if not turn:
+            rows = several_components(search.possible(rows), links)
+        turn += 1
+    a, b = rows.alias("a"), rows.alias("b")
+    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.component") != F.col("b.component"))
+    return links.unionAll(search.verified(a.join(b, apart & near("a", "b")).select(F.col("a.fp").alias("left"), F.col("b.fp").alias("right"))))
+
+
+def pairs_apart(rows: DataFrame) -> int:
+    """Pairs of rows that share a bit and are in different components."""
+    n = F.col("n").cast("double")
+    each = rows.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum(n).alias("n"), F.sum(n * n).alias("inside"))
+    return int(each.agg(F.sum((n * n - F.col("inside")) / 2)).first()[0] or 0)
 
 
 def components(docs: DataFrame, words: int = 5, id_column: str = "doc_id") -> DataFrame:
     """(id, key, fp, component_id) for each document."""
-    prints = materialize(shingle_sets(docs, words, common_shingles(docs, words, id_column), id_column), "shingles")
-    return grouped(prints, similar_pairs)
+    prints = materialize(tables(docs, words, common_shingles(docs, words), id_column), "tables")
+    return grouped(prints, lambda p: similar_pairs(p, docs, words, id_column))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, id_column: str = "doc_id") -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import bounded_batches
+from newsloom.llm.common import bounded_batches, packed
 from newsloom.operators.graph import connected_components
 from newsloom.session import materialize
 
@@ -168,14 +168,17 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col
 
 
 def drop_groups(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """docs with one document of each of groups (id, key, component_id).
+    """docs with one document of each of groups (id, key, component_id); of rows repeated with its id and text one.
 
     Only identifiers and hashes of the documents that go are joined.
     """
-    found = materialize(groups, "components")
-    least = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("stays"))
-    stays = least.select(F.col("component_id").alias("_c"), F.col("stays.id").alias("_id"), F.col("stays.key").alias("_key"))
-    gone = found.join(stays, F.col("component_id").eqNullSafe(F.col("_c"))).where(~(F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))))
-    gone = gone.select(F.coalesce("id", F.lit(0)).alias("_id"), F.isnull("id").alias("_none"), F.col("key").alias("_key"))
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_column), F.lit(0)), "_none": F.isnull(id_column), "_key": F.xxhash64("text")})
-    return rows.join(gone, ["_id", "_none", "_key"], "left_anti").select(*docs.columns)
+    found = materialize(groups.groupBy("id", "key", "component_id").agg(F.count("*").alias("n")), "components")
+    least = found.groupBy("component_id").agg(F.min(F.struct(F.isnull("id").alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "key")).alias("stays"))
+    found = found.select(F.isnull("id").alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "key", "component_id", "n").join(least.withColumnRenamed("component_id", "of"), F.col("component_id").eqNullSafe(F.col("of")))
+    names = ["none", "id", "key"]
+    found = materialize(found.select(*names, "n", (F.struct(*names) == F.col("stays")).alias("stays")), "fates")
+    rows = packed(docs, id_column).join(found.where("not stays").select(*names), names, "left_anti")
+    again = found.where("stays and n > 1").select(*names)
+    if not again.isEmpty():
+        rows = rows.join(again, names, "left_anti").unionByName(rows.join(again, names, "left_semi").dropDuplicates(names))
+    return rows.select("row.*")
