@@ -2,14 +2,16 @@
 
 A sampled range partitioning over bounded sort keys (the first characters and a hash of the text)
 puts equal texts side by side, each partition is sorted externally with the full text as the last
-key, and the neighbouring rows are compared over the full text, which gives runs of equal texts.
+key, and the neighbouring rows are compared over the full text, which gives runs of equal texts. A run tells the
+identifier that stays and the size of the group.
 
 A text with more than 1/HOT_SHARE of all rows would make one task too large. There are fewer than
 HOT_SHARE such texts, so their hashes are a table of proven size; their rows alone also get a salt
-of the identifier in the sort key, and the runs of such a text are united by its SHA-256.
+of the identifier in the sort key, and the at most SALTS runs of such a text are united by its SHA-256, in a table of at most
+HOT_SHARE rows.
 
 Cases: a null text is empty; empty texts are equal; a null identifier is smaller than any other; rows
-repeated with the same identifier are one group of which one row stays; other columns pass through.
+repeated with the same identifier are one group of which one row stays; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,21 +26,29 @@ HOT_SHARE, HOT_LEAST, SALTS = 2048, 1000, 256
 
 
 def hot_texts(docs: DataFrame, text: Column) -> DataFrame:
-    """(_hot): the hashes of texts with so many rows; at most HOT_SHARE of them."""
+    """(hot): the hashes of texts with so many rows; at most HOT_SHARE of them."""
     least = max(HOT_LEAST, docs.count() // HOT_SHARE)
-    return docs.groupBy(F.xxhash64(text).alias("_hot")).count().where(F.col("count") > least).select("_hot")
+    hot = docs.groupBy(F.xxhash64(text).alias("hot")).count().where(F.col("count") > least).select("hot")
+    return F.broadcast(materialize(hot, "hot"))
 
 
-def sorted_runs(docs: DataFrame, hot: DataFrame, text: Column, id_column: str, largest: bool) -> DataFrame:
-    """docs with _text, _salt (null: not hot) and _rank, 1 for the row of each run that stays."""
-    keyed = docs.withColumn("_text", text).withColumn("_hash", F.xxhash64("_text"))
-    keyed = keyed.join(F.broadcast(hot), F.col("_hash") == F.col("_hot"), "left")
-    keyed = keyed.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(F.col(id_column)), F.lit(SALTS)))).drop("_hot")
-    keyed = keyed.withColumn("_start", F.substring("_text", 1, 32))
-    keyed = keyed.repartitionByRange("_start", "_hash", "_salt")
-    order = F.col(id_column).desc_nulls_last() if largest else F.col(id_column).asc_nulls_first()
-    run = Window.partitionBy("_start", "_hash", "_salt", "_text").orderBy(order)
-    return keyed.withColumn("_rank", F.row_number().over(run))
+def sorted_runs(rows: DataFrame, hot: DataFrame, largest: bool) -> tuple[DataFrame, list[Column]]:
+    """rows (id, text, ...) with salt (null: not hot), in ranges of their sort key; and what the rows of a run have in common."""
+    keyed = rows.withColumn("hash", F.xxhash64("text")).join(hot, F.col("hash") == F.col("hot"), "left")
+    keyed = keyed.withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS)))).drop("hot")
+    keyed = keyed.withColumn("start", F.substring("text", 1, 32)).repartitionByRange("start", "hash", "salt")
+    return keyed, [F.col(c) for c in ("start", "hash", "salt", "text")]
+
+
+def order(largest: bool) -> Column:
+    """Of a run, the row that stays comes first."""
+    return F.col("id").desc_nulls_last() if largest else F.col("id").asc_nulls_first()
+
+
+def best(largest: bool, of: str) -> Column:
+    """The identifier that stays, of several."""
+    found = (F.max if largest else F.min)(F.struct(F.col(of).isNotNull().alias("some"), F.col(of).alias("id")))
+    return found["id"]
 
 
 def duplicate_groups(docs: DataFrame, text: Column | None = None, id_column: str = "doc_id", largest: bool = True) -> DataFrame:
@@ -48,18 +58,26 @@ def duplicate_groups(docs: DataFrame, text: Column | None = None, id_column: str
     else the smallest.
     """
     text = text_or_empty() if text is None else text
-    runs = sorted_runs(docs, hot_texts(docs, text), text, id_column, largest)
-    thin = materialize(runs.select(F.col(id_column).alias("id"), F.unhex(F.sha2("_text", 256)).alias("sha"), "_rank"), "runs")
-    best = F.max if largest else F.min
-    groups = thin.groupBy("sha").agg(best(F.when(F.col("_rank") == 1, F.col("id"))).alias("keep_id"), F.count("*").alias("group_size"), (F.min("id") if largest else F.max(F.col("id").isNull())).alias("_least"))
-    if not largest:  # a null identifier is the smallest
-        groups = groups.withColumn("keep_id", F.when(~F.col("_least"), F.col("keep_id")))
-    # As tables of their own, so that Spark can split the join's partition of a large group.
-    return thin.join(materialize(groups, "groups"), "sha").select(
+    runs, same = sorted_runs(docs.select(F.col(id_column).alias("id"), text.alias("text")), hot_texts(docs, text), largest)
+    by, whole = Window.partitionBy(*same), (Window.unboundedPreceding, Window.unboundedFollowing)
+    ordered = by.orderBy(order(largest))
+    thin = runs.select(
+        "id",
+        F.unhex(F.sha2("text", 256)).alias("sha"),
+        F.col("salt").isNotNull().alias("salted"),
+        F.row_number().over(ordered).alias("rank"),
+        F.first("id").over(ordered.rowsBetween(*whole)).alias("keep_id"),
+        F.count("*").over(ordered.rowsBetween(*whole)).alias("group_size"),
+    )
+    thin = materialize(thin, "runs")
+    united = thin.where("salted and rank = 1").groupBy(F.col("sha").alias("of")).agg(best(largest, "keep_id").alias("united_id"), F.sum("group_size").alias("united_size"))
+    rows = thin.join(F.broadcast(united), F.col("salted") & (F.col("sha") == F.col("of")), "left")
+    keep = F.when(F.col("united_size").isNull(), F.col("keep_id")).otherwise(F.col("united_id"))
+    return rows.select(
         F.col("id").alias(id_column),
-        "keep_id",
-        "group_size",
-        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("_rank") == 1)).alias("kept"),
+        keep.alias("keep_id"),
+        F.coalesce("united_size", "group_size").alias("group_size"),
+        (F.col("id").eqNullSafe(keep) & (F.col("rank") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
@@ -70,12 +88,17 @@ def drop_duplicates(docs: DataFrame, text: Column | None = None, id_column: str
     The first row of a run stays. Only a hot text has several runs, and the table that says which
     of them has the row that stays has at most HOT_SHARE rows.
     """
-    text = text_or_empty() if text is None else text
-    hot = materialize(hot_texts(docs, text), "hot")
-    best = (F.max if largest else F.min)(F.struct(F.col(id_column).isNotNull(), F.col(id_column)))
-    winners = docs.select(id_column, text.alias("_text")).withColumn("_hot", F.xxhash64("_text")).join(F.broadcast(hot), "_hot")
-    winners = winners.groupBy(F.sha2("_text", 256).alias("_sha")).agg(best[id_column].alias("_winner"))
-    heads = sorted_runs(docs, hot, text, id_column, largest).where("_rank = 1")
-    heads = heads.withColumn("_key", F.when(F.col("_salt").isNotNull(), F.sha2("_text", 256)))
-    kept = heads.join(F.broadcast(winners), F.col("_key") == F.col("_sha"), "left")
-    return kept.where(F.col("_salt").isNull() | F.col(id_column).eqNullSafe(F.col("_winner"))).select(*docs.columns)
+    plain = text is None
+    text = text_or_empty() if plain else text
+    hot = hot_texts(docs, text)
+    winners = docs.select(F.col(id_column).alias("id"), text.alias("text")).withColumn("hot", F.xxhash64("text")).join(hot, "hot")
+    winners = winners.groupBy(F.sha2("text", 256).alias("sha")).agg(best(largest, "id").alias("winner"))
+    # The text itself is taken out of the row, and put back behind.
+    others = [F.col(f"`{c}`") for c in docs.columns if not (plain and c == "text")]
+    rows = docs.select(F.struct(*others).alias("row"), F.col(id_column).alias("id"), text.alias("text"), F.isnull("text").alias("null") if plain else F.lit(False).alias("null"))
+    runs, same = sorted_runs(rows, hot, largest)
+    heads = runs.withColumn("rank", F.row_number().over(Window.partitionBy(*same).orderBy(order(largest)))).where("rank = 1")
+    heads = heads.withColumn("key", F.when(F.col("salt").isNotNull(), F.sha2("text", 256)))
+    kept = heads.join(F.broadcast(winners), F.col("key") == F.col("sha"), "left").where(F.col("salt").isNull() | F.col("id").eqNullSafe(F.col("winner")))
+    own = F.when(~F.col("null"), F.col("text"))
+    return kept.select(*(own.alias(c) if plain and c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
