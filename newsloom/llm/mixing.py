@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import WORD
+from newsloom.llm.common import WORD, packed
 from newsloom.session import materialize
 
 BUCKETS = 1024
@@ -81,11 +81,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int,
 
 
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """docs as the mix takes them: a row as often as it is taken, each time as a whole."""
-    copies = mix(docs, parts=False, id_column=id_column, **options).select(F.col(id_column).alias("_id"), F.col("key").alias("_key"), F.col("copies").alias("_copies"))
-    copies = copies.groupBy("_id", "_key").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_rows"))  # rows that are the same
-    copies = copies.select(F.coalesce("_id", F.lit(0)).alias("_id"), F.isnull("_id").alias("_none"), "_key", "_copies", "_rows")
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_column), F.lit(0)), "_none": F.isnull(id_column), "_key": F.xxhash64("text")})
-    rows = rows.join(copies, ["_id", "_none", "_key"]).withColumn("_number", F.row_number().over(Window.partitionBy("_id", "_none", "_key").orderBy(F.lit(0))))
-    times = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_number") <= F.col("_copies") % F.col("_rows")).cast("long")
-    return rows.withColumn("_times", times).where("_times > 0").withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """docs as the mix takes them: a row as often as it is taken, each time as a whole. Rows repeated with their id and text share what they are taken."""
+    names = ["none", "id", "key"]
+    copies = mix(docs, parts=False, id_column=id_column, **options).select(F.isnull(id_column).alias("none"), F.coalesce(F.col(id_column), F.lit(0)).alias("id"), "key", "copies")
+    copies = copies.groupBy(*names).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    rows = packed(docs, id_column).join(copies, names).withColumn("number", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))))
+    times = F.floor(F.col("copies") / F.col("rows")) + (F.col("number") <= F.col("copies") % F.col("rows")).cast("long")
+    return rows.withColumn("times", times).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from newsloom.llm.common import bounded_batches
+from newsloom.llm.common import bounded_batches, fresh
 
 SAMPLE, FEATURES, FOLDS, SEED = 1500, 4096, 4, 42
 PREFIXES = (4, 5, 6)
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
 
 
 def score_documents(docs: DataFrame, chain: list[Linear], names: list[str], keep: bool = False, id_column: str = "doc_id") -> DataFrame:
-    """A column <name>_probability for each category, beside the id, or beside all columns of docs (keep=True)."""
+    """A column of probabilities for each category, named by names, beside the id, or beside all columns of docs (keep=True)."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     wanted = docs if keep else docs.select(F.col(id_column), "text")
@@ -227,10 +227,10 @@ def score_documents(docs: DataFrame, chain: list[Linear], names: list[str], keep
                     found[k].append(round(earlier[-1], 9))
             columns = [b.column(i) for i in range(b.num_columns)] if keep else [b.column(id_column)]
             own = b.schema.names if keep else [id_column]
-            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, found)], [*own, *(f"{n}_probability" for n in names)])
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, found)], [*own, *names])
 
     own = wanted.schema.fields if keep else [wanted.schema[id_column]]
-    return wanted.mapInArrow(run, StructType([*own, *(StructField(f"{n}_probability", DoubleType()) for n in names)]))
+    return wanted.mapInArrow(run, StructType([*own, *(StructField(n, DoubleType()) for n in names)]))
 
 
 def categories() -> dict[str, Column]:
@@ -241,11 +241,12 @@ def categories() -> dict[str, Column]:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, id_column: str = "doc_id") -> DataFrame:
     """(id, low_quality_probability, toxic_probability, toxic) for each document."""
     chain = train(docs, labels, categories(), sample, id_column)
-    return score_documents(docs, chain, list(categories()), id_column=id_column).withColumn("toxic", F.col("toxic_probability") >= threshold)
+    return score_documents(docs, chain, [f"{k}_probability" for k in categories()], id_column=id_column).withColumn("toxic", F.col("toxic_probability") >= threshold)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, id_column: str = "doc_id") -> DataFrame:
     """docs without those that are toxic."""
     chain = train(docs, labels, categories(), sample, id_column)
-    scored = score_documents(docs, chain, [f"_{k}" for k in categories()], True, id_column)
-    return scored.where(F.col("_toxic_probability") < threshold).select(*docs.columns)
+    names = dict(zip(categories(), (fresh(docs, f"{k}_probability") for k in categories()), strict=True))
+    scored = score_documents(docs, chain, list(names.values()), True, id_column)
+    return scored.where(F.col(names["toxic"]) < threshold).drop(*names.values())
