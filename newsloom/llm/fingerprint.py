@@ -5,26 +5,27 @@ chunks depend on the text near them alone, and an edit changes the chunks around
 a letter; the letters at a block size and at twice that are the fingerprint. Two fingerprints
 are alike by the edit distance of their letters at a block size that both have.
 
-Texts are put in the order of identifiers by ranges of identifiers; each range also gets the first document of the next
-one, so that every document meets its successor with one shuffle of the texts.
+Texts are put in the order of identifiers by a sampled range partitioning, so that every document meets its successor with one
+shuffle of the texts. The first and the last document of each range are written beside the results, under the number of
+the range, and the last ones are joined with the first ones of the next range that has any.
 
 Cases: a null text is empty; an empty text has no letters, and is like another empty text only; null identifiers come
-last; rows with one identifier are ordered by their texts; the successor of the last document is the
+last; rows with one identifier are in the order of their texts' XXH64 (Spark's, signed); the successor of the last document is the
 first; of a single document, itself; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import bounded_batches, text_or_empty
+from newsloom.session import materialize
 
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 LEAST, MOST, REACH = 3, 64, 7
@@ -151,66 +152,80 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def range_bounds(keyed: DataFrame, ranges: int) -> list[tuple]:
-    """The first (none, id, key) of each of at most so many ranges of documents, from a sampled range partitioning.
+RESULT = "id long, n_chars long, edited_sha256 binary, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    The driver gets one line for each range, as it does from Spark's own range partitioning.
-    """
-    order = ["none", "id", "key"]
-    thin = keyed.select(*order).repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id())
-    first = thin.groupBy("part").agg(F.min(F.struct("none", F.coalesce("id", F.lit(0)).alias("id"), "key")).alias("first"))
-    return sorted({tuple(r.first) for r in first.collect()})
 
+def compared(rows: list[tuple[int | None, str, Signature, str, Signature]]) -> list[pa.Array]:
+    """RESULT of (id, text, its signature, the successor's text, its signature)."""
+    changed = [edited(text, following).encode() for _, text, _, following, _ in rows]
+    signs = [signature(c) for c in changed]
+    near = likeness([(r[2], s) for r, s in zip(rows, signs, strict=True)]), likeness([(r[2], r[4]) for r in rows])
+    return [
+        pa.array([r[0] for r in rows], pa.int64()),
+        pa.array([len(r[1]) for r in rows], pa.int64()),
+        pa.array([hashlib.sha256(c).digest() for c in changed], pa.binary()),
+        pa.array([str(r[2]) for r in rows], pa.string()),
+        pa.array([str(s) for s in signs], pa.string()),
+        *(pa.array(n, pa.float64()) for n in near),
+    ]
 
-def compare_successors(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each document."""
-    bounded_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    keyed = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty().alias("text")).withColumn("none", F.isnull("id")).withColumn("key", F.xxhash64("text"))
-    # Several ranges share a partition, so that the partitions are even.
-    cuts = range_bounds(keyed, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    total = max(1, len(cuts))
-    shared = spark.sparkContext.broadcast(cuts)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The range of each document; a document at a bound goes to the range before as well, as extra."""
-        at = shared.value
-        for b in batches:
-            keys = list(zip(b.column("none").to_pylist(), [i or 0 for i in b.column("id").to_pylist()], b.column("key").to_pylist(), strict=True))
-            of = [max(0, bisect_right(at, k) - 1) for k in keys]
-            twice = [i for i, k in enumerate(keys) if at[of[i]] == k]
-            take = pa.array([*range(len(keys)), *twice], pa.int32())
-            out = b.take(take)
-            ranges = pa.array(of + [(of[i] - 1) % total for i in twice], pa.int32())
-            extra = pa.array([False] * len(keys) + [True] * len(twice))
-            yield pa.RecordBatch.from_arrays([ranges, extra, out.column("none"), out.column("id"), out.column("key"), out.column("text")], ["range", "extra", "none", "id", "key", "text"])
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document with its successor; a range's extra rows come last, of which the first counts."""
-        held = None  # (range, id, text, data, signature), waiting for its successor
-        ready: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            near = likeness([(r[4], r[5]) for r in ready]), likeness([(r[4], r[6]) for r in ready])
-            columns = [pa.array([r[0] for r in ready], pa.int64()), pa.array([r[1] for r in ready], pa.int64()), pa.array([r[2] for r in ready], pa.string()), pa.array([str(r[4]) for r in ready], pa.string()), pa.array([str(r[5]) for r in ready], pa.string()), *map(pa.array, near)]
-            ready.clear()
-            return pa.RecordBatch.from_arrays(columns, ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
+def walk(sorted_ranges: DataFrame) -> DataFrame:
+    """(part, id, text) in order, to RESULT of each document but a range's last; and each range's first and last document, with part, head and text."""
+    names = [f.split()[0] for f in RESULT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def results(rows: list[tuple]) -> pa.RecordBatch:
+            nothing = [pa.nulls(len(rows), t) for t in (pa.int32(), pa.bool_(), pa.string())]
+            return pa.RecordBatch.from_arrays([*compared(rows), *nothing], [*names, "part", "head", "text"])
+
+        def border(part: int, head: bool, i: int | None, text: str) -> pa.RecordBatch:
+            row = {n: [None] for n in names} | {"id": [i], "part": [part], "head": [head], "text": [text]}
+            return pa.RecordBatch.from_pydict(row, schema=results([]).schema)
+
+        held, part, ready = None, None, []
         for b in batches:
-            for part, extra, i, text in zip(*(b.column(c).to_pylist() for c in ("range", "extra", "id", "text")), strict=True):
-                if extra and (held is None or held[0] != part):
-                    continue
+            for part, i, text in zip(*(b.column(c).to_pylist() for c in ("part", "id", "text")), strict=True):
                 sign = signature(text.encode())
-                if held is not None:
-                    _, own, old, old_sign = held
-                    changed = edited(old, text).encode()
-                    ready.append((own, len(old), hashlib.sha256(changed).hexdigest(), None, old_sign, signature(changed), sign))
-                held = None if extra else (part, i, text, sign)
-            if len(ready) >= 1000:
-                yield flush()
+                if held is None:
+                    yield border(part, True, i, text)
+                else:
+                    ready.append((*held, text, sign))
+                held = (i, text, sign)
+                if len(ready) >= 1000:
+                    yield results(ready)
+                    ready = []
         if ready:
-            yield flush()
+            yield results(ready)
+        if held is not None:
+            yield border(part, False, held[0], held[1])
+
+    return sorted_ranges.mapInArrow(run, f"{RESULT}, part int, head boolean, text string")
+
 
-    dealt = keyed.mapInArrow(deal, "range int, extra boolean, none boolean, id long, key long, text string")
-    walked = dealt.repartition("range").sortWithinPartitions("range", "extra", "none", "id", "key").mapInArrow(walk, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return walked.withColumnRenamed("id", id_column)
+def compare_borders(rows: DataFrame) -> DataFrame:
+    """(id, text, following) to RESULT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("id", "text", "following")), strict=True)
+            yield pa.RecordBatch.from_arrays(compared([(i, t, signature(t.encode()), f, signature(f.encode())) for i, t, f in rows]), [f.split()[0] for f in RESULT.split(", ")])
+
+    return rows.mapInArrow(run, RESULT)
+
+
+def compare_successors(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each document."""
+    bounded_batches(docs.sparkSession)
+    order = ["none", "id", "key"]
+    keyed = docs.select(F.isnull(id_column).alias("none"), F.col(id_column).cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text"))
+    ranges = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "id", "text")
+    walked = materialize(walk(ranges), "walked")
+
+    heads = walked.where("head").select("part", F.col("text").alias("following"))
+    parts = heads.select("part")  # a number for each range
+    following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))
+    last = walked.where("not head").select("part", "id", "text").join(parts.select("part", following.alias("next")), "part")
+    borders = compare_borders(last.join(heads.withColumnRenamed("part", "next"), "next").select("id", "text", "following"))
+    rows = walked.where("part is null").drop("part", "head", "text").unionAll(borders)
+    return rows.withColumn("edited_sha256", F.lower(F.hex("edited_sha256"))).withColumnRenamed("id", id_column)
