@@ -269,6 +269,29 @@ def test_warc(spark):
     assert warc.archive_pages(df.where("page_id < 0")).count() == 0
     twice = warc.archive_pages(df.where("page_id = 503").unionAll(df.where("page_id = 503"))).collect()
     assert sorted((r.record_type, r.refers_to) for r in twice) == [("response", None), ("revisit", 503)]
+    odd = [(9, "b", long[0]), (9, "a", long[0]), (9, "a", long[0]), (9, None, long[0]), (9, None, long[0]), (3, "a", long[0]), (None, "n", long[0]), (None, "n", long[1]), (None, "m", long[1]), (4, "x", "y" * 999), (4, "x", "y" * 999)]
+    got = warc.archive_pages(spark.createDataFrame(odd, "page_id long, url string, html string").repartition(3)).collect()
+    same([(r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in got], [
+        (9, "", 1000, "response", None), (9, "", 1000, "revisit", 9), (9, "a", 1000, "revisit", 9), (9, "a", 1000, "revisit", 9), (9, "b", 1000, "revisit", 9), (3, "a", 1000, "revisit", 9), (None, "n", 1000, "revisit", 9),
+        (None, "n", 1010, "response", None), (None, "m", 1010, "response", None), (4, "x", 999, "response", None), (4, "x", 999, "response", None),
+    ])
+
+
+def test_warc_join_can_be_split(spark):
+    """Nothing but the join uses how the pages were dealt by payload, so Spark may split a hot payload's partition; nor is there a window."""
+    pages = spark.createDataFrame([(i, "u", "x" * 2000 if i % 2 else "y" * (1000 + i)) for i in range(300)], "page_id long, url string, html string").repartition(7)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "500"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = warc.decide(pages)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "Window" not in plan and "SortMergeJoin(skew=true)" in plan
 
 
 def test_archive_bytes():
@@ -277,6 +300,9 @@ def test_archive_bytes():
     assert int.from_bytes(data[:4], "little") == warc.DICT_FRAME
     assert [h["WARC-Record-ID"] for h, _ in warc.read_archive(data)] == [f"<urn:page:{i}>" for i in range(300)]
     assert [b for _, b in warc.read_archive(warc.archive(records[:3]))][2].endswith(b"</html>")
+    for few in (records[:1], [records[0]] * 40, [b"WARC/1.1\r\nContent-Length: 0\r\n\r\n"], [warc.record(1, "u", "z" * 5_000_000, "d", "response", None)] * 3):
+        data = warc.archive(few)  # too few or too alike to train on: still a dictionary, and all comes back
+        assert int.from_bytes(data[:4], "little") == warc.DICT_FRAME and len(list(warc.read_archive(data))) == len(few)
     assert warc.archive([]) == b"" and list(warc.read_archive(b"")) == []
 
 
