@@ -8,8 +8,8 @@ leave, dealt by weight, would lift it above its cap.
 Of each source, every document is taken as many whole times as the target allows, and the rest of the
 target is a fractional repetition: the first documents in a seeded order up to the target, the last
 of which is taken in part (parts=True) or as a whole if more than half of it fits (parts=False).
-The running sum in that order is over BUCKETS slices of the order for each source, so that a source
-with most of the rows is dealt over as many tasks.
+The running sum in that order is over slices of the order for each source, as many as the rows ask for (about SLICE rows in each if one
+source has all), so that a source with most of the rows is dealt over many tasks.
 
 Cases: a null text has no words; null is a source of its own, after the others; sources without words
 have the target 0; repeated rows are taken each for itself; an empty table gives none.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import WORD, packed
 from newsloom.session import materialize
 
-BUCKETS = 1024
+SLICE = 1 << 15
 
 
 def word_count(text: Column) -> Column:
@@ -63,8 +63,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int,
     """(id, size, source_size, target, taken, key) for each document; key names it among docs with one id."""
     text = F.col("text")
     thin = docs.select(F.col(id_column).alias("id"), "source", word_count(text).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("")))).alias("order"), F.xxhash64("text").alias("key"))
-    thin = thin.withColumn("bucket", F.expr(f"cast(conv(substring(`order`, 1, 3), 16, 10) as bigint) * {BUCKETS} div 4096"))
     thin = materialize(thin.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("none", F.isnull("source")), "sizes")
+    rows = thin.count()
+    digits = next(d for d in range(33) if 16**d * SLICE >= rows)
+    thin = thin.withColumn("bucket", F.substring("order", 1, digits))  # the order is even over its first digits
 
     slices = thin.groupBy("name", "none", "bucket").agg(F.sum("size").alias("bucket_size"))
     sizes = slices.groupBy(F.when(~F.col("none"), F.col("name")).alias("source")).agg(F.sum("bucket_size").alias("source_size"))

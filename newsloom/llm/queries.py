@@ -106,7 +106,7 @@ SQL = {
             FROM y
         ), r AS (
             SELECT d.*, source_size, target, floor(target + 0.5)::BIGINT AS cut,
-                   sum(size) OVER (PARTITION BY d.source ORDER BY o[1:3], o, size ROWS UNBOUNDED PRECEDING) - size AS before
+                   sum(size) OVER (PARTITION BY d.source ORDER BY o, size ROWS UNBOUNDED PRECEDING) - size AS before
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
         )
         SELECT doc_id, size, source_size, round(target, 6) AS target,

@@ -217,7 +217,7 @@ def test_near_pairs(spark, crowd, groups):
     assert shape(find) == shape(want.__getitem__)
 
 
-def test_mixing(docs, plain, empty):
+def test_mixing(docs, plain, empty, monkeypatch):
     got = mixing.mix(docs).collect()
     size = lambda t: len((t or "").encode().split())
     source = {}
@@ -244,6 +244,9 @@ def test_mixing(docs, plain, empty):
         taken[s] += r.taken
     assert len(got) == len(rows()) and all(abs(taken[s] - target[s]) <= 1 for s in names)
     same(got, map(tuple, mixing.mix(docs.repartition(3)).collect()))
+    for rows_a_slice in (64, 2):  # the slices change nothing
+        monkeypatch.setattr(mixing, "SLICE", rows_a_slice)
+        same(got, map(tuple, mixing.mix(docs).collect()))
     many = mixing.mixed_documents(docs)
     passes_through(docs, many)
     words = many.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
