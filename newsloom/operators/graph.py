@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.session import materialize
+from newsloom.session import materialize, release
 
 
 def connected_components(edges: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
@@ -24,8 +24,9 @@ def connected_components(edges: DataFrame, left: str = "left", right: str = "rig
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         step = materialize(step, "step")
+        old_labels, old_edges = labels, e
         if labels is None:
-            labels = step.select(F.col("n").alias("node"), F.col("m").alias("component"))
+            labels = materialize(step.select(F.col("n").alias("node"), F.col("m").alias("component")), "labels")
         else:
             labels = materialize(
                 labels.join(step, labels.component == step.n, "left").select("node", F.coalesce("m", "component").alias("component")),
@@ -39,5 +40,7 @@ def connected_components(edges: DataFrame, left: str = "left", right: str = "rig
             .distinct(),
             "edges",
         )
+        release(old_labels, old_edges, step)
         if e.isEmpty():
+            release(e)
             return labels

@@ -24,15 +24,22 @@ def get_session(app: str = "newsloom", master: str | None = None, **conf: str) -
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
+    """This application's folder in the one that driver and executors share, spark.checkpoint.dir; it goes when the driver ends.
 
-    Only where that is unset, as in local tests, a temporary folder is set.
+    Only where that is unset and the master is local, as in tests, it is in a temporary folder. ValueError on a cluster.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(scratch_dir, "local", None) or f"file://{tempfile.mkdtemp(prefix='newsloom-')}"
-        scratch_dir.local = root
-    return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    known = getattr(scratch_dir, "of", {})
+    if app not in known:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        known[app] = f"{root.rstrip('/')}/newsloom-{app}" if root else f"file://{tempfile.mkdtemp(prefix='newsloom-')}"
+        fs, path = _path(spark, known[app])
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        scratch_dir.of = known
+    return known[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -43,16 +50,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
-    It cuts the lineage durably: a lost executor costs a read, not a recomputation.
+    It cuts the lineage durably: a lost executor costs a read, not a recomputation. release() deletes it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete what materialize() wrote, once all that was made of it is written too."""
+    for t in tables:
+        if path := getattr(t, "scratch", None):
+            remove_path(t.sparkSession, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete path, on whichever file system it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
