@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import bounded_batches
 from newsloom.llm.simhash import drop_groups, grouped, shingle_hashes
 from newsloom.operators.graph import connected_components
-from newsloom.session import materialize
+from newsloom.session import materialize, release
 
 #: One in SAMPLE documents is counted; the COMMON commonest shingles go last, by their counts.
 SAMPLE, COMMON, PIVOTS, FOLD = 16, 1 << 16, 8, 8
@@ -126,85 +126,122 @@ def near(left: str, right: str) -> Column:
     return alike(n, m, furthest) & (most * 9 >= (n + m) * 4) & alike(n, m, folds)
 
 
+def tagged(df: DataFrame, end: str) -> DataFrame:
+    """df's columns as a struct of that name, beside what it is of."""
+    return df.select(F.col("fp").alias(f"{end}_fp"), F.struct(*df.columns).alias(end))
+
+
 class Search:
-    """What the search for similar fingerprints needs again and again."""
+    """The tables of a search: rows (h, fp, rank), the first bits that fingerprints share, and sets, what is known of each fingerprint.
+
+    rank grows with how many of a fingerprint's first bits are shared; the highest rank leads. It ends in bits of the fingerprint's name.
+    """
 
     def __init__(self, prints: DataFrame, docs: DataFrame, words: int, id_column: str):
         self.docs, self.words, self.id_column = docs, words, id_column
-        first = F.min(F.struct(F.isnull("id").alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "key")).alias("row")
-        #: (fp, n, pivots, fold, row): one row for each set; row says which document has it.
-        self.sets = materialize(prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"), F.first("fold").alias("fold"), first), "sets")
+        first = prints.select("fp", F.explode("first").alias("h"))
+        several = materialize(first.groupBy("h").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("h"), "several")
+        rows = materialize(first.join(several, "h").distinct(), "shared")
+        weights = rows.groupBy("fp").agg(F.count("*").alias("k"))
+        row = F.min(F.struct(F.isnull("id").alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "key")).alias("row")
+        sets = prints.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "pivots", "fold")), row).join(weights, "fp")
+        share = F.floor(F.col("k") * 127 / (F.floor(F.col("n") / 5) + 1))
+        rank = F.shiftleft(share, 56).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << 56) - 1)))
+        self.sets = materialize(sets.select("fp", "n", "pivots", "fold", "row", rank.alias("rank"), F.lit(0).cast("long").alias("own"), F.col("fp").alias("component")), "sets")
+        self.rows = materialize(rows.join(self.sets.select("fp", "rank"), "fp").select("h", "fp", "rank"), "rows")
+        self.most, self.links = PAIRS * self.rows.count(), None
+        release(several, rows)
 
     def bits(self, fps: DataFrame) -> DataFrame:
         """(fp, bits) of some fps, made again from their documents' texts."""
         wanted = materialize(self.sets.join(fps, "fp", "left_semi").select("fp", "row.*"), "wanted")
-        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+        few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
         texts = self.docs.select(F.isnull(self.id_column).alias("none"), F.coalesce(F.col(self.id_column), F.lit(0)).alias("id"), F.xxhash64("text").alias("key"), "text")
-        found = bits_of(texts.join(wanted, ["none", "id", "key"]), self.words)
-        return materialize(found.dropDuplicates(["fp"]), "bits")
+        found = bits_of(texts.join(few, ["none", "id", "key"]), self.words)
+        found = materialize(found.dropDuplicates(["fp"]), "bits")
+        release(wanted)
+        return found
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs (left, right) that are similar."""
+    def verify(self, pairs: DataFrame) -> bool:
+        """Add those of pairs (left, right) that are similar to the links; whether there are any."""
         pairs = materialize(pairs.distinct(), "met")
         bits = self.bits(pairs.select(F.explode(F.array("left", "right")).alias("fp")).distinct())
+        found = pairs
         for end in ("left", "right"):
-            pairs = pairs.join(bits.select(F.col("fp").alias(end), F.col("bits").alias(f"b_{end}")), end)
+            found = found.join(bits.select(F.col("fp").alias(end), F.col("bits").alias(f"b_{end}")), end)
         a, b = F.size("b_left"), F.size("b_right")
-        return materialize(pairs.where(alike(a, b, a + b - F.size(F.array_intersect("b_left", "b_right")) * 2)).select("left", "right"), "similar")
-
-    def shared(self, prints: DataFrame) -> DataFrame:
-        """(h, fp, n, pivots, fold, weight): the first bits that several fingerprints share. weight: how many of a fingerprint's first bits are shared."""
-        first = prints.select("fp", F.explode("first").alias("h"))
-        several = materialize(first.groupBy("h").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("h"), "several")
-        rows = materialize(first.join(several, "h").distinct(), "shared")
-        weights = rows.groupBy("fp").agg(F.count("*").alias("k")).join(self.sets, "fp").select("fp", "n", "pivots", "fold", (F.col("k") / (F.floor(F.col("n") / 5) + 1)).alias("weight"))
-        return rows.join(materialize(weights, "weights"), "fp")
-
-    def possible(self, rows: DataFrame) -> DataFrame:
-        """rows with own, the bits that a fingerprint alone has; without those that have too many for any partner of a size that there is."""
-        bits = self.bits(rows.select("fp").distinct()).select("fp", F.explode("bits").alias("b"))
-        own = bits.groupBy("b").agg(F.count("*").alias("k"), F.min("fp").alias("fp")).where("k = 1").groupBy("fp").agg(F.count("*").alias("own"))
-        rows = materialize(rows.drop("own").join(materialize(own, "own"), "fp", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long")), "owned")
+        found = materialize(found.where(alike(a, b, a + b - F.size(F.array_intersect("b_left", "b_right")) * 2)).select("left", "right"), "similar")
+        release(pairs, bits)
+        self.links = found if self.links is None else self.links.unionAll(found)
+        return not found.isEmpty()
+
+    def lead(self) -> bool:
+        """Compare each bit's leader with its other fingerprints; whether some are similar. The leaders are done then."""
+        lead = materialize(self.rows.groupBy("h").agg(F.max("rank").alias("top")), "leaders")
+        others = self.rows.join(lead, "h").where("rank < top")
+        met = others.select("top", "fp").distinct().join(tagged(self.sets, "r"), F.col("fp") == F.col("r_fp"))
+        met = met.join(tagged(self.sets, "l"), F.col("top") == F.col("l.rank")).where((F.col("r.component") != F.col("l.component")) & near("r", "l"))
+        found = self.verify(met.select(F.col("l.fp").alias("left"), F.col("r.fp").alias("right")))
+        labels = connected_components(self.links)
+        old = self.sets, self.rows
+        sets = self.sets.drop("component").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        self.sets = materialize(sets, "sets")
+        self.rows = materialize(others.select("h", "fp", "rank"), "others")
+        release(*old, lead, labels)
+        self.apart()
+        return found
+
+    def apart(self) -> None:
+        """Only bits whose fingerprints are in several components are left in rows."""
+        rows, old = self.rows.join(self.sets.select("fp", "component"), "fp"), self.rows
+        several = rows.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+        several = materialize(several, "several")
+        self.rows = materialize(old.join(several, "h"), "apart")
+        release(old, several)
+
+    def pairs_left(self) -> int:
+        """Pairs that share a bit and are in different components."""
+        n = F.col("n").cast("double")
+        each = self.rows.join(self.sets.select("fp", "component"), "fp").groupBy("h", "component").agg(F.count("*").alias("n"))
+        each = each.groupBy("h").agg(F.sum(n).alias("n"), F.sum(n * n).alias("inside"))
+        return int(each.agg(F.sum((n * n - F.col("inside")) / 2)).first()[0] or 0)
+
+    def sort_out(self) -> None:
+        """Count the bits that a fingerprint alone has; without those that have too many for any partner of a size that shares a bit with them."""
+        all_bits = self.bits(self.rows.select("fp").distinct())
+        own = all_bits.select("fp", F.explode("bits").alias("b")).groupBy("b").agg(F.count("*").alias("k"), F.min("fp").alias("fp"))
+        own = materialize(own.where("k = 1").groupBy("fp").agg(F.count("*").alias("alone")), "own")
+        old = self.sets, self.rows
+        self.sets = materialize(self.sets.join(own, "fp", "left").withColumn("own", F.coalesce("alone", "own")).drop("alone"), "sets")
+        rows = self.rows.join(self.sets.select("fp", "n", "own"), "fp")
         least = materialize(rows.groupBy("h").agg(F.min("n").alias("least")), "least")
         most = F.col("n") - F.col("own")
-        return rows.join(least, "h").where(most * 9 >= (F.col("n") + F.greatest("least", F.ceil(F.col("n") * 4 / 5))) * 4).drop("least")
-
+        able = most * 9 >= (F.col("n") + F.greatest("least", F.ceil(F.col("n") * 4 / 5))) * 4
+        self.rows = materialize(rows.join(least, "h").where(able).select("h", "fp", "rank"), "able")
+        release(*old, all_bits, own, least)
+        self.apart()
 
-def several_components(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows with their components by links, of bits whose fingerprints are in several."""
-    labels = connected_components(links).withColumnRenamed("node", "fp")
-    rows = materialize(rows.drop("component").join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "labelled")
-    several = rows.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    return materialize(rows.join(materialize(several, "several"), "h"), "apart")
+    def rest(self) -> None:
+        """Compare all pairs of different components that are left."""
+        known = self.sets.select("fp", "n", "pivots", "fold", "own", "component")
+        rows = materialize(self.rows.select("h", "fp").join(known, "fp"), "known")
+        a, b = rows.alias("a"), rows.alias("b")
+        apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.component") != F.col("b.component"))
+        self.verify(a.join(b, apart & near("a", "b")).select(F.col("a.fp").alias("left"), F.col("b.fp").alias("right")))
+        release(rows)
 
 
 def similar_pairs(prints: DataFrame, docs: DataFrame, words: int = 5, id_column: str = "doc_id") -> DataFrame:
     """(left, right): links between distinct sets of a similarity of 0.8 or more, enough of them to join all that are linked."""
     search = Search(prints, docs, words, id_column)
-    rows = materialize(search.shared(prints).withColumn("component", F.col("fp")).withColumn("own", F.lit(0).cast("long")), "rows")
-    most, links, turn = PAIRS * rows.count(), None, 0
-    while True:
-        lead = rows.groupBy("h").agg(F.max(F.struct("weight", "fp", "n", "pivots", "fold", "own", "component")).alias("l"))
-        lead = materialize(lead.select("h", "l.*"), "leaders")
-        met = rows.alias("r").join(lead.alias("l"), "h").where((F.col("r.component") != F.col("l.component")) & near("r", "l"))
-        stars = search.verified(met.select(F.col("l.fp").alias("left"), F.col("r.fp").alias("right")))
-        links = stars if links is None else links.unionAll(stars)
-        rows = several_components(rows.join(lead.select("h", "fp"), ["h", "fp"], "left_anti"), links)
-        if pairs_apart(rows) <= most or (turn and stars.isEmpty()):
-            break
+    found, turn = search.lead(), 0
+    while search.pairs_left() > search.most and (found or not turn):
         if not turn:
-            rows = several_components(search.possible(rows), links)
-        turn += 1
-    a, b = rows.alias("a"), rows.alias("b")
-    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.component") != F.col("b.component"))
-    return links.unionAll(search.verified(a.join(b, apart & near("a", "b")).select(F.col("a.fp").alias("left"), F.col("b.fp").alias("right"))))
-
-
-def pairs_apart(rows: DataFrame) -> int:
-    """Pairs of rows that share a bit and are in different components."""
-    n = F.col("n").cast("double")
-    each = rows.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum(n).alias("n"), F.sum(n * n).alias("inside"))
-    return int(each.agg(F.sum((n * n - F.col("inside")) / 2)).first()[0] or 0)
+            search.sort_out()
+        found, turn = search.lead(), turn + 1
+    search.rest()
+    release(search.rows, search.sets)
+    return search.links
 
 
 def components(docs: DataFrame, words: int = 5, id_column: str = "doc_id") -> DataFrame:
