@@ -108,9 +108,28 @@ def join_text(*parts: Column, separator: str = " ") -> Column:
     return strip(F.concat_ws(separator, *(F.coalesce(p, F.lit("")) for p in parts)))
 
 
+def raw_tokens(text: Column) -> Column:
+    """Tokens as written; underscores belong to them."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Tokens as written; underscores and no-break spaces separate them."""
-    return F.regexp_extract_all(F.translate(text, "_ ", "  "), F.lit(TOKEN), F.lit(0))
+    return raw_tokens(F.translate(text, "_\u00a0", "  "))
+
+
+# What is taken off the ends of a token, beside white space.
+EDGES = ",.;:!?\"'`()[]{}<>“”‘’"
+
+
+def normalize_token(token: Column) -> Column:
+    """In lower case, underscores as spaces, without white space and punctuation at its ends."""
+    return F.lower(F.btrim(F.replace(token, F.lit("_"), F.lit(" ")), F.lit(f" \t\r\n{EDGES}")))
+
+
+def is_blank(text: Column) -> Column:
+    """Null, or white space only."""
+    return F.coalesce(strip(text) == "", F.lit(True))
 
 
 def lower_tokens(text: Column) -> Column:

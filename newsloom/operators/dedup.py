@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,29 +38,34 @@ def insert_status(batch: DataFrame, existing: DataFrame, position: str = "pos")
 
     A row repeats an existing URL or content hash, or one of an earlier row of the batch that was created. A row is refused by its URL first.
     In each round the rows that are the first undecided ones of their URL and of their hash are created, and the others of these URLs and
-    hashes are refused; refused rows store nothing, so the next round is without them. Each round is a written table.
+    hashes are refused; refused rows store nothing, so the next round is without them. Each round is a written table; there are as many as
+    the longest chain of rows that each refuse the next asks for. First rows are minima, combined before the shuffle, and all joins are with tables of one
+    row for each URL or hash, so that one that very many rows have can be split. A null URL or hash is one like any other.
     """
-    urls = existing.select(F.col("url")).distinct().withColumn("_url", F.lit(True))
-    hashes = existing.select(F.col("content_hash")).distinct().withColumn("_hash", F.lit(True))
-    rows = batch.join(urls, "url", "left").join(hashes, "content_hash", "left").withColumn("_n", F.monotonically_increasing_id())
-    rows = materialize(rows.withColumn("_at", F.struct(position, "_n")), "rows")
-    left, created = rows.where("_url is null and _hash is null").select("_at", "url", "content_hash"), None
-    by_url, by_hash = Window.partitionBy("url"), Window.partitionBy("content_hash")
+    known = lambda c: existing.select(F.col(c).alias("k")).distinct().withColumn("known", F.lit(True))
+    n = materialize(batch.select(F.struct("*").alias("row"), "url", "content_hash", F.struct(F.col(position).alias("pos"), F.monotonically_increasing_id().alias("n")).alias("at")), "batch")
+    rows = n
+    for c in ("url", "content_hash"):
+        rows = rows.join(known(c), F.col(c).eqNullSafe(F.col("k")), "left").withColumn(f"old_{c}", F.col("known").isNotNull()).drop("k", "known")
+    rows = materialize(rows, "rows")
+    left, created = rows.where("not old_url and not old_content_hash").select("at", "url", "content_hash"), []
     while True:
-        first = (F.col("_at") == F.min("_at").over(by_url)) & (F.col("_at") == F.min("_at").over(by_hash))
-        left = left.withColumn("_new", first)
-        left = materialize(left.withColumn("_known", F.max("_new").over(by_url) | F.max("_new").over(by_hash)), "decided")
-        new = left.where("_new").select("_at", "url", "content_hash")
-        created = new if created is None else created.unionAll(new)
-        left = left.where("not _known").select("_at", "url", "content_hash")
+        first = left
+        for c in ("url", "content_hash"):
+            least = left.groupBy(F.col(c).alias("k")).agg(F.min("at").alias("least"))
+            first = first.join(least, F.col(c).eqNullSafe(F.col("k"))).where("at = least").drop("k", "least")
+        created.append(materialize(first, "created"))
+        for c in ("url", "content_hash"):
+            left = left.join(created[-1].select(F.col(c).alias("k")), F.col(c).eqNullSafe(F.col("k")), "left_anti")
+        left = materialize(left, "left")
         if left.isEmpty():
             break
-    rows = rows.join(created.select(F.col("_at._n").alias("_n"), F.lit(True).alias("_new")), "_n", "left").withColumn("_new", F.col("_new").isNotNull())
+    new = reduce(DataFrame.unionAll, created)
     # At most one row of a URL is created.
-    earlier = F.min(F.when(F.col("_new"), F.col("_at"))).over(by_url)
-    by = F.col("_url").isNotNull() | F.coalesce(earlier < F.col("_at"), F.lit(False))
-    status = F.when(F.col("_new"), "CREATED").when(by, "DUPLICATE_URL").otherwise("DUPLICATE_CONTENT")
-    return rows.withColumn("status", status).select(*batch.columns, "status")
+    rows = rows.join(new.select(F.col("url").alias("k"), F.col("at").alias("made")), F.col("url").eqNullSafe(F.col("k")), "left")
+    by_url = F.col("old_url") | F.coalesce(F.col("made") < F.col("at"), F.lit(False))
+    status = F.when(F.coalesce(F.col("made") == F.col("at"), F.lit(False)), "CREATED").when(by_url, "DUPLICATE_URL").otherwise("DUPLICATE_CONTENT")
+    return rows.select("row.*", status.alias("status"))
 
 
 def upsert(existing: DataFrame, changes: DataFrame, keys: list[str], order: str, keep: list[str] = ("id", "created_at")) -> DataFrame:

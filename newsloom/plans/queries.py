@@ -221,11 +221,10 @@ QUERIES["trends"] = flagship
 SQL["trends"] = f"WITH {TREND} SELECT {TREND_COLUMNS} FROM scored ORDER BY scored.trend_score DESC, recent_articles DESC, total_articles DESC, scored.keyword_strength DESC, keyword LIMIT 50"
 
 
-@query(f"""WITH {TREND}, l AS (SELECT keyword, recent_articles, previous_articles, CASE WHEN previous_articles = 0 THEN 'NEW' END AS label FROM scored)
-    SELECT keyword, recent_articles, previous_articles, coalesce(label, printf('%+.1f%%', (recent_articles - previous_articles)::DOUBLE / previous_articles * 100)) AS growth_label
-    FROM l WHERE previous_articles IN (0, 1, 2, 4, 5)""")
+# Engines round a printed half differently, so the label is compared in tests with a plain version.
+@query()
 def growth_labels(spark, sf_dir):
-    return trends.trends(*views(spark, sf_dir)).where("previous_articles in (0, 1, 2, 4, 5)").select("keyword", "recent_articles", "previous_articles", "growth_label")
+    return trends.trends(*views(spark, sf_dir)).select("keyword", "recent_articles", "previous_articles", "growth_label")
 
 
 EDGES = f"""{TREND}, rel AS (
@@ -285,9 +284,12 @@ def keyword_upsert(spark, sf_dir):
 
 # Keyword extraction
 
-WORDS = r"w AS (SELECT doc_id AS id, regexp_extract_all(translate(text, '_' || chr(160), '  '), '[\p{L}\p{N}_]+(?:[./:&+#-][\p{L}\p{N}_]+)*') AS w FROM documents)"
-GRAMS = WORDS + """, pos AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w), g AS (
-    SELECT id, n, i - 1 AS pos, list_slice(w, i, i + n - 1) AS raw FROM pos, (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(w))"""
+FULL = "regexp_matches(text, '[^\\s\\p{Z}]')"
+WORDS = rf"w AS (SELECT doc_id AS id, regexp_extract_all(translate(text, '_' || chr(160), '  '), '[\p{{L}}\p{{N}}_]+(?:[./:&+#-][\p{{L}}\p{{N}}_]+)*') AS w FROM documents WHERE {FULL})"
+AS_WRITTEN = rf"w AS (SELECT doc_id AS id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+(?:[./:&+#-][\p{{L}}\p{{N}}_]+)*') AS w FROM documents WHERE {FULL})"
+EACH_GRAM = """, pos AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w), g AS (
+    SELECT id, n, i - 1 AS pos, list_slice(w, i, i + n - 1) AS raw FROM pos, (SELECT unnest([1, 2, 3, 4, 5]) AS n) WHERE i + n - 1 <= len(w))"""
+GRAMS = WORDS + EACH_GRAM
 
 
 def as_docs(spark, sf_dir):
@@ -299,9 +301,9 @@ def tokenize_counts(spark, sf_dir):
     return as_docs(spark, sf_dir).select(F.explode(text.tokens(F.col("text"))).alias("t")).groupBy(F.lower("t").alias("token")).agg(F.count("*").alias("count"))
 
 
-@query(f"WITH {GRAMS} SELECT n, lower(array_to_string(raw, ' ')) AS gram, count(*) AS count FROM g GROUP BY 1, 2 HAVING count(*) > 1")
+@query(f"WITH {GRAMS} SELECT n, lower(array_to_string(raw, ' ')) AS gram, count(*) AS count FROM g GROUP BY 1, 2")
 def ngram_counts(spark, sf_dir):
-    return keywords.ngram_counts(as_docs(spark, sf_dir), 3).where("count > 1")
+    return keywords.ngram_counts(as_docs(spark, sf_dir))
 
 
 @query(f"WITH {WORDS} SELECT count(*) AS documents, sum(len(w))::BIGINT AS tokens, " + ", ".join(f"greatest(sum(len(w)) - {k - 1} * count(*), 0)::BIGINT AS total_{k}" for k in range(2, 6)) + " FROM w")
@@ -309,32 +311,31 @@ def ngram_totals(spark, sf_dir):
     return keywords.totals(as_docs(spark, sf_dir))
 
 
-@query(f"WITH {GRAMS} SELECT array_to_string(raw, ' ') AS gram, count(DISTINCT id) AS df FROM g WHERE n <= 2 GROUP BY 1")
+@query(f"WITH {AS_WRITTEN} {EACH_GRAM} SELECT array_to_string(raw, ' ') AS gram, count(DISTINCT id) AS df FROM g GROUP BY 1")
 def doc_frequency(spark, sf_dir):
-    return keywords.document_frequency(as_docs(spark, sf_dir), 2)
+    return keywords.document_frequency(as_docs(spark, sf_dir))
 
 
-TFIDF = GRAMS + """, tf AS (SELECT id, array_to_string(raw, ' ') AS gram, count(*) AS tf FROM g WHERE n <= 2 GROUP BY 1, 2),
+TFIDF = AS_WRITTEN + EACH_GRAM + """, tf AS (SELECT id, array_to_string(raw, ' ') AS gram, count(*) AS tf FROM g GROUP BY 1, 2),
     df AS (SELECT gram, count(*) AS df FROM tf GROUP BY 1), weights AS (
-    SELECT id, gram, tf, (1 + ln(tf::DOUBLE)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS x FROM tf JOIN df USING (gram), (SELECT count(*) AS n FROM documents) WHERE df <= floor(0.9 * n))"""
+    SELECT id, gram, tf, (1 + ln(tf::DOUBLE)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS x FROM tf JOIN df USING (gram), (SELECT count(*) AS n FROM w) WHERE df <= floor(0.9 * n))"""
 
 
 @query(f"WITH {TFIDF} SELECT id, gram, tf, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS tfidf FROM weights")
 def tfidf(spark, sf_dir):
-    return rounded(keywords.tfidf(as_docs(spark, sf_dir), 2), "tfidf")
+    return rounded(keywords.tfidf(as_docs(spark, sf_dir)), "tfidf")
+
 
+PMI = GRAMS + """, c AS (SELECT n, lower(array_to_string(raw, ' ')) AS gram, count(*) AS c FROM g GROUP BY 1, 2), t AS (SELECT sum(len(w)) AS tokens, count(*) AS docs FROM w),
+    x AS (SELECT b.n, b.gram, b.c, unnest(string_split(b.gram, ' ')) AS word FROM c b WHERE b.n > 1),
+    y AS (SELECT x.n, x.gram, any_value(x.c) AS c, sum(log2(u.c::DOUBLE)) AS parts FROM x JOIN c u ON u.n = 1 AND u.gram = x.word GROUP BY 1, 2)"""
 
-@query(f"""WITH {GRAMS}, c AS (SELECT n, lower(array_to_string(raw, ' ')) AS gram, count(*) AS c FROM g GROUP BY 1, 2), u AS (SELECT gram, c FROM c WHERE n = 1), t AS (SELECT sum(len(w)) AS tokens, count(*) AS docs FROM w)
-    SELECT b.gram, b.c AS count, round(log2(b.c::DOUBLE) - log2((tokens - docs)::DOUBLE) - (log2(x.c::DOUBLE) - log2(tokens::DOUBLE)) - (log2(y.c::DOUBLE) - log2(tokens::DOUBLE)), 6) AS pmi
-    FROM c b JOIN u x ON x.gram = split_part(b.gram, ' ', 1) JOIN u y ON y.gram = split_part(b.gram, ' ', 2), t WHERE b.n = 2 AND b.c > 1""")
+
+@query(f"""WITH {PMI} SELECT gram, n, c AS count, round(log2(c::DOUBLE) - log2(greatest(tokens - (n - 1) * docs, 1)::DOUBLE) - parts + n * log2(tokens::DOUBLE), 6) AS pmi FROM y, t""")
 def pmi(spark, sf_dir):
     docs = as_docs(spark, sf_dir)
-    c = keywords.ngram_counts(docs, 2)
-    u = c.where("n = 1")
-    one, two = (u.select(F.col("gram").alias(f"w{i}"), F.col("count").alias(f"c{i}")) for i in (1, 2))
-    b = c.where("n = 2 and count > 1").withColumn("w1", F.split_part("gram", F.lit(" "), F.lit(1))).withColumn("w2", F.split_part("gram", F.lit(" "), F.lit(2)))
-    rows = b.join(one, "w1").join(two, "w2").crossJoin(F.broadcast(keywords.totals(docs)))
-    return rows.select("gram", "count", F.round(scores.pmi(F.col("count"), F.col("total_2"), [F.col("c1"), F.col("c2")], F.col("tokens")), 6).alias("pmi"))
+    c = materialize(keywords.ngram_counts(docs), "ngrams")
+    return keywords.phrase_pmi(c.where("n > 1"), c, keywords.totals(docs)).select("gram", "n", "count", F.round("pmi", 6).alias("pmi"))
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
@@ -401,11 +402,15 @@ def dedup_first(spark, sf_dir):
     return dedup.deduplicate(d).select("pos", "url")
 
 
-@query(r"""WITH d AS (SELECT doc_id AS pos, 'u' || (doc_id * 3 % 800) AS url, sha256(text) AS content_hash FROM documents), e AS (SELECT * FROM d WHERE pos % 4 = 0), b AS (SELECT * FROM d WHERE pos % 4 <> 0),
-    x AS (SELECT *, url IN (SELECT url FROM e) AS known_url, content_hash IN (SELECT content_hash FROM e) AS known_hash FROM b),
-    y AS (SELECT *, known_url OR coalesce(max(CASE WHEN known_hash THEN 0 ELSE 1 END) OVER (PARTITION BY url ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS by_url FROM x)
-    SELECT pos, CASE WHEN by_url THEN 'DUPLICATE_URL' WHEN known_hash OR coalesce(max(CASE WHEN by_url THEN 0 ELSE 1 END) OVER (PARTITION BY content_hash ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1
-           THEN 'DUPLICATE_CONTENT' ELSE 'CREATED' END AS status FROM y""")
+# Row by row: each step of the recursion inserts the next row into the lists of what is stored.
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id AS pos, 'u' || (doc_id * 3 % 800) AS url, sha256(text) AS hash FROM documents),
+    b AS (SELECT *, row_number() OVER (ORDER BY pos) AS n FROM d WHERE pos % 4 <> 0), w AS (
+    SELECT 0::BIGINT AS n, NULL::BIGINT AS pos, '' AS status, (SELECT list(url) FROM d WHERE pos % 4 = 0) AS urls, (SELECT list(hash) FROM d WHERE pos % 4 = 0) AS hashes
+    UNION ALL
+    SELECT n, pos, status, CASE status WHEN 'CREATED' THEN list_append(urls, url) ELSE urls END, CASE status WHEN 'CREATED' THEN list_append(hashes, hash) ELSE hashes END
+    FROM (SELECT b.*, urls, hashes, CASE WHEN list_contains(urls, url) THEN 'DUPLICATE_URL' WHEN list_contains(hashes, hash) THEN 'DUPLICATE_CONTENT' ELSE 'CREATED' END AS status
+          FROM w JOIN b ON b.n = w.n + 1))
+    SELECT pos, status FROM w WHERE n > 0""")
 def insert_status(spark, sf_dir):
     d = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.expr("concat('u', doc_id * 3 % 800)").alias("url"), F.sha2("text", 256).alias("content_hash"))
     return dedup.insert_status(d.where("pos % 4 <> 0"), d.where("pos % 4 = 0")).select("pos", "status")
@@ -434,7 +439,7 @@ def model_preprocess(spark, sf_dir):
 
 @query()
 def page_extract(spark, sf_dir):
-    p = tables.read(spark, sf_dir, "pages").repartition(F.col("page_id"))
+    p = tables.read(spark, sf_dir, "pages")
     a = pages.article_extractor(["article", *pages.CONTENT], 100)("html")
     return p.select("page_id", a.alias("a")).select("page_id", "a.title", F.length("a.content").alias("chars"), F.sha2("a.content", 256).alias("content_sha256"), "a.error")
 
@@ -465,9 +470,9 @@ def feed_selection(spark, sf_dir):
 # Dataset preparation
 
 
-@query("SELECT source AS label, count(*) AS count FROM documents WHERE lang = 'es' GROUP BY 1 HAVING count(*) < 8")
+@query("SELECT source AS label, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) < 8")
 def class_min_samples(spark, sf_dir):
-    return prepare.too_small(tables.read(spark, sf_dir, "documents").where("lang = 'es'").select(F.col("source").alias("label")), 8)
+    return prepare.too_small(tables.read(spark, sf_dir, "documents").select(F.col("source").alias("label")), 8)
 
 
 def split_rows(spark, sf_dir):
