@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.filters import Filters, effective_day, effective_time, published_between, within
+from newsloom.operators.filters import Filters, effective_day, effective_time, few_values, published_between, within
 
 RECENT = ["id", "title", "url", "source", "category", "content_source", "decision_score", "published_at", "crawled_at"]
 
@@ -52,7 +52,7 @@ def trend_by_category(news: DataFrame, filters: Filters = Filters()) -> DataFram
 
 def trend_table(trend: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """trend_by_category as a table with a column for each category, 0 where a day has none."""
-    names = columns or sorted(r[0] for r in trend.select(F.explode(F.map_keys("categories"))).distinct().collect())  # categories only
+    names = columns or few_values(trend.select(F.explode(F.map_keys("categories"))))
     return trend.select("day", *(F.coalesce(F.col("categories")[n], F.lit(0)).alias(n) for n in names), "total")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import margin_bucket, margin_buckets
+from newsloom.operators.filters import few_values
 
 THRESHOLDS = (0.05, 0.10, 0.15, 0.20, 0.25, 0.30)
 
@@ -45,7 +46,7 @@ def confusion(p: DataFrame) -> DataFrame:
 
 def confusion_matrix(p: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """A row for each true label and a column for each; labels by default are all there are, in order."""
-    names = labels or sorted(r[0] for r in p.select("ground_truth").union(p.select("prediction")).distinct().collect())
+    names = labels or few_values(p.select("ground_truth").union(p.select("prediction")))
     have = p.groupBy("ground_truth").pivot("prediction", names).count()
     rows = p.sparkSession.createDataFrame([(n,) for n in names], "ground_truth string")
     return rows.join(have, "ground_truth", "left").fillna(0, subset=names)

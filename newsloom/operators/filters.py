@@ -75,3 +75,11 @@ def published_between(news: DataFrame, start: str, end: str) -> DataFrame:
     """Published from start up to, but without, end."""
     t = F.col("published_at")
     return news.where((t >= F.lit(start).cast("timestamp_ntz")) & (t < F.lit(end).cast("timestamp_ntz")))
+
+
+def few_values(df: DataFrame, most: int = 1000) -> list:
+    """The distinct values of df's one column, in order, for the driver. ValueError if there are more than most."""
+    found = [r[0] for r in df.distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} different values")
+    return sorted(v for v in found if v is not None)

@@ -60,6 +60,38 @@ def check_predictions(batch: DataFrame, predictions: DataFrame, key: str = "id")
         raise ValueError("predictions without a status or a label")
 
 
+def check_requests(batch: DataFrame, text: str = "text", most_chars: int = 20_000, most_items: int = 100) -> None:
+    """ValueError unless there are 1 to most_items texts to predict, each of 1 to most_chars characters."""
+    n = batch.limit(most_items + 1).count()
+    if not 1 <= n <= most_items:
+        raise ValueError(f"between 1 and {most_items} items are predicted at once")
+    if not batch.where(~F.coalesce(F.length(text).between(1, most_chars), F.lit(False))).isEmpty():
+        raise ValueError(f"a text must have between 1 and {most_chars} characters")
+
+
+def crawl_counters(feeds: DataFrame, items: DataFrame) -> DataFrame:
+    """One row of counts of a crawl. feeds (ok): a row for each feed.
+
+    items: a row for each article of the feeds that were read, with fate (DATE, KNOWN, then SKIPPED, or a status of insert_status) and
+    content_source, null where the article was not fetched. All that got that far were predicted.
+    """
+    fate, source = F.col("fate"), F.col("content_source")
+    tried = ~fate.isin("DATE", "KNOWN")
+    read = feeds.agg(F.count("*").alias("feeds_total"), F.count_if("ok").alias("feeds_success"), F.count_if(~F.col("ok")).alias("feeds_failed"))
+    return read.crossJoin(
+        items.agg(
+            F.count("*").alias("articles_parsed"),
+            F.count_if(fate == "DATE").alias("articles_date_filtered"),
+            F.count_if(fate == "SKIPPED").alias("articles_skipped"),
+            F.count_if((fate == "KNOWN") | fate.startswith("DUPLICATE")).alias("articles_duplicate"),
+            F.count_if(tried).alias("articles_predicted"),
+            F.count_if(fate == "CREATED").alias("articles_created"),
+            F.count_if(tried & (source == "fulltext")).alias("articles_fulltext_fetched"),
+            F.count_if(tried & (source == "rss_fallback")).alias("articles_fulltext_fallback"),
+        )
+    )
+
+
 def crawl_stats(decided: DataFrame) -> DataFrame:
     """One row of counts of what became of a batch."""
     of = lambda c, v: F.count_if(F.col(c) == v)

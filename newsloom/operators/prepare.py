@@ -11,6 +11,7 @@ from newsloom.functions.text import clean_text, join_text
 from newsloom.operators.dedup import deduplicate
 
 REQUIRED = ("id", "title", "content", "label")
+SLICE, MOST_CLASSES = 1 << 16, 10_000
 
 # Categories of an external corpus and ours.
 CATEGORIES = {
@@ -25,7 +26,7 @@ def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 def validate_schema(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> None:
     if missing := [c for c in required if c not in df.columns]:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the table lacks {', '.join(missing)}")
 
 
 def fill_missing(df: DataFrame) -> DataFrame:
@@ -52,15 +53,14 @@ def too_small(df: DataFrame, least: int = 3, label: str = "label") -> DataFrame:
 
 def check_class_min_samples(df: DataFrame, min_required: int = 3, label: str = "label") -> None:
     if bad := too_small(df, min_required, label).orderBy(label).limit(20).collect():
-        raise ValueError("Class with insufficient samples for a split: " + ", ".join(f"'{r[0]}' ({r[1]})" for r in bad))
+        raise ValueError(f"fewer than {min_required} rows in: " + "; ".join(f"{r[0]} has {r[1]}" for r in bad))
 
 
 def validate_split_arguments(test_size: float, val_size: float) -> None:
-    for name, x in (("--test-size", test_size), ("--val-size", val_size)):
-        if not 0 < x < 1:
-            raise ValueError(f"{name} must be between 0 and 1")
+    if not (0 < test_size < 1 and 0 < val_size < 1):
+        raise ValueError("a share for testing or validation is not between 0 and 1")
     if test_size + val_size >= 1:
-        raise ValueError("test_size + val_size must be less than 1")
+        raise ValueError("the shares for testing and validation leave nothing to train on")
 
 
 def quotas(counts: dict, total: int) -> dict:
@@ -76,19 +76,27 @@ def quotas(counts: dict, total: int) -> dict:
 def stratified_split(df: DataFrame, test_size: float = 0.15, val_size: float = 0.15, seed: int = 42, label: str = "label", id_column: str = "id") -> DataFrame:
     """df with split: train, validation or test. The held-out part is rounded up, then halved likewise.
 
-    Rows are ranked by a seeded hash within their class; the quotas need the class counts only, which the driver holds.
+    Rows are ranked by a seeded hash within their class. A rank is that of the row in its slice of the class (about SLICE rows, by the first digits of the hash)
+    after the rows of the slices before, so a class may be as large as it likes. The driver holds the classes' counts, at most MOST_CLASSES.
     """
     validate_split_arguments(test_size, val_size)
-    counts = {r[0]: r[1] for r in class_counts(df, label).collect()}
+    counts = {r[0]: r[1] for r in class_counts(df, label).limit(MOST_CLASSES + 1).collect()}
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
     n = sum(counts.values())
     held = math.ceil(round(n * (test_size + val_size), 9))
     out = quotas(counts, held) if n else {}
     test = quotas(out, math.ceil(round(held * test_size / (test_size + val_size), 9))) if held else {}
-    cut = df.sparkSession.createDataFrame([(k, int(test.get(k, 0)), int(out[k])) for k in counts] or [], f"_label {dict(df.dtypes)[label]}, _test int, _held int")
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(id_column, F.lit(seed)), id_column))
-    rows = df.withColumn("_rank", rank).join(F.broadcast(cut), F.col(label).eqNullSafe(F.col("_label")))
-    split = F.when(F.col("_rank") <= F.col("_test"), "test").when(F.col("_rank") <= F.col("_held"), "validation").otherwise("train")
-    return rows.withColumn("split", split).select(*df.columns, "split")
+    cut = df.sparkSession.createDataFrame([(k, int(test.get(k, 0)), int(out[k])) for k in counts] or [], f"of {dict(df.dtypes)[label]}, test int, held int")
+    digits = next(d for d in range(33) if 16**d * SLICE >= n)
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))))
+    rows = df.select(F.struct("*").alias("row"), F.col(label).alias("class"), order.alias("order")).withColumn("slice", F.substring("order", 1, digits))
+    before = F.sum("size").over(Window.partitionBy("class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    slices = rows.groupBy("class", "slice").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(before, F.lit(0)))
+    slices = slices.join(F.broadcast(cut), F.col("class").eqNullSafe(F.col("of"))).select(F.col("of").alias("c"), F.col("slice").alias("s"), "before", "test", "held")
+    rank = F.row_number().over(Window.partitionBy("class", "slice").orderBy("order")) + F.col("before")
+    rows = rows.join(slices, F.col("class").eqNullSafe(F.col("c")) & (F.col("slice") == F.col("s"))).withColumn("rank", rank)
+    return rows.select("row.*", F.when(F.col("rank") <= F.col("test"), "test").when(F.col("rank") <= F.col("held"), "validation").otherwise("train").alias("split"))
 
 
 def split_table(df: DataFrame, label: str = "label") -> DataFrame:

@@ -24,6 +24,7 @@ def edges(relations: DataFrame, min_overlap: int = 2, min_jaccard: float = 0.20)
     Pairs are made within an article only, and an article has at most as many keywords as are
     stored for one; so there are no more pairs than that bound times the rows.
     """
+    relations = materialize(relations, "relations")  # read three times
     sizes = relations.groupBy("keyword").agg(F.count("*").alias("size"))
     left, right = relations.select(F.col("keyword").alias("left"), "news_id"), relations.select(F.col("keyword").alias("right"), "news_id")
     pairs = left.join(right, "news_id").where("left < right").groupBy("left", "right").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= min_overlap)
@@ -33,7 +34,7 @@ def edges(relations: DataFrame, min_overlap: int = 2, min_jaccard: float = 0.20)
 
 
 def topics(components: DataFrame, scored: DataFrame, min_keywords: int = 2) -> DataFrame:
-    """A row for each component of at least min_keywords trending keywords."""
+    """A row for each component of at least min_keywords trending keywords. Its keywords are one array: a topic has no more than there are trending keywords."""
     members = components.select(F.col("node").alias("keyword"), "component").join(scored.select("keyword", "display_keyword", "trend_score", "total_articles"), "keyword")
     best = F.struct((-F.col("trend_score")).alias("a"), (-F.col("total_articles")).alias("b"), F.col("keyword").alias("keyword"), F.col("display_keyword").alias("display"))
     rows = members.groupBy("component").agg(

@@ -47,20 +47,28 @@ def aggregate(rows: DataFrame, recent_days: int = 3, previous_days: int = 3, min
     """
     recent_days, previous_days = within(recent_days, 2, 14, "recent_days"), within(previous_days, 2, 14, "previous_days")
     anchor = rows.agg(F.max("article_day").alias("anchor_day"))  # one row
-    age = F.datediff("anchor_day", "article_day")
-    recent = age <= recent_days - 1
-    previous = (age > recent_days - 1) & (age <= recent_days + previous_days - 1)
+    recent = lambda age: age <= recent_days - 1
+    previous = lambda age: (age > recent_days - 1) & (age <= recent_days + previous_days - 1)
+    # One row for each keyword and article first, so that articles are counted without keeping sets of them.
+    each = rows.groupBy("keyword", "news_id").agg(
+        F.max("display_keyword").alias("display_keyword"),
+        F.sum("frequency").alias("frequency"),
+        F.sum(F.col("final_score").cast(SUM)).alias("strength"),
+        F.collect_set("article_day").alias("days"),
+    )
+    ages = F.transform("days", lambda d: F.datediff("anchor_day", d))
     return (
-        rows.crossJoin(F.broadcast(anchor))
+        each.crossJoin(F.broadcast(anchor))
+        .withColumn("ages", ages)
         .groupBy("keyword")
         .agg(
             F.max("display_keyword").alias("display_keyword"),
-            F.count_distinct("news_id").alias("total_articles"),
+            F.count("*").alias("total_articles"),
             F.sum("frequency").alias("total_frequency"),
-            F.sum(F.col("final_score").cast(SUM)).cast("double").alias("keyword_strength"),
-            F.count_distinct(F.when(recent, F.col("news_id"))).alias("recent_articles"),
-            F.count_distinct(F.when(previous, F.col("news_id"))).alias("previous_articles"),
-            F.max(age).cast("long").alias("age_days"),
+            F.sum("strength").cast("double").alias("keyword_strength"),
+            F.count_if(F.exists("ages", recent)).alias("recent_articles"),
+            F.count_if(F.exists("ages", previous)).alias("previous_articles"),
+            F.max(F.array_max("ages")).cast("long").alias("age_days"),
             F.max("anchor_day").alias("anchor_day"),
         )
         .where(F.col("total_articles") >= within(min_articles, 1, 100, "min_articles"))

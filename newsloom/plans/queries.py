@@ -213,6 +213,14 @@ def trends_all(spark, sf_dir):
     return tidy_trends(trends.trends(*views(spark, sf_dir)))
 
 
+SEARCHED = TREND.replace("n.id = k.news_id GROUP BY ALL", "n.id = k.news_id WHERE lower(k.keyword) LIKE '%en_a%' GROUP BY ALL")
+
+
+@query(f"WITH {SEARCHED} SELECT {TREND_COLUMNS} FROM scored")
+def trend_search(spark, sf_dir):
+    return tidy_trends(trends.trends(*views(spark, sf_dir), keyword="EN_a"))
+
+
 def flagship(spark, sf_dir):
     return tidy_trends(trends.top_trends(trends.trends(*views(spark, sf_dir)), 50))
 
@@ -356,6 +364,33 @@ def keyword_candidates(spark, sf_dir):
     return keywords.candidates(as_docs(spark, sf_dir)).drop("entity_like")
 
 
+ENTITY = r"(regexp_matches(t, '\p{L}') AND (regexp_matches(t, '\p{Nd}') OR regexp_matches(t, '^\p{Lu}')))"
+SCORES = rf"""cand AS (WITH {CANDIDATES} SELECT id, lower(raw) AS key, n, count(*) AS freq, arg_min(raw, pos) AS display FROM ok GROUP BY 1, 2, 3),
+    feat AS (WITH {TFIDF} SELECT id, gram AS key, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS tfidf FROM weights),
+    assoc AS (WITH {PMI} SELECT gram AS key, n, c, greatest(tokens - (n - 1) * docs, 1)::DOUBLE AS total, log2(c::DOUBLE) - log2(greatest(tokens - (n - 1) * docs, 1)::DOUBLE) - parts + n * log2(tokens::DOUBLE) AS pmi FROM y, t),
+    head AS (WITH {WORDS.replace("(text, '_'", "(split_part(text, '.', 1), '_'")} SELECT id, ' ' || lower(array_to_string(w, ' ')) || ' ' AS title FROM w),
+    parts AS (
+        SELECT c.id, c.key, c.n, c.freq, c.display, tfidf, coalesce(pmi, 0) AS pmi,
+               CASE WHEN c.n = 1 THEN 1 ELSE greatest(0.76::DOUBLE, least(1.24::DOUBLE, 1 + 0.24::DOUBLE * tanh(2 * greatest(-1::DOUBLE, least(1::DOUBLE, pmi / greatest(-log2(greatest(a.c / total, 1e-12)), 1e-9))))
+                    * least(1::DOUBLE, sqrt(a.c / 3::DOUBLE)))) END AS association_boost,
+               len(list_filter(string_split(c.key, ' ')[2:c.n - 1], lambda w: list_contains({STOP}, w))) AS inner_stop,
+               list_bool_and(list_transform(string_split(c.display, ' '), lambda t: {ENTITY})) AS entity,
+               CASE WHEN contains(title, ' ' || c.key || ' ') THEN 1.25::DOUBLE ELSE 1 END AS title_boost
+        FROM cand c JOIN feat USING (id, key) LEFT JOIN assoc a ON a.key = c.key AND a.n = c.n JOIN head USING (id)
+    ), q AS (
+        SELECT *, greatest(0.45::DOUBLE, least(1.20::DOUBLE, CASE WHEN inner_stop > 0 THEN greatest(0.78::DOUBLE, 1 - 0.07::DOUBLE * inner_stop) ELSE 1 END
+               * CASE n WHEN 2 THEN 1.02::DOUBLE WHEN 3 THEN 1.04::DOUBLE WHEN 4 THEN 1.05::DOUBLE WHEN 5 THEN 1.06::DOUBLE ELSE 1 END * CASE WHEN entity THEN 1.06::DOUBLE ELSE 1 END)) AS phrase_quality,
+               least(1.24::DOUBLE, 1 + 0.08::DOUBLE * ln(1 + freq::DOUBLE)) AS frequency_boost
+        FROM parts)"""
+
+
+@query(f"""WITH {SCORES} SELECT id, key, n, freq, display, round(tfidf, 6) AS tfidf, round(pmi, 6) AS pmi, round(association_boost, 6) AS association_boost, round(phrase_quality, 6) AS phrase_quality,
+    round(tfidf * CASE n WHEN 1 THEN 0.55::DOUBLE WHEN 3 THEN 1.06::DOUBLE WHEN 4 THEN 1.12::DOUBLE WHEN 5 THEN 1.15::DOUBLE ELSE 1 END * association_boost * phrase_quality * frequency_boost * title_boost, 6) AS score FROM q""")
+def keyword_scores(spark, sf_dir):
+    s = keywords.scored(as_docs(spark, sf_dir)).select("id", "key", "n", "freq", "display", "tfidf", "pmi", "association_boost", "phrase_quality", "score")
+    return rounded(s, "tfidf", "pmi", "association_boost", "phrase_quality", "score")
+
+
 @query()
 def keyword_extract(spark, sf_dir):
     return rounded(keywords.extract(as_docs(spark, sf_dir)), "tfidf", "score", "pmi")
@@ -462,6 +497,21 @@ def crawl_stats(spark, sf_dir):
     return ingest.crawl_stats(ingest.decide(p, none))
 
 
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*', '') AS url FROM pages), q AS (SELECT *, page_id % 11 = 0 AS late, page_id % 7 = 0 AS skipped, page_id % 2 = 0 AS whole FROM p),
+    f AS (SELECT *, CASE WHEN late THEN 'DATE' WHEN skipped THEN 'SKIPPED' WHEN row_number() OVER (PARTITION BY url, late OR skipped ORDER BY page_id) = 1 THEN 'CREATED' ELSE 'DUPLICATE_URL' END AS fate FROM q)
+    SELECT 5::BIGINT AS feeds_total, 4::BIGINT AS feeds_success, 1::BIGINT AS feeds_failed, count(*) AS articles_parsed, count(*) FILTER (late) AS articles_date_filtered, count(*) FILTER (fate = 'SKIPPED') AS articles_skipped,
+           count(*) FILTER (fate = 'DUPLICATE_URL') AS articles_duplicate, count(*) FILTER (NOT late) AS articles_predicted, count(*) FILTER (fate = 'CREATED') AS articles_created,
+           count(*) FILTER (NOT late AND whole) AS articles_fulltext_fetched, count(*) FILTER (NOT late AND NOT whole) AS articles_fulltext_fallback FROM f""")
+def crawl_counters(spark, sf_dir):
+    p = tables.read(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), F.regexp_replace("url", "[?#].*", "").alias("url"), F.col("page_id").cast("string").alias("content_hash"))
+    early = F.when(F.col("pos") % 11 == 0, "DATE").when(F.col("pos") % 7 == 0, "SKIPPED")
+    items = p.withColumn("early", early).withColumn("content_source", F.when(F.col("early") == "DATE", None).when(F.col("pos") % 2 == 0, "fulltext").otherwise("rss_fallback"))
+    none = spark.createDataFrame([], "url string, content_hash string")
+    decided = dedup.insert_status(items.where("early is null"), none).withColumnRenamed("status", "fate")
+    feeds = spark.createDataFrame([(i != 3,) for i in range(5)], "ok boolean")
+    return ingest.crawl_counters(feeds, decided.unionByName(items.where("early is not null").withColumn("fate", F.col("early"))))
+
+
 @query("""SELECT 'thanhnien' AS name, 'Thanh Niên' AS source UNION ALL SELECT 'tuoitre', 'Tuổi Trẻ'""")
 def feed_selection(spark, sf_dir):
     return ingest.resolve_feeds(ingest.feeds(spark), [" TuoiTre ", "thanhnien"]).select("name", "source")
@@ -485,11 +535,25 @@ def stratified_split(spark, sf_dir):
     return split_rows(spark, sf_dir).groupBy("split").agg(F.count("*").alias("count"))
 
 
-@query()
+# Whole numbers dealt to classes by largest remainder, twice: what is held out, and of that what is for tests.
+QUOTAS = """c AS (SELECT lang AS label, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT sum(n) AS n, ceil(round(sum(n) * 0.3::DOUBLE, 9)) AS held FROM c),
+    a AS (SELECT label, c.n, held, held * c.n / t.n AS x, ceil(round(held * 0.15::DOUBLE / 0.3::DOUBLE, 9)) AS tests FROM c, t),
+    b AS (SELECT *, floor(x) + (row_number() OVER (ORDER BY floor(x) - x, label) <= held - sum(floor(x)) OVER ())::INT AS kept_out FROM a),
+    y AS (SELECT *, tests * kept_out / held AS y FROM b),
+    quotas AS (SELECT label, n, kept_out::BIGINT AS kept_out, (floor(y) + (row_number() OVER (ORDER BY floor(y) - y, label) <= tests - sum(floor(y)) OVER ())::INT)::BIGINT AS test FROM y)"""
+
+
+@query(f"WITH {QUOTAS} SELECT label, n - kept_out AS train, kept_out - test AS validation, test, n AS total, round_even((n - kept_out) / n * 100, 2) AS train_pct FROM quotas")
 def class_split_pivot(spark, sf_dir):
     return prepare.split_table(split_rows(spark, sf_dir))
 
 
+@query(f"""WITH {QUOTAS}, r AS (SELECT doc_id AS id, lang AS label, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id)) AS rank FROM documents)
+    SELECT id, label, CASE WHEN rank <= test THEN 'test' WHEN rank <= kept_out THEN 'validation' ELSE 'train' END AS split FROM r JOIN quotas USING (label)""")
+def split_assignment(spark, sf_dir):
+    return split_rows(spark, sf_dir)
+
+
 @query("SELECT max(c)::DOUBLE / min(c) AS ratio FROM (SELECT count(*) AS c FROM documents GROUP BY lang)")
 def class_imbalance(spark, sf_dir):
     return prepare.imbalance(tables.read(spark, sf_dir, "documents").withColumnRenamed("lang", "label"))
@@ -639,11 +703,15 @@ def labelling_sheet(spark, sf_dir):
 # Classification and streams
 
 
+#: What predict_batch is fitted on: labelled rows of each class, and the solver's rounds. All rows are predicted.
+FIT_ROWS, FIT_ROUNDS = 500, 20
+
+
 @query()
 def predict_batch(spark, sf_dir):
     d = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
-    rows = materialize(classify.with_tokens(prepare.sample_per_class(d, "label", 100)).coalesce(1), "training")  # 100 rows a class
-    model = classify.train(rows, rounds=10)
+    rows = materialize(classify.with_tokens(prepare.sample_per_class(d, "label", FIT_ROWS)), "training")
+    model = classify.train(rows, rounds=FIT_ROUNDS)
     return rounded(classify.predict(model, d).select("id", "label", "prediction", "score", "margin", "status"), "score", "margin")
 
 

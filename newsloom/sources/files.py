@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from newsloom.functions.pages import decode_bytes, parse_feed
-from newsloom.functions.text import tokens
+from newsloom.functions.text import STOPWORDS, strip, tokens
 
 ITEM = "url string, title string, content string, published_at timestamp"
 TEXT_COLUMNS = "id string, title string, content string, label string, url string"
@@ -66,20 +66,35 @@ def feed_items(files: DataFrame, source: str | None = None) -> DataFrame:
     return files.select("data").mapInPandas(run, ITEM).withColumn("source", F.lit(source))
 
 
-def fetch(rows: DataFrame, get: Callable[[str], str], retries: int = 3, backoff: float = 1.0, longest: float = 8.0, most_chars: int | None = None) -> DataFrame:
-    """rows (with url) and page: what get(url) gives, whole unless most_chars is given; null where it fails to the end.
+#: Bytes of a response that is read, at most.
+MOST_BYTES = 10 << 20
 
-    get runs on the executors and raises on failure. An exception's retry_after (seconds) is waited for; else the waits double.
+
+def fetch(rows: DataFrame, get: Callable[[str], str | tuple], retries: int = 3, backoff: float = 1.0, longest: float = 8.0, most_chars: int | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """rows (with url) and page: what get(url) gives, whole unless most_chars is given; null where it fails to the end, or is larger than most_bytes.
+
+    get runs on the executors. It raises on failure, or gives the page, or (status, page) or (status, page, seconds to wait). 429 and 5xx are
+    tried again, other statuses from 400 on are not. Failures are waited after: as long as asked for (also by an exception's retry_after), else the waits
+    double up to longest.
     """
 
+    def attempt(url: str) -> tuple[int, str | None, float | None]:
+        try:
+            found = get(url)
+        except Exception as e:
+            return 599, None, getattr(e, "retry_after", None)
+        return (*found, None)[:3] if isinstance(found, tuple) else (200, found, None)
+
     def one(url: str) -> str | None:
         for n in range(retries + 1):
-            try:
-                page = get(url)
-                return page if page is None else page[:most_chars]
-            except Exception as e:
-                if n < retries:
-                    time.sleep(min(longest, getattr(e, "retry_after", None) or backoff * 2**n))
+            status, page, wait = attempt(url)
+            if status < 400:
+                size = 0 if page is None else len(page.encode() if isinstance(page, str) else page)
+                return None if page is None or size > most_bytes else (page if isinstance(page, str) else decode_bytes(page))[:most_chars]
+            if status != 429 and status < 500:
+                return None
+            if n < retries:
+                time.sleep(min(longest, backoff * 2**n) if wait is None else wait)
         return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,6 +104,20 @@ def fetch(rows: DataFrame, get: Callable[[str], str], retries: int = 3, backoff:
     return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("page", StringType())]))
 
 
+def read_stopwords(spark: SparkSession, path: str, lines: bool = True, most: int = 100_000) -> list[str]:
+    """Stopwords of a text file in lower case: one a line, without those that begin with # (lines), or all that white space separates.
+
+    A file without any gives the extractor's own list in the second form, none in the first. ValueError for more than most words.
+    """
+    text = F.regexp_replace("value", "^\ufeff", "")
+    word = spark.read.text(path).select((strip(text) if lines else F.explode(F.split(text, r"(?U)\s+"))).alias("w"))
+    word = word.where((F.col("w") != "") & ~(F.lit(lines) & F.col("w").startswith("#"))).select(F.lower("w").alias("w")).distinct()
+    found = sorted(r.w for r in word.limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"{path} has more than {most} words")
+    return found if found or lines else list(STOPWORDS)
+
+
 def write_token_cache(docs: DataFrame, path: str, version: str, id_column: str = "id", text: str = "text") -> None:
     """Tokens of each text as a JSON array, stamped with a version."""
     docs.select(id_column, F.to_json(tokens(F.coalesce(text, F.lit("")))).alias("tokenized_raw"), F.lit(version).alias("cache_version")).write.mode("overwrite").parquet(path)

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import scores
+from newsloom.session import materialize, release
+
+#: Where stored tables are, by application, folder and parameters.
+_stored: dict[tuple, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,20 +34,31 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(news_id, keyword, frequency): tokens of at least five characters."""
-    d = read(spark, sf_dir, "documents")
+    """(news_id, keyword, frequency): tokens of at least five characters. Documents are dealt by identifier first, so the counts need no shuffle of tokens."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text").repartition(F.col("doc_id"))
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     return d.select(F.col("doc_id").alias("news_id"), words.alias("keyword")).where("length(keyword) >= 5").groupBy("news_id", "keyword").agg(F.count("*").alias("frequency"))
 
 
-def keyword_occurrences(spark: SparkSession, sf_dir: str, per_article: int = 10) -> DataFrame:
-    """The best keywords of each document by TF-IDF: a top-k for each article, as it is stored."""
-    t = document_tokens(spark, sf_dir)
+def make_keyword_occurrences(spark: SparkSession, sf_dir: str, per_article: int = 10) -> DataFrame:
+    """The best keywords of each document by TF-IDF: a top-k for each article."""
+    t = materialize(document_tokens(spark, sf_dir), "tokens")
     n = read(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
     df = t.groupBy("keyword").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where("df <= 0.9D * n")
     scored = t.join(df, "keyword").withColumn("final_score", F.round(scores.tf(F.col("frequency")) * scores.idf(F.col("n"), F.col("df")), 9))
     rank = F.row_number().over(Window.partitionBy("news_id").orderBy(F.desc("final_score"), "keyword"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= per_article).select("news_id", "keyword", F.col("keyword").alias("display_keyword"), "frequency", "final_score")
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= per_article)
+    out = materialize(best.select("news_id", "keyword", F.col("keyword").alias("display_keyword"), "frequency", "final_score"), "keyword-occurrences")
+    release(t)
+    return out
+
+
+def keyword_occurrences(spark: SparkSession, sf_dir: str, per_article: int = 10) -> DataFrame:
+    """The stored table of keywords: made once for an application and a folder, and read by every query after."""
+    key = spark.sparkContext.applicationId, sf_dir, per_article
+    if key not in _stored:
+        _stored[key] = make_keyword_occurrences(spark, sf_dir, per_article).scratch
+    return spark.read.parquet(_stored[key])
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from newsloom.sources import files
 
 def test_schema(spark):
     prepare.validate_schema(spark.createDataFrame([("1", "t", "c", "L")], "id string, title string, content string, label string"))
-    with pytest.raises(ValueError, match="Missing required columns"):
+    with pytest.raises(ValueError, match="lacks label|lacks content"):
         prepare.validate_schema(spark.createDataFrame([("1", "t")], "id string, title string"))
 
 
@@ -21,7 +21,7 @@ def test_deduplicate(spark):
 def test_class_minimum(spark):
     ok = spark.createDataFrame([("A",)] * 5 + [("B",)] * 5, "label string")
     prepare.check_class_min_samples(ok, 3)
-    with pytest.raises(ValueError, match="insufficient samples"):
+    with pytest.raises(ValueError, match="fewer than 3 rows in: A has 2"):
         prepare.check_class_min_samples(spark.createDataFrame([("A",)] * 2 + [("B",)] * 10, "label string"), 3)
 
 
@@ -36,7 +36,7 @@ def test_published_sizes(spark):
     assert {r.split: r["count"] for r in s} == {"train": 2272, "validation": 487, "test": 487}
 
 
-@pytest.mark.parametrize(("test", "val", "match"), [(1.5, 0.15, "--test-size"), (0.15, -0.1, "--val-size"), (0.6, 0.6, r"test_size \+ val_size")])
+@pytest.mark.parametrize(("test", "val", "match"), [(1.5, 0.15, "between 0 and 1"), (0.15, -0.1, "between 0 and 1"), (0.6, 0.4, "nothing to train on")])
 def test_split_arguments(test, val, match):
     prepare.validate_split_arguments(0.15, 0.15)
     with pytest.raises(ValueError, match=match):
