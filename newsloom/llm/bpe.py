@@ -30,7 +30,7 @@ import sys
 import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -53,7 +53,9 @@ NEW_DIGITS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x161
 NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Characters of a chunk that is remembered, chunks that are, and characters of a piece.
-SHORT, REMEMBERED, PIECE = 64, 1 << 19, 1 << 16
+SHORT, REMEMBERED, PIECE = 64, 1 << 18, 1 << 16
+#: Symbols at a word's start for which the transducer's state is remembered.
+START = 5
 
 
 def ranges(inside: Callable[[str], bool], more: list[tuple[int, int]]) -> str:
@@ -143,6 +145,24 @@ def sufficient_lookahead(merges: list[tuple[str, str]], symbols: dict[str, int])
     return most + 1
 
 
+class Memory:
+    """What is known of at most so many keys, in two generations: when the new one is full it becomes the old one, of which what is asked for again moves back."""
+
+    def __init__(self, most: int = 0):
+        self.new, self.old, self.most = {}, {}, (most or REMEMBERED) // 2
+
+    def find(self, key):
+        """What is known of a key that isn't among the new ones."""
+        found = self.old.get(key)
+        return found if found is None else self.keep(key, found)
+
+    def keep(self, key, value):
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+        return value
+
+
 class Merges:
     """A merge list, and how its tokens come about."""
 
@@ -154,7 +174,8 @@ class Merges:
             # Merging has one outcome, so of several merges that spell a token at most one is its own.
             if a in self.made and b in self.made and a + b not in self.made and not self.crossed(a, b, i):
                 self.made[a + b] = (i, a, b)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.same = {t: t for t in self.made}  # one string for each token, however often it is met
+        self.pairs, self.starts = Memory(), Memory()
 
     def crossed(self, a: str, b: str, rank: int | None = None) -> bool:
         """Whether a merge joins a's end to b's start before both are whole and used up; rank: that of their own merge, which isn't one.
@@ -177,38 +198,78 @@ class Merges:
             else:
                 return False
 
-    def beside(self, a: str, b: str) -> bool:
-        """Whether a and b stay two tokens where they meet."""
-        stay = self.pairs.get((a, b))
+    def beside(self, pair: tuple[str, str]) -> bool:
+        """Whether two tokens stay two where they meet."""
+        stay = self.pairs.new.get(pair)
         if stay is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            stay = self.pairs[a, b] = not self.crossed(a, b)
-        return stay
+            stay = self.pairs.find(pair)
+        return self.pairs.keep(pair, not self.crossed(*pair)) if stay is None else stay
+
+
+class Sizes(dict):
+    """For the last three symbols (and the ending) of a text, the sizes of the tokens that may end there, longest first."""
+
+    def __init__(self, tokens: Iterable[str], end: str):
+        self.end, self.of = end, defaultdict(set)
+        for t in tokens:
+            ending = end if end and t.endswith(end) else ""
+            symbols = t.removesuffix(ending)
+            self.of[symbols[-3:] + ending].add(len(symbols))
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        ending = self.end if self.end and key.endswith(self.end) else ""
+        symbols = key.removesuffix(ending)
+        found = set().union(*(self.of.get(symbols[i:] + ending, ()) for i in range(len(symbols))))
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[key] = tuple(sorted(found, reverse=True))
+        return out
 
 
 class Word:
     """The transducer: symbols of one word in, tokens out as soon as they are stable."""
 
-    def __init__(self, merges: Merges, end: str, lookahead: int, longest: int):
-        self.merges, self.end, self.lookahead, self.longest = merges, end, lookahead, longest
+    def __init__(self, merges: Merges, end: str, lookahead: int, sizes: Sizes):
+        self.merges, self.end, self.lookahead, self.fitting = merges, end, lookahead, sizes
         self.symbols, self.last, self.sizes = "", [], []  # what is held, and for each prefix of it its last token and that one's symbols
         self.before: str | None = None  # the token given out last
-        self.next: str | None = None  # a symbol that may be the word's last
+        self.next = ""  # a symbol that may be the word's last
         self.most = 0
 
-    def step(self, symbol: str, ending: str = "") -> None:
-        self.symbols = held = self.symbols + symbol
-        n, made = len(held), self.merges.made
-        for size in range(min(n, self.longest), 0, -1):
-            token = held[n - size :] + ending
-            if token in made:
-                beside = self.last[n - size - 1] if size < n else self.before
-                if beside is None or self.merges.beside(beside, token):
-                    self.last.append(token)
-                    self.sizes.append(size)
-                    return
-        raise AssertionError("no token fits")
+    def read(self, symbols: str) -> None:
+        """Read symbols that are not the word's last. What is found for the first few of a word is remembered."""
+        if not self.last and self.before is None and len(symbols) >= START:
+            first, starts = symbols[:START], self.merges.starts
+            state = starts.new.get(first) or starts.find(first)
+            if state:
+                self.symbols, self.last, self.sizes = first, list(state[0]), list(state[1])
+            else:
+                self.steps(first)
+                starts.keep(first, (tuple(self.last), tuple(self.sizes)))
+            symbols = symbols[START:]
+        self.steps(symbols)
+
+    def steps(self, symbols: str, ending: str = "") -> None:
+        """Find the last token of each prefix that symbols add."""
+        held, last, sizes, before = self.symbols, self.last, self.sizes, self.before
+        same, beside, known, fitting = self.merges.same.get, self.merges.beside, self.merges.pairs.new.get, self.fitting
+        n, end = len(last), ending
+        for s in symbols:
+            held += s
+            n += 1
+            for size in fitting[held[-3:] + end]:
+                if size > n:
+                    continue
+                token = same(held[-size:] + end)
+                if token:
+                    left = last[n - size - 1] if size < n else before
+                    if left is None or known(pair := (left, token)) or beside(pair):
+                        last.append(token)
+                        sizes.append(size)
+                        break
+            else:
+                raise AssertionError("no token fits")
+        self.symbols = held
 
     def give(self, upto: int) -> list[str]:
         """The tokens of the held symbols' encoding up to the last end of a token not after upto; they are held no longer."""
@@ -226,21 +287,21 @@ class Word:
 
     def push(self, symbols: str) -> Iterator[str]:
         """Read symbols of which the word's last may be one; the tokens that they make stable."""
-        for s in symbols:
-            if self.next is not None:
-                self.step(self.next)
-                if len(self.last) >= 2 * self.lookahead:
-                    self.most = max(self.most, len(self.last))
-                    yield from self.give(len(self.last) - self.lookahead)
-            self.next = s
+        symbols = self.next + symbols
+        self.next = symbols[-1:]
+        for at in range(0, len(symbols) - 1, self.lookahead):
+            self.read(symbols[at : min(at + self.lookahead, len(symbols) - 1)])
+            if len(self.last) > self.lookahead:
+                self.most = max(self.most, len(self.last))
+                yield from self.give(len(self.last) - self.lookahead)
 
     def finish(self) -> list[str]:
         """The tokens that are left at the word's end; after it the next word may come."""
-        if self.next is None:
+        if not self.next:
             return []
-        self.step(self.next, self.end)
+        self.steps(self.next, self.end)
         out = self.give(len(self.last))
-        self.before = self.next = None
+        self.before, self.next = None, ""
         return out
 
 
@@ -256,7 +317,7 @@ class Encoder:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.letters = byte_letters()
         self.merges = Merges(merges, [x for c in self.letters for x in dict.fromkeys((c, c + self.end))])
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.merges.made)
+        self.sizes = Sizes(self.merges.made, self.end)
         self.lookahead = sufficient_lookahead(merges, {x: 1 for c in self.letters for x in (c, c + self.end)})
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -269,35 +330,29 @@ class Encoder:
         self.runs = (re.compile(f"[{letter}]+"), re.compile(f"[^{SPACE}{letter}{digit}]+"))
         self.codes = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self.bytes_to_letters = str.maketrans({chr(b): c for b, c in enumerate(self.letters)})
-        self.chunks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.chunks, self.known, self.whole = Memory(), Memory(), self.word()
 
     def word(self) -> Word:
-        return Word(self.merges, self.end, self.lookahead, self.longest)
+        return Word(self.merges, self.end, self.lookahead, self.sizes)
 
     def symbols(self, text: str) -> str:
         """A letter for each byte of text."""
         return text.encode().decode("latin-1").translate(self.bytes_to_letters)
 
     def word_ids(self, word: str) -> bytes:
-        ids = self.known.get(word)
+        """The ids of a whole short word."""
+        ids = self.known.new.get(word) or self.known.find(word)
         if ids is None:
-            w = self.word()
-            ids = b"".join([self.codes[t] for t in (*w.push(self.symbols(word)), *w.finish())])
-            if len(word) <= SHORT:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[word] = ids
+            w, symbols = self.whole, self.symbols(word)
+            w.read(symbols[:-1])
+            w.next = symbols[-1]
+            ids = self.known.keep(word, b"".join([self.codes[t] for t in w.finish()]))
         return ids
 
     def chunk_ids(self, chunk: str) -> bytes:
         """The ids of a whole short chunk without white space."""
-        ids = self.chunks.get(chunk)
-        if ids is None:
-            if len(self.chunks) >= REMEMBERED:
-                self.chunks.clear()
-            ids = self.chunks[chunk] = b"".join(map(self.word_ids, self.words.findall(folded(chunk))))
-        return ids
+        ids = self.chunks.new.get(chunk) or self.chunks.find(chunk)
+        return self.chunks.keep(chunk, b"".join(map(self.word_ids, self.words.findall(folded(chunk))))) if ids is None else ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, each as a little-endian unsigned 32-bit integer."""
@@ -392,11 +447,13 @@ class Transducer:
             out.append(self.close())
             text = text[space.end() :]
         text, self.held = self.held + text, ""
+        text = text.lower() if text.isascii() else text  # fewer different chunks
         chunks = SPACES.split(text) if SEPARATORS.search(text) else text.split()
         if chunks and not SPACES.match(text, len(text) - 1):
             last = chunks.pop()
+        known, encoder = self.encoder.chunks, self.encoder
         for c in chunks:
-            out.append(self.encoder.chunk_ids(c) if len(c) <= SHORT else self.long(c))
+            out.append(known.new.get(c) or (encoder.chunk_ids(c) if len(c) <= SHORT else self.long(c)))
         if len(last) <= SHORT:
             self.held = last
         else:
@@ -493,6 +550,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", ids:
                 all_ids.append(kept)
             columns = [b.column("id"), pa.array(n, pa.int64()), pa.array(digest), pa.array(decoded)] + [pa.array(all_ids, pa.list_(pa.int32()))] * ids
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        encoder.chunks = Memory()  # a worker that waits for its next task keeps what is known of words and pairs only
 
     out = docs.select(F.col(id_column).alias("id"), "text").mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
     return out.withColumnRenamed("id", id_column)

@@ -42,7 +42,7 @@ SPACE = 1 << 22
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(1 << 17)
+@lru_cache(1 << 14)
 def features_of(word: str) -> tuple[int, ...]:
     """Numbers of a word's features: itself, and its beginnings."""
     return (crc32(word.encode()) % SPACE, *(crc32(f"{word[:n]}*".encode()) % SPACE for n in PREFIXES if len(word) > n))

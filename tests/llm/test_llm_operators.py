@@ -512,7 +512,7 @@ def test_transducer_equals_merging(seed):
     lookahead = bpe.sufficient_lookahead(merges, dict.fromkeys(symbols, 1))
     for _ in range(60):
         text = "".join(rng.choice(symbols) for _ in range(rng.randint(1, 200)))
-        w = bpe.Word(m, "", lookahead, max(map(len, tokens)))
+        w = bpe.Word(m, "", lookahead, bpe.Sizes(m.made, ""))
         early = list(w.push(text))
         assert early + w.finish() == plain_merges(merges, text)
         assert w.most <= 2 * lookahead + len(max(tokens, key=len)) and (early or len(text) <= 2 * lookahead + len(max(tokens, key=len)))
