@@ -1,13 +1,11 @@
 """BPE encoding as a streaming transducer with bounded lookahead, and incremental decoding.
 
 Text is fed in pieces. It is cut into chunks without white space, these into words, and a word is a run of symbols that
-the transducer reads one by one. It keeps, for each prefix of the word that it still holds, the last token of that prefix's
-encoding. A prefix's last token is the one token that ends there and stands beside the last token of
-what is before it as merging would leave them (`Merges.beside`), so a symbol costs a bounded number of steps
-and nothing is ever merged again. How far the right context of a token can reach is computed from the merge list
-(`sufficient_lookahead`): tokens that end at least that far from the end can't change any more and are given out, so
-the memory is bounded by the lookahead, whatever the length of the word. The ids of short chunks and words, as the transducer
-gave them, are remembered in tables of bounded size.
+the transducer reads. Nothing is merged: the encoding of symbols is the one row of tokens of which each two neighbours stay two where
+they meet (`Merges.beside` undoes their merges to see), which is found from left to right. How far the right context
+of a token can reach is computed from the merge list (`sufficient_lookahead`): tokens that end at least that far from the end of what was read can't change
+any more and are given out, so the memory is bounded by the lookahead, whatever the length of the word. The ids of short chunks and
+words, as the transducer gave them, are remembered in tables of bounded size.
 
 Decoding is a state machine that takes token bytes one after the other and gives out text as soon as it
 is whole, with U+FFFD for bytes that are no UTF-8. The encoder feeds it as it goes.
@@ -54,8 +52,6 @@ NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7
 NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Characters of a chunk that is remembered, chunks that are, and characters of a piece.
 SHORT, REMEMBERED, PIECE = 64, 1 << 18, 1 << 16
-#: Symbols at a word's start for which the transducer's state is remembered.
-START = 5
 
 
 def ranges(inside: Callable[[str], bool], more: list[tuple[int, int]]) -> str:
@@ -175,7 +171,7 @@ class Merges:
             if a in self.made and b in self.made and a + b not in self.made and not self.crossed(a, b, i):
                 self.made[a + b] = (i, a, b)
         self.same = {t: t for t in self.made}  # one string for each token, however often it is met
-        self.pairs, self.starts = Memory(), Memory()
+        self.pairs = Memory()
 
     def crossed(self, a: str, b: str, rank: int | None = None) -> bool:
         """Whether a merge joins a's end to b's start before both are whole and used up; rank: that of their own merge, which isn't one.
@@ -207,19 +203,16 @@ class Merges:
 
 
 class Sizes(dict):
-    """For the last three symbols (and the ending) of a text, the sizes of the tokens that may end there, longest first."""
+    """For the first three symbols of a text, the sizes of the tokens that may begin there, longest first."""
 
     def __init__(self, tokens: Iterable[str], end: str):
-        self.end, self.of = end, defaultdict(set)
+        self.of = defaultdict(set)
         for t in tokens:
-            ending = end if end and t.endswith(end) else ""
-            symbols = t.removesuffix(ending)
-            self.of[symbols[-3:] + ending].add(len(symbols))
+            symbols = t.removesuffix(end) if end else t
+            self.of[symbols[:3]].add(len(symbols))
 
     def __missing__(self, key: str) -> tuple[int, ...]:
-        ending = self.end if self.end and key.endswith(self.end) else ""
-        symbols = key.removesuffix(ending)
-        found = set().union(*(self.of.get(symbols[i:] + ending, ()) for i in range(len(symbols))))
+        found = set().union(*(self.of.get(key[:i], ()) for i in range(1, len(key) + 1)))
         if len(self) >= REMEMBERED:
             self.clear()
         out = self[key] = tuple(sorted(found, reverse=True))
@@ -227,81 +220,70 @@ class Sizes(dict):
 
 
 class Word:
-    """The transducer: symbols of one word in, tokens out as soon as they are stable."""
+    """The transducer: symbols of one word in, tokens out as soon as they are stable.
+
+    It holds the symbols behind the last token that it gave out, at most twice the lookahead and a token.
+    """
 
     def __init__(self, merges: Merges, end: str, lookahead: int, sizes: Sizes):
         self.merges, self.end, self.lookahead, self.fitting = merges, end, lookahead, sizes
-        self.symbols, self.last, self.sizes = "", [], []  # what is held, and for each prefix of it its last token and that one's symbols
+        self.held = ""
         self.before: str | None = None  # the token given out last
-        self.next = ""  # a symbol that may be the word's last
         self.most = 0
 
-    def read(self, symbols: str) -> None:
-        """Read symbols that are not the word's last. What is found for the first few of a word is remembered."""
-        if not self.last and self.before is None and len(symbols) >= START:
-            first, starts = symbols[:START], self.merges.starts
-            state = starts.new.get(first) or starts.find(first)
-            if state:
-                self.symbols, self.last, self.sizes = first, list(state[0]), list(state[1])
-            else:
-                self.steps(first)
-                starts.keep(first, (tuple(self.last), tuple(self.sizes)))
-            symbols = symbols[START:]
-        self.steps(symbols)
-
-    def steps(self, symbols: str, ending: str = "") -> None:
-        """Find the last token of each prefix that symbols add."""
-        held, last, sizes, before = self.symbols, self.last, self.sizes, self.before
-        same, beside, known, fitting = self.merges.same.get, self.merges.beside, self.merges.pairs.new.get, self.fitting
-        n, end = len(last), ending
-        for s in symbols:
-            held += s
-            n += 1
-            for size in fitting[held[-3:] + end]:
-                if size > n:
+    def tokens(self, ending: str = "") -> list[str]:
+        """The encoding of what is held, behind the token before: the one row of tokens of which all neighbours stand beside each other.
+
+        From left to right the longest token that fits is taken; where none fits, the one before is taken shorter. A place is reached by
+        one row of tokens only, so one from which nothing fits is never tried again.
+        """
+        held, same, beside, known, fitting = self.held, self.merges.same.get, self.merges.beside, self.merges.pairs.new.get, self.fitting
+        n, at, k, left = len(held), 0, 0, self.before
+        out, path, dead = [], [], set()
+        while at < n:
+            sizes = fitting[held[at : at + 3]]
+            while k < len(sizes):
+                end = at + sizes[k]
+                k += 1
+                if end > n or end in dead:
                     continue
-                token = same(held[-size:] + end)
+                token = same(held[at:end] if end < n else held[at:] + ending)
                 if token:
-                    left = last[n - size - 1] if size < n else before
-                    if left is None or known(pair := (left, token)) or beside(pair):
-                        last.append(token)
-                        sizes.append(size)
+                    if left is None:
+                        stay = True
+                    elif (stay := known((left, token))) is None:
+                        stay = beside((left, token))
+                    if stay:
+                        path.append((at, k, left))
+                        out.append(token)
+                        at, k, left = end, 0, token
                         break
             else:
-                raise AssertionError("no token fits")
-        self.symbols = held
-
-    def give(self, upto: int) -> list[str]:
-        """The tokens of the held symbols' encoding up to the last end of a token not after upto; they are held no longer."""
-        n = len(self.last)
-        while n > upto:
-            n -= self.sizes[n - 1]
-        out, at = [], n
-        while at:
-            out.append(self.last[at - 1])
-            at -= self.sizes[at - 1]
-        if out:
-            self.before = out[0]
-            self.symbols, self.last, self.sizes = self.symbols[n:], self.last[n:], self.sizes[n:]
-        return out[::-1]
+                dead.add(at)
+                at, k, left = path.pop()
+                out.pop()
+        return out
 
     def push(self, symbols: str) -> Iterator[str]:
         """Read symbols of which the word's last may be one; the tokens that they make stable."""
-        symbols = self.next + symbols
-        self.next = symbols[-1:]
-        for at in range(0, len(symbols) - 1, self.lookahead):
-            self.read(symbols[at : min(at + self.lookahead, len(symbols) - 1)])
-            if len(self.last) > self.lookahead:
-                self.most = max(self.most, len(self.last))
-                yield from self.give(len(self.last) - self.lookahead)
+        for start in range(0, len(symbols), self.lookahead):
+            self.held += symbols[start : start + self.lookahead]
+            self.most = max(self.most, len(self.held))
+            stable, given = len(self.held) - self.lookahead - 1, 0  # the last symbol may get the ending
+            if stable <= 0:
+                continue
+            for token in self.tokens():
+                if given + len(token) > stable:
+                    break
+                given += len(token)
+                self.before = token
+                yield token
+            self.held = self.held[given:]
 
     def finish(self) -> list[str]:
         """The tokens that are left at the word's end; after it the next word may come."""
-        if not self.next:
-            return []
-        self.steps(self.next, self.end)
-        out = self.give(len(self.last))
-        self.before, self.next = None, ""
+        out = self.tokens(self.end) if self.held else []
+        self.held, self.before = "", None
         return out
 
 
@@ -330,7 +312,7 @@ class Encoder:
         self.runs = (re.compile(f"[{letter}]+"), re.compile(f"[^{SPACE}{letter}{digit}]+"))
         self.codes = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self.bytes_to_letters = str.maketrans({chr(b): c for b, c in enumerate(self.letters)})
-        self.chunks, self.known, self.whole = Memory(), Memory(), self.word()
+        self.chunks, self.known, self.whole = Memory(2 * REMEMBERED), Memory(), self.word()
 
     def word(self) -> Word:
         return Word(self.merges, self.end, self.lookahead, self.sizes)
@@ -343,16 +325,17 @@ class Encoder:
         """The ids of a whole short word."""
         ids = self.known.new.get(word) or self.known.find(word)
         if ids is None:
-            w, symbols = self.whole, self.symbols(word)
-            w.read(symbols[:-1])
-            w.next = symbols[-1]
-            ids = self.known.keep(word, b"".join([self.codes[t] for t in w.finish()]))
+            self.whole.held = self.symbols(word)  # shorter than the lookahead
+            ids = self.known.keep(word, b"".join([self.codes[t] for t in self.whole.finish()]))
         return ids
 
     def chunk_ids(self, chunk: str) -> bytes:
         """The ids of a whole short chunk without white space."""
         ids = self.chunks.new.get(chunk) or self.chunks.find(chunk)
-        return self.chunks.keep(chunk, b"".join(map(self.word_ids, self.words.findall(folded(chunk))))) if ids is None else ids
+        if ids is None:
+            words = self.words.findall(folded(chunk))
+            ids = self.chunks.keep(chunk, self.word_ids(words[0]) if len(words) == 1 else b"".join(map(self.word_ids, words)))
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, each as a little-endian unsigned 32-bit integer."""
@@ -550,7 +533,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", ids:
                 all_ids.append(kept)
             columns = [b.column("id"), pa.array(n, pa.int64()), pa.array(digest), pa.array(decoded)] + [pa.array(all_ids, pa.list_(pa.int32()))] * ids
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
-        encoder.chunks = Memory()  # a worker that waits for its next task keeps what is known of words and pairs only
+        encoder.chunks = Memory(2 * REMEMBERED)  # a worker that waits for its next task keeps what is known of words and pairs only
 
     out = docs.select(F.col(id_column).alias("id"), "text").mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
     return out.withColumnRenamed("id", id_column)
