@@ -54,7 +54,7 @@ FAMILIES = [
 #: To a space: what is no word; A-Z to a-z. Bytes above ASCII belong to words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([a-z0-9.+() \t-]*)")
+EXPRESSION = re.compile(rb"(?<![a-z0-9\x80-\xff])spdx-license-identifier:[ \t]*([a-z0-9.+() \t-]*)")
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -105,7 +105,7 @@ def family(identifier: str) -> tuple[str, bool] | None:
 
 @lru_cache(4096)
 def evaluate(expression: str) -> tuple[frozenset[str], bool | None]:
-    """(labels, permissive): and needs both sides permissive, or one side; an exception leaves its licence as it is.
+    """(labels, permissive): and needs both sides permissive, or one side; an exception is a label of its own and leaves its licence as it is.
 
     permissive is None where the expression is none, or names a licence that is not known.
     """
@@ -118,11 +118,11 @@ def evaluate(expression: str) -> tuple[frozenset[str], bool | None]:
     for token in order:
         if token not in BINDS:
             known = family(token)
-            stack.append((frozenset([known[0]]), known[1]) if known else (frozenset(), None))
+            stack.append((frozenset([known[0]]), known[1]) if known else (frozenset([token] if "exception" in token else []), None))
             continue
         (b, free_b), (a, free_a) = stack.pop(), stack.pop()
         if token == "with":
-            stack.append((a, free_a))
+            stack.append((a | b, free_a))
         elif token == "and":
             stack.append((a | b, False if False in (free_a, free_b) else None if None in (free_a, free_b) else True))
         else:

@@ -422,7 +422,7 @@ def test_edits_stay_alike():
 def test_licenses(docs, plain, empty):
     s = licenses.Scanner()
     n, base, first, last, labels, every, free, score = s.scan("x Under the MIT-license, under THE mit License; CC BY NC sa. SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 AND ISC) OR apache-2.0\nx")
-    assert (base, first, last, labels, every, free) == (3, 1, 9, "cc-by-nc,mit", "apache-2,cc-by-nc,gpl,isc,mit", True) and 0.9 < score <= 1
+    assert (base, first, last, labels, every, free) == (3, 1, 9, "cc-by-nc,mit", "apache-2,cc-by-nc,classpath-exception-2.0,gpl,isc,mit", True) and 0.9 < score <= 1
     assert s.scan("") == (0, 0, None, None, "", "", None, 0.0)
     assert s.scan("apache license version 2.0 apache license version 20")[1:4] == (1, 0, 0)
     assert s.scan("émit under the mit license")[:4] == (5, 1, 1, 1)
@@ -450,6 +450,107 @@ def test_license_words():
         assert labels == ",".join(sorted({x[1] for x in places}))
 
 
+def plain_expression(text):
+    """(labels, permissive) of an expression by recursive descent; labels only where it is none."""
+    import re
+
+    tokens = re.findall(r"[()]|[^()\s]+", text)
+    at = 0
+
+    def kind(t):
+        return next(((label, free) for start, label, free in licenses.FAMILIES if re.match(re.escape(start) + r"(?:[-+.]|$)", t)), None)
+
+    def either():
+        nonlocal at
+        labels, free = both()
+        while at < len(tokens) and tokens[at] == "or":
+            at += 1
+            more, other = both()
+            labels, free = labels | more, True if True in (free, other) else None if None in (free, other) else False
+        return labels, free
+
+    def both():
+        nonlocal at
+        labels, free = one()
+        while at < len(tokens) and tokens[at] == "and":
+            at += 1
+            more, other = one()
+            labels, free = labels | more, False if False in (free, other) else None if None in (free, other) else True
+        return labels, free
+
+    def one():
+        nonlocal at
+        labels, free = atom()
+        while at < len(tokens) and tokens[at] == "with":
+            at += 1
+            labels = labels | atom()[0]
+        return labels, free
+
+    def atom():
+        nonlocal at
+        if at >= len(tokens) or tokens[at] in ("or", "and", "with", ")"):
+            raise ValueError
+        t = tokens[at]
+        at += 1
+        if t == "(":
+            found = either()
+            if at >= len(tokens) or tokens[at] != ")":
+                raise ValueError
+            at += 1
+            return found
+        known = kind(t)
+        return ({known[0]}, known[1]) if known else ({t} if "exception" in t else set(), None)
+
+    try:
+        found = either()
+        if at < len(tokens) and tokens[at] == ")":
+            raise ValueError
+        return found
+    except ValueError:
+        return {k[0] for t in tokens if (k := kind(t))}, None
+
+
+def test_expressions():
+    rng = random.Random(12)
+    words = ["mit", "gpl-3.0", "apache-2.0", "bsd-3-clause", "and", "or", "with", "(", ")", "classpath-exception-2.0", "nothing-1", "and", "or", "with"]
+    whole = 0
+    for _ in range(4000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))
+        labels, free = licenses.evaluate(text)
+        want = plain_expression(text)
+        if want[1] is None and "(" in text:  # which labels a broken nesting leaves is not the point
+            assert free is None, text
+            continue
+        assert (set(labels), free) == want, text
+        whole += free is not None
+    assert whole > 100
+
+
+def test_labels_and_scores():
+    """All of a scan by searching for each phrase in the joined words, and each tag in the text."""
+    import re
+
+    rng, s = random.Random(13), licenses.Scanner()
+    parts = [" under the MIT license ", "SPDX-License-Identifier: Apache-2.0 OR GPL-2.0-only\n", "GNU  general, public license", "Mozilla Public License", "all rights reserved.", "words", "spdx-license-identifier: (mit\n", "SPDX-License-Identifier: ISC and\n", "é", "cc by nc"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+        words = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) + " "
+        places = sum(len(re.findall(f"(?= {p} )", words)) for p in licenses.BASE)
+        base = {label for p, label in licenses.BASE.items() if f" {p} " in words}
+        others = {label for p, label in licenses.NOTICES.items() if f" {p} " in words}
+        verdicts = []
+        for m in re.finditer(r"(?<![a-z0-9\x80-\U0010ffff])spdx-license-identifier:[ \t]*([a-z0-9.+() \t-]*)", low):
+            labels, free = plain_expression(m[1].strip())
+            others |= set(labels)
+            verdicts.append(free)
+        free = None if not verdicts or None in verdicts else all(verdicts)
+        score = 1 - (0.1 if verdicts else 1) * 0.5**places * 0.7 ** len(others - base)
+        _, n_base, _, _, base_labels, labels, permissive, got = s.scan(text)
+        assert (n_base, base_labels, labels, permissive) == (places, ",".join(sorted(base)), ",".join(sorted(base | others)), free), text
+        assert got == pytest.approx(score) and 0 <= got <= 1
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
@@ -541,10 +642,10 @@ def test_transducer_memory(vocabulary):
         tracemalloc.start()
         for _ in range(pieces):
             n += len(t.feed("antidisestablish" * 256)) // 4
-        held = (len(t.held), len(t.open.text), len(t.open.raw), len(t.open.word.last))
+        held = (len(t.held), len(t.open.text), len(t.open.raw), len(t.open.word.held))
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
-        assert n > pieces * 256 and max(held) <= 2 * e.lookahead
+        assert n > pieces * 256 and max(held) <= 2 * e.lookahead + 64
     assert peaks[1] < 1.5 * peaks[0] + 100_000
 
 
@@ -571,19 +672,84 @@ def test_toxicity(spark):
             t[1:1] = rng.sample(["vilest", "vilely", "nasty"], 2)
         table.append((i, " ".join(t), 0 if i % 11 == 0 else 1, int(toxic)))
     df = spark.createDataFrame(table, "doc_id long, text string, quality int, toxic int")
-    docs = df.select("doc_id", "text", F.lit("x").alias("toxic_probability"), F.lit(1).alias("quality")).unionByName(spark.createDataFrame([(None, None, "x", 1), (1000, "", "x", 1)], "doc_id long, text string, toxic_probability string, quality int"))
+    docs = df.select("doc_id", "text", F.lit("x").alias("toxic_probability"), F.lit(1).alias("quality")).unionByName(spark.createDataFrame([(None, None, "x", 1), (1000, "", "x", 1), (1001, "bab " * 300_000 + "vilest nasty", "x", 1)], "doc_id long, text string, toxic_probability string, quality int"))
     labels = df.where("doc_id < 300").select("doc_id", "quality", "toxic").unionByName(spark.createDataFrame([(3, None, None), (None, 1, 1), (5, 1, 1)], "doc_id long, quality int, toxic int"))
     got = {r.doc_id: r.toxic for r in toxicity.classify(docs.select("doc_id", "text"), labels).collect()}
-    assert all(got[i] == bool(x) for i, _, _, x in table) and not got[None] and not got[1000]
+    assert all(got[i] == bool(x) for i, _, _, x in table) and not got[None] and not got[1000] and got[1001]
     docs = docs.withColumns({c: F.lit(c) for c in EXTRA if c != "toxic_probability"})
     kept = toxicity.drop_toxic(docs, labels)
     passes_through(docs, kept)
     assert {r.doc_id for r in kept.collect()} == {i for i, x in got.items() if not x}
     none = toxicity.classify(docs.select("doc_id", "text"), labels.where("doc_id < 0")).collect()
-    assert len(none) == 602 and not any(r.toxic for r in none)
+    assert len(none) == 603 and not any(r.toxic for r in none)
     assert toxicity.classify(docs.select("doc_id", "text").where("doc_id < 0"), labels).count() == 0
 
 
+def plain_fit(rows, y, earlier):
+    """A logistic regression with dense rows: (weights of features, of the length, of earlier, intercept)."""
+    features = sorted({f for r in rows for f in r[0]})
+    n, ones, scores = len(y), sum(y), {}
+    for f in features:
+        k = sum(f in r[0] for r in rows)
+        pos = sum(f in r[0] and c for r, c in zip(rows, y, strict=True))
+        if 3 <= k < n:
+            scores[f] = n * (pos * n - k * ones) ** 2 / (k * (n - k) * ones * (n - ones))
+    chosen = sorted(f for f, x in scores.items() if x >= 12)
+    x = np.array([[r[0].get(f, 0) for f in chosen] + [np.log1p(r[1]) / 5, *e, 1.0] for r, e in zip(rows, earlier, strict=True)], float)
+    w, g = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
+    share = np.where(np.array(y) == 1, 0.5 / ones, 0.5 / (n - ones))
+    for _ in range(300):
+        d = x.T @ (share * (1 / (1 + np.exp(-np.clip(x @ w, -40, 40))) - y)) + 1e-4 * w
+        g += d * d
+        w -= 0.3 * d / np.sqrt(g)
+    return dict(zip(chosen, w, strict=False)), w[len(chosen)], w[len(chosen) + 1 : -1], w[-1]
+
+
+def plain_probability(model, row, earlier):
+    weights, length, before, bias = model
+    z = sum(weights.get(f, 0) * c for f, c in row[0].items()) + length * np.log1p(row[1]) / 5 + float(np.dot(before, earlier)) + bias
+    return 1 / (1 + np.exp(-z))
+
+
+def test_chain_against_dense_rows():
+    """The chain as a plain version trains it: out-of-fold probabilities of the first category are the second's features."""
+    import re
+    from zlib import crc32
+
+    rng = random.Random(14)
+    stems = ["nice", "calm", "vile", "vilest", "nasty", "garbled", "garbage", "story", "stories", "weather"]
+    texts, labels = [], []
+    for _ in range(160):
+        t = " ".join(rng.choice(stems) + rng.choice(["", "", "r", "ly"]) for _ in range(rng.randint(1, 12)))
+        texts.append(t.upper() if rng.random() < 0.3 else t)
+        labels.append([int("garb" in t), int("vile" in t and rng.random() < 0.95)])
+    rows = []
+    for t in texts:
+        words, counts = set(re.findall(r"[a-z]+", t.lower())), defaultdict(int)
+        for w in words:
+            for f in [w, *(f"{w[:n]}*" for n in (4, 5, 6) if len(w) > n)]:
+                counts[crc32(f.encode()) % (1 << 22)] += 1
+        rows.append((counts, len(words)))
+    y0, y1 = ([x[k] for x in labels] for k in (0, 1))
+    nothing = [[]] * len(rows)
+    first = plain_fit(rows, y0, nothing)
+    out = [[0.0]] * len(rows)
+    for f in range(4):
+        inside = [i for i in range(len(rows)) if i % 4 != f]
+        part = plain_fit([rows[i] for i in inside], [y0[i] for i in inside], [[] for _ in inside])
+        for i in range(f, len(rows), 4):
+            out[i] = [plain_probability(part, rows[i], [])]
+    second = plain_fit(rows, y1, out)
+    words = [toxicity.distinct_words(t) for t in texts]
+    chain = toxicity.fit_chain(toxicity.Design.of_words(words), np.array(labels))
+    for t, w, r in zip(texts, words, rows, strict=True):
+        p = plain_probability(first, r, [])
+        q = plain_probability(second, r, [p])
+        own = chain[0].probability(sum(map(chain[0].word, w)), len(w), [])
+        assert own == pytest.approx(p, abs=1e-4), t
+        assert chain[1].probability(sum(map(chain[1].word, w)), len(w), [own]) == pytest.approx(q, abs=1e-3), t
+
+
 def test_chain_learns_from_what_came_before():
     rng = np.random.default_rng(8)
     rows_ = [{f"word{c}" * 2 for c in map(chr, rng.integers(97, 117, 6))} for _ in range(400)]
