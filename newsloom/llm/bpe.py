@@ -23,6 +23,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import os
 import re
 import sys
 import unicodedata
@@ -66,6 +67,12 @@ def ranges(inside: Callable[[str], bool], more: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
+@lru_cache(1)
+def classes() -> tuple[str, str]:
+    """Letters and digits, as ranges."""
+    return ranges(str.isalpha, NEW_LETTERS), ranges(lambda c: unicodedata.category(c)[0] == "N", NEW_DIGITS)
+
+
 @lru_cache(1)
 def composing() -> frozenset[str]:
     """Characters that may compose with one before them, though they are no marks: those behind the first of a decomposition, and Hangul's."""
@@ -159,6 +166,10 @@ class Memory:
         return value
 
 
+#: The lookahead of vocabulary files that this process has read.
+_lookaheads: dict[tuple[str, float], int] = {}
+
+
 class Merges:
     """A merge list, and how its tokens come about."""
 
@@ -300,11 +311,14 @@ class Encoder:
         self.letters = byte_letters()
         self.merges = Merges(merges, [x for c in self.letters for x in dict.fromkeys((c, c + self.end))])
         self.sizes = Sizes(self.merges.made, self.end)
-        self.lookahead = sufficient_lookahead(merges, {x: 1 for c in self.letters for x in (c, c + self.end)})
+        known = path, os.path.getmtime(path)
+        if known not in _lookaheads:
+            _lookaheads[known] = sufficient_lookahead(merges, {x: 1 for c in self.letters for x in (c, c + self.end)})
+        self.lookahead = _lookaheads[known]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        letter, digit = ranges(str.isalpha, NEW_LETTERS), ranges(lambda c: unicodedata.category(c)[0] == "N", NEW_DIGITS)
+        letter, digit = classes()
         for name, inside in (("[\\p{L}]", f"[{letter}]"), ("[\\p{N}]", f"[{digit}]"), ("\\p{L}", letter), ("\\p{N}", digit), ("\\s", SPACE)):
             pattern = pattern.replace(name, inside)
         self.words = re.compile(pattern)
@@ -497,19 +511,13 @@ class Decoder:
         yield machine.finish()
 
 
-@lru_cache(2)
-def encoder_of(path: str) -> Encoder:
-    """A worker reads the vocabulary once."""
-    return Encoder(path)
-
-
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each document."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+        encoder = Encoder(path)  # not kept for the next task: workers that wait should be small
         names = Decoder(encoder).names
         for b in batches:
             n, digest, decoded, all_ids = [], [], [], []
@@ -533,7 +541,6 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", ids:
                 all_ids.append(kept)
             columns = [b.column("id"), pa.array(n, pa.int64()), pa.array(digest), pa.array(decoded)] + [pa.array(all_ids, pa.list_(pa.int32()))] * ids
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
-        encoder.chunks = Memory(2 * REMEMBERED)  # a worker that waits for its next task keeps what is known of words and pairs only
 
     out = docs.select(F.col(id_column).alias("id"), "text").mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
     return out.withColumnRenamed("id", id_column)

@@ -14,8 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
-    """Batches that go to Python hold at most about so many MB, however long the rows are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)
+    """Batches that go to Python hold at most about so many MB, however long the rows are.
+
+    The session's own bound stays if it is lower; a higher one is lowered, and stays so, since plans are run later than they are made.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = str(spark.conf.get(name, None) or -1)
+    if not own.isdigit() or not 0 < int(own) <= megabytes << 20:
+        spark.conf.set(name, megabytes << 20)
 
 
 def text_or_empty(column: str = "text") -> Column:
