@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from newsloom.llm import bpe, exact_dedup, mixing, near_copies, toxicity
 from newsloom.llm.common import table
 from newsloom.llm.queries import vocabulary
-from newsloom.session import materialize
+from newsloom.session import materialize, release
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,5 +45,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each one's result written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, before = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-")), docs
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -67,9 +67,9 @@ def features(longest: int = 1, min_df: int = 5, vocabulary: int = 1 << 18, subli
 
 
 MODELS = {
-    "linear_svm": lambda n: OneVsRest(classifier=LinearSVC(maxIter=n, regParam=0.01, rawPredictionCol="scores"), labelCol="target", weightCol="weight", rawPredictionCol="scores"),
-    "logistic_regression": lambda n: LogisticRegression(maxIter=n, regParam=0.001, labelCol="target", weightCol="weight", rawPredictionCol="scores"),
-    "naive_bayes": lambda _: NaiveBayes(labelCol="target", weightCol="weight", rawPredictionCol="scores"),
+    "linear_svm": lambda n: OneVsRest(classifier=LinearSVC(maxIter=n, regParam=0.01), labelCol="target", weightCol="weight"),
+    "logistic_regression": lambda n: LogisticRegression(maxIter=n, regParam=0.001, labelCol="target", weightCol="weight"),
+    "naive_bayes": lambda _: NaiveBayes(labelCol="target", weightCol="weight"),
 }
 
 
@@ -91,10 +91,10 @@ def predict(model: PipelineModel, df: DataFrame, text: str = "text", top: int =
     """
     names = model.stages[-1].getLabels()
     out = model.transform(with_tokens(df.drop("tokens"), text))
-    each = F.transform(vector_to_array("scores"), lambda s, i: F.struct(s.alias("score"), F.element_at(F.array(*map(F.lit, names)), i + 1).alias("label")))
+    each = F.transform(vector_to_array("rawPrediction"), lambda s, i: F.struct(s.alias("score"), F.element_at(F.array(*map(F.lit, names)), i + 1).alias("label")))
     ranked: Column = F.array_sort(each, lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).otherwise(0))
     known = (F.trim(F.coalesce(text, F.lit(""))) != "") & F.exists(vector_to_array("features"), lambda x: x != 0)
-    out = out.withColumn("_s", ranked).withColumn("_raw", vector_to_array("scores")).withColumn("_known", F.coalesce(known, F.lit(False)))
+    out = out.withColumn("_s", ranked).withColumn("_raw", vector_to_array("rawPrediction")).withColumn("_known", F.coalesce(known, F.lit(False)))
     when = lambda c: F.when(F.col("_known"), c)
     two = len(names) == 2
     score = F.col("_raw")[1] if two else F.col("_s")[0]["score"]

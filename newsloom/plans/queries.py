@@ -229,8 +229,9 @@ QUERIES["trends"] = flagship
 SQL["trends"] = f"WITH {TREND} SELECT {TREND_COLUMNS} FROM scored ORDER BY scored.trend_score DESC, recent_articles DESC, total_articles DESC, scored.keyword_strength DESC, keyword LIMIT 50"
 
 
-# Engines round a printed half differently, so the label is compared in tests with a plain version.
-@query()
+# A printed half is rounded away from 0, as the engine's formatter does.
+@query(f"""WITH {TREND} SELECT keyword, recent_articles, previous_articles,
+    CASE WHEN previous_articles = 0 THEN 'NEW' ELSE printf('%+.1f%%', round((recent_articles - previous_articles)::DOUBLE / previous_articles * 100, 1)) END AS growth_label FROM scored""")
 def growth_labels(spark, sf_dir):
     return trends.trends(*views(spark, sf_dir)).select("keyword", "recent_articles", "previous_articles", "growth_label")
 

@@ -154,12 +154,13 @@ def test_token_edges(spark):
 
 
 def test_growth_labels(spark):
-    pairs = [(r, p) for r in range(12) for p in range(12)]
+    """Against whole numbers: tenths of a percent, halves away from 0."""
+    pairs = [(r, p) for r in range(45) for p in range(45)]
     df = spark.createDataFrame(pairs, "r long, p long")
     got = {(x.r, x.p): x.label for x in df.select("r", "p", growth_label(F.col("r"), F.col("p")).alias("label")).collect()}
     for r, p in pairs:
-        want = (r - p) * 100 / p if p else None
-        assert got[r, p] == "NEW" if want is None else abs(float(got[r, p].rstrip("%")) - want) <= 0.05 + 1e-9 and got[r, p][0] in "+-", (r, p)
+        tenths = (abs(r - p) * 2000 + p) // (2 * p) if p else 0
+        assert got[r, p] == (f"{'-' if r < p else '+'}{tenths // 10}.{tenths % 10}%" if p else "NEW"), (r, p)
 
 
 def plain_url(url):

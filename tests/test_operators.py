@@ -6,9 +6,11 @@ from newsloom.sources import files
 
 
 def test_schema(spark):
-    prepare.validate_schema(spark.createDataFrame([("1", "t", "c", "L")], "id string, title string, content string, label string"))
-    with pytest.raises(ValueError, match="lacks label|lacks content"):
-        prepare.validate_schema(spark.createDataFrame([("1", "t")], "id string, title string"))
+    rows = spark.range(1).selectExpr("id", "'a' AS title", "'b' AS content", "'c' AS label", "1 AS more")
+    prepare.validate_schema(rows)
+    for lost in prepare.REQUIRED:
+        with pytest.raises(ValueError, match=f"the table lacks {lost}$"):
+            prepare.validate_schema(rows.drop(lost))
 
 
 def test_deduplicate(spark):
@@ -25,10 +27,23 @@ def test_class_minimum(spark):
         prepare.check_class_min_samples(spark.createDataFrame([("A",)] * 2 + [("B",)] * 10, "label string"), 3)
 
 
-def test_split(spark):
-    df = spark.range(200).withColumn("label", F.when(F.col("id") < 100, "A").otherwise("B"))
-    got = {(r.split, r.label): r["count"] for r in prepare.stratified_split(df).groupBy("split", "label").count().collect()}
-    assert got == {("train", "A"): 70, ("train", "B"): 70, ("validation", "A"): 15, ("validation", "B"): 15, ("test", "A"): 15, ("test", "B"): 15}
+def test_split(spark, monkeypatch):
+    """Whole numbers of each class by largest remainder, the same whatever the slices, and the rows by their hashes."""
+    df = spark.range(331).withColumn("label", F.when(F.col("id") % 5 == 0, "x").when(F.col("id") % 3 == 0, None).otherwise("z")).withColumns({"rank": F.lit("r"), "class": F.lit("c")})
+    got = prepare.stratified_split(df)
+    assert got.columns == [*df.columns, "split"]
+    rows = sorted(map(tuple, got.collect()), key=str)
+    counts = {(r.split, r.label): r["count"] for r in got.groupBy("split", "label").count().collect()}
+    assert sum(n for (s, _), n in counts.items() if s == "test") == 50 and sum(n for (s, _), n in counts.items() if s == "validation") == 50
+    for label, n in (("x", 67), (None, 88), ("z", 176)):
+        assert sum(c for (_, x), c in counts.items() if x == label) == n
+        assert abs(counts["test", label] - 50 * n / 331) < 1 and abs(counts["train", label] - 231 * n / 331) < 1
+    monkeypatch.setattr(prepare, "SLICE", 4)
+    assert sorted(map(tuple, prepare.stratified_split(df.repartition(7)).collect()), key=str) == rows
+    assert prepare.stratified_split(df.where("id < 0")).count() == 0
+    monkeypatch.setattr(prepare, "MOST_CLASSES", 2)
+    with pytest.raises(ValueError, match="more than 2 classes"):
+        prepare.stratified_split(df)
 
 
 def test_published_sizes(spark):
@@ -148,6 +163,142 @@ def test_classifier(spark):
     assert got[99].status == got[98].status == "UNKNOWN" and got[99].prediction is None
 
 
+def test_classifier_options(spark, tmp_path):
+    """Labels by rank, two classes, sublinear frequencies, and a model that is saved and read again."""
+    from pyspark.ml import PipelineModel
+
+    words = {"pet": "cat dog pet fur ", "car": "car road wheel fuel ", "sky": "sun cloud rain wind "}
+    rows = [(i, words[k] * (1 + i % 4), k) for i, k in enumerate(list(words) * 14)]
+    df = spark.createDataFrame(rows, "id int, text string, label string").coalesce(1)
+    model = classify.train(classify.with_tokens(df), min_df=2, rounds=5, sublinear=True)
+    model.save(str(tmp_path / "model"))
+    for m in (model, PipelineModel.load(str(tmp_path / "model"))):
+        got = classify.predict(m, df, top=3).collect()
+        for r in got:
+            assert [x.label for x in r.labels][0] == r.prediction == r.label and len({x.label for x in r.labels}) == 3
+            scores = [x.score for x in r.labels]
+            assert scores == sorted(scores, reverse=True) and r.score == scores[0] and r.margin == pytest.approx(scores[0] - scores[1])
+    two = df.where("label <> 'sky'")
+    for r in classify.predict(classify.train(classify.with_tokens(two), min_df=2, rounds=5), two).collect():
+        assert r.prediction == r.label and (r.score > 0) == (r.label == "pet") and r.margin == abs(r.score)
+    assert len(classify.GRID) == 18
+    best = classify.grid(classify.with_tokens(df), df, settings=[(1, 1, False), (2, 2, True)])
+    assert best[0]["macro_f1"] == 1.0 and {b["sublinear"] for b in best} == {False, True}
+
+
+def test_damped_counts(spark):
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(Vectors.sparse(9, [1, 4], [1.0, 3.0]),), (Vectors.sparse(9, [], []),)], ["counts"])
+    got = [r.damped.toArray().tolist() for r in classify.Sublinear(inputCol="counts", outputCol="damped").transform(df).collect()]
+    assert got[0] == pytest.approx([0, 1, 0, 0, 2.09861228866811, 0, 0, 0, 0]) and got[1] == [0] * 9
+
+
+def test_requests(spark):
+    ok = spark.createDataFrame([("x",), ("y" * 20_000,)], "text string")
+    ingest.check_requests(ok)
+    for bad in ([], [("",)], [(None,)], [("z" * 20_001,)], [("x",)] * 101):
+        with pytest.raises(ValueError):
+            ingest.check_requests(spark.createDataFrame(bad, "text string"))
+
+
+def test_stopword_files(spark, tmp_path):
+    p = tmp_path / "stop.txt"
+    p.write_text("\ufeffVà\n\n  # a note\n  của nhà \nvà\n", encoding="utf-8")
+    assert files.read_stopwords(spark, str(p)) == ["của nhà", "và"]
+    assert files.read_stopwords(spark, str(p), lines=False) == sorted({"và", "#", "a", "note", "của", "nhà"})
+    p.write_text(" \n")
+    assert files.read_stopwords(spark, str(p)) == [] and "và" in files.read_stopwords(spark, str(p), lines=False)
+    p.write_text("a b c")
+    with pytest.raises(ValueError):
+        files.read_stopwords(spark, str(p), lines=False, most=2)
+
+
+def test_fetch_rules(spark):
+    """429 and 5xx are tried again, other failures are not; long pages are refused."""
+    import tempfile
+
+    log = tempfile.mkdtemp()
+
+    def get(url):
+        with open(f"{log}/{url}", "a") as f:
+            f.write("x")
+        with open(f"{log}/{url}") as f:
+            n = len(f.read())
+        return {"busy": (429, "", 0.0) if n < 3 else (200, "late"), "gone": (404, "no"), "down": (503, ""), "big": (200, b"y" * 100), "bytes": (200, "é".encode())}[url]
+
+    rows = spark.createDataFrame([(u,) for u in ("busy", "gone", "down", "big", "bytes")], "url string").coalesce(1)
+    found = files.fetch(rows, get, retries=2, backoff=0.0, most_bytes=50).collect()
+    assert {r.url: r.page for r in found} == {"busy": "late", "gone": None, "down": None, "big": None, "bytes": "é"}
+    tries = {u: len(open(f"{log}/{u}").read()) for u in ("busy", "gone", "down")}
+    assert tries == {"busy": 3, "gone": 1, "down": 3}
+
+
+def test_prepared_and_written(spark, tmp_path):
+    """Raw rows to splits, their description, and sinks."""
+    raw = spark.createDataFrame([(i, str(i), f" t{i} ", f"<p>text {i}</p>", "a" if i % 2 else "b", f"u{i}") for i in range(40)] + [(40, "40", None, None, "a", "u40"), (41, "41", "x", "y", None, "u41")], "pos int, no string, title string, content string, label string, url string")
+    rows = prepare.prepare(raw, {"no": "id"})
+    assert rows.count() == 40 and rows.where("clean_text <> concat('t', id, ' text ', id)").isEmpty()
+    told = prepare.metadata(raw, rows, "v7").first()
+    assert (told.raw_rows, told.kept_rows, told.categories, told.train_rows, told.version) == (42, 40, ["a", "b"], 28, "v7")
+    files.write_splits(rows, str(tmp_path / "splits"))
+    assert spark.read.parquet(str(tmp_path / "splits")).where("split = 'test'").count() == 6
+    files.write_csv(rows.select("id", "title"), str(tmp_path / "csv"))
+    assert files.read_csv(spark, str(tmp_path / "csv"), "id string, title string").count() == 40
+    files.write_json(rows.select("id"), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 40
+    files.replace(rows.select("id"), str(tmp_path / "t"))
+    files.replace(rows.select("id").limit(3), str(tmp_path / "t"))
+    assert files.read_table(spark, str(tmp_path / "t")).count() == 3
+    train, test = (rows.where(f"split = '{s}'") for s in ("train", "test"))
+    assert prepare.disjoint(train, test) and not prepare.disjoint(rows, test)
+    prepare.require_labels(rows, "label")
+    with pytest.raises(ValueError):
+        prepare.require_labels(rows.withColumn("label", F.lit(" ")), "label")
+
+
+def test_candidates(spark):
+    items = spark.createDataFrame([(1, "http://a/?utm_x=1", "t", "c", "2024-01-05 00:00:00"), (2, "http://b", "t", "c", "2024-01-05 00:00:00"), (3, "http://c", "t", "new", "2024-02-05 00:00:00"), (4, "http://d", "t", "other", "2024-01-06 00:00:00")], "pos int, url string, title string, content string, published_at string").withColumn("published_at", F.to_timestamp("published_at"))
+    import hashlib
+
+    old = spark.createDataFrame([("http://a/", "-"), ("-", hashlib.sha256(b"t\nc").hexdigest())], "url string, content_hash string")
+    assert [r.pos for r in ingest.candidates(items, old, "2024-01-01", "2024-01-31").collect()] == [4]
+
+
+def test_few_values(spark):
+    assert filters.few_values(spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "x string")) == ["a", "b"]
+    with pytest.raises(ValueError):
+        filters.few_values(spark.range(5), 4)
+
+
+def test_scratch_goes_with_the_driver(tmp_path):
+    """Nothing is left in the shared folder once the driver ends, and a cluster without one is refused."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+from newsloom import session
+spark = session.get_session("x", "local[2]", **{"spark.checkpoint.dir": "file://%s", "spark.ui.enabled": "false"})
+a = session.materialize(spark.range(10), "a")
+b = session.materialize(a, "b")
+session.release(a)
+assert b.count() == 10 and sum(x.startswith("newsloom-") for x in os.listdir("%s")) == 1 and [x[0] for x in os.listdir(session.scratch_dir(spark)[7:])] == ["b"]
+""" % (tmp_path, tmp_path)
+    subprocess.run([sys.executable, "-c", "import os" + code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True)
+    assert not [x for x in os.listdir(tmp_path) if x.startswith("newsloom-")]
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from newsloom import session
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="none", master="spark://x"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError):
+        session.scratch_dir(cluster)
+
+
 def test_files(spark, tmp_path):
     p = tmp_path / "x.csv"
     p.write_text('﻿id,title,content,label\n1,"a\nb","c ""q""",L\n', encoding="utf-8")

@@ -7,7 +7,6 @@ import pytest
 
 from newsloom.plans.queries import QUERIES, SQL
 
-SLOW = {"predict_batch", "keyword_persist", "keyword_extract"}
 
 
 def norm(v):
@@ -24,7 +23,7 @@ def duck(small):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, small, duck, name):
     df = QUERIES[name](spark, small)
     rows = df.collect()
@@ -43,3 +42,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_predictions_are_right(spark, small):
+    """The classifier tells the documents' languages apart."""
+    rows = QUERIES["predict_batch"](spark, small).collect()
+    known = [r for r in rows if r.status == "OK"]
+    assert len(known) > 0.95 * len(rows) and sum(r.prediction == r.label for r in known) > 0.95 * len(known)
+    assert all(r.prediction is None and r.score is None for r in rows if r.status != "OK")
