@@ -67,6 +67,12 @@ def release(*tables: DataFrame | None) -> None:
             remove_path(t.sparkSession, path)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to path, whole, and is still there."""
+    fs, p = _path(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete path, on whichever file system it is."""
     fs, p = _path(spark, path)
