@@ -155,20 +155,26 @@ class Search:
     def bits(self, fps: DataFrame) -> DataFrame:
         """(fp, bits) of some fps, made again from their documents' texts."""
         wanted = materialize(self.sets.join(fps, "fp", "left_semi").select("fp", "row.*"), "wanted")
-        few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+        n = wanted.count()
+        few = F.broadcast(wanted) if n <= FEW else wanted
         texts = self.docs.select(F.isnull(self.id_column).alias("none"), F.coalesce(F.col(self.id_column), F.lit(0)).alias("id"), F.xxhash64("text").alias("key"), "text")
-        found = bits_of(texts.join(few, ["none", "id", "key"]), self.words)
-        found = materialize(found.dropDuplicates(["fp"]), "bits")
+        found = materialize(bits_of(texts.join(few, ["none", "id", "key"]), self.words), "bits")
         release(wanted)
+        if found.count() > n:  # some rows are repeated
+            once = materialize(found.dropDuplicates(["fp"]), "bits")
+            release(found)
+            return once
         return found
 
     def verify(self, pairs: DataFrame) -> bool:
         """Add those of pairs (left, right) that are similar to the links; whether there are any."""
         pairs = materialize(pairs.distinct(), "met")
         bits = self.bits(pairs.select(F.explode(F.array("left", "right")).alias("fp")).distinct())
-        found = pairs
-        for end in ("left", "right"):
-            found = found.join(bits.select(F.col("fp").alias(end), F.col("bits").alias(f"b_{end}")), end)
+        # A list of pairs that may be broadcast spares the bits a shuffle: only those of each pair's right end, and of the left ends, are moved.
+        few = F.broadcast if pairs.count() <= FEW else lambda df: df
+        found = bits.select(F.col("fp").alias("right"), F.col("bits").alias("b_right")).join(few(pairs), "right")
+        lefts = bits.join(few(pairs.select(F.col("left").alias("fp")).distinct()), "fp", "left_semi")
+        found = found.join(lefts.select(F.col("fp").alias("left"), F.col("bits").alias("b_left")), "left")
         a, b = F.size("b_left"), F.size("b_right")
         found = materialize(found.where(alike(a, b, a + b - F.size(F.array_intersect("b_left", "b_right")) * 2)).select("left", "right"), "similar")
         release(pairs, bits)

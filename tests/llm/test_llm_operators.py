@@ -166,31 +166,43 @@ def near_texts(seed=2):
     return texts
 
 
-def test_near_copies(spark, monkeypatch):
-    import corpus_pipeline
-
-    texts = near_texts()
+def plain_groups(texts):
+    """(the least place reachable from each text, the links)"""
     sets = []
     for t in texts:
         w = (t or "").lower().split()
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
     least = list(range(len(texts)))
     linked = [(i, j) for i in least for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    assert len([p for p in linked if len(sets[p[0]] ^ sets[p[1]]) > 2]) > 20
     for _ in texts:
         for i, j in linked:
             least[i] = least[j] = min(least[i], least[j])
+    return least, [p for p in linked if len(sets[p[0]] ^ sets[p[1]]) > 2]
+
+
+def test_near_copies(spark):
+    import corpus_pipeline
+
+    texts = near_texts()
+    least, links = plain_groups(texts)
+    assert len(links) > 20
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.id: r.component_id for r in near_copies.components(docs).collect()}
-    assert got == dict(enumerate(least))
+    assert {r.id: r.component_id for r in near_copies.components(docs).collect()} == dict(enumerate(least))
     kept = corpus_pipeline.drop_near(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
-    # Leaders only, as in very large groups: further ones, and what a fingerprint has alone, are needed then.
-    monkeypatch.setattr(near_copies, "PAIRS", 0)
-    assert {r.id: r.component_id for r in near_copies.components(docs).collect()} == got
     assert near_copies.components(docs.where("doc_id < 0")).count() == 0
 
 
+def test_near_copies_by_leaders(spark, monkeypatch):
+    """As in very large groups: further leaders, and what a fingerprint has alone, are needed."""
+    monkeypatch.setattr(near_copies, "PAIRS", 0)
+    texts = near_texts(3)[:34]
+    least, links = plain_groups(texts)
+    assert links
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert {r.id: r.component_id for r in near_copies.components(docs).collect()} == dict(enumerate(least))
+
+
 @pytest.mark.parametrize(("crowd", "groups"), [(256, 4), (256, 8), (2, 4)])
 def test_near_pairs(spark, crowd, groups):
     rng = random.Random(crowd)
