@@ -93,8 +93,11 @@ def settled(text: str) -> int:
 
 
 def folded(text: str) -> str:
-    """Composed, in lower case, each character for itself."""
-    return text.lower() if text.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", text))).translate(NEW_LOWER)
+    """Composed, in lower case, each character for itself (of which only a sigma at a word's end knows better)."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return (text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))).translate(NEW_LOWER)
 
 
 def byte_letters() -> list[str]:
@@ -332,8 +335,8 @@ class Encoder:
         return Word(self.merges, self.end, self.lookahead, self.sizes)
 
     def symbols(self, text: str) -> str:
-        """A letter for each byte of text."""
-        return text.encode().decode("latin-1").translate(self.bytes_to_letters)
+        """A letter for each byte of text; that of a printable ASCII character is itself."""
+        return text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(self.bytes_to_letters)
 
     def word_ids(self, word: str) -> bytes:
         """The ids of a whole short word."""
@@ -347,8 +350,14 @@ class Encoder:
         """The ids of a whole short chunk without white space."""
         ids = self.chunks.new.get(chunk) or self.chunks.find(chunk)
         if ids is None:
-            words = self.words.findall(folded(chunk))
-            ids = self.chunks.keep(chunk, self.word_ids(words[0]) if len(words) == 1 else b"".join(map(self.word_ids, words)))
+            text = folded(chunk)
+            if text.isalpha():  # what most chunks are
+                ids = self.word_ids(text)
+            elif text[-1] in ",.;:!?" and text[:-1].isalpha():
+                ids = self.word_ids(text[:-1]) + self.word_ids(text[-1])
+            else:
+                ids = b"".join(map(self.word_ids, self.words.findall(text)))
+            self.chunks.keep(chunk, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
