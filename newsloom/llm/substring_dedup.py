@@ -229,12 +229,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id")
     """(id, n_words, n_removed, kept_sha256) for each document."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    found = materialize(scan(texts, length), "anchors")
+    found = materialize(scan(texts, length).withColumn("row", F.monotonically_increasing_id()), "anchors")
     # Copies: the first of each class is searched.
     # Tables that are joined with hot keys are written first: Spark splits the partitions of a join of plain tables only.
     whole = found.where(F.col("n_words") >= length)
-    classes = materialize(whole.groupBy("sha").agg(F.min("id").alias("first")), "classes")
-    first = whole.join(classes, "sha").where("id = first").dropDuplicates(["sha"])
+    classes = whole.groupBy("sha").agg(F.min(F.struct("id", "row")).alias("least"))
+    classes = materialize(classes.select("sha", F.col("least.id").alias("first"), F.col("least.row").alias("chosen")), "classes")
+    first = whole.join(classes, "sha").where("row = chosen")
     key = F.conv(F.hex(F.substring("sha", 1, 8)), 16, -10).cast("long").alias("key")
     runs = materialize(first.select("id", key, F.explode(F.arrays_zip(*ANCHOR)).alias("a")).select("id", "key", "a.*"), "runs")
     for level in (1, 2, 3):
@@ -251,7 +252,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id")
     starts = each.join(repeated, ["h1", "h2"]).where("id > low").groupBy("sha").agg(F.collect_set("start").alias("starts"))
     changed = cut(windows.select("sha", "text").dropDuplicates(["sha"]).join(starts, "sha").select("sha", "text", "starts"), length)
 
-    of = materialize(classes.join(changed, "sha", "left"), "of")
+    of = materialize(classes.drop("chosen").join(changed, "sha", "left"), "of")
     release(classes, windows, repeated)
     rows = found.select("id", "n_words", "sha").join(of, "sha", "left")
     copy = F.col("id") > F.col("first")  # null: no window
