@@ -21,6 +21,7 @@ comes that doesn't; repeated rows are encoded each for itself; other columns are
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import json
 import os
@@ -528,6 +529,8 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)  # not kept for the next task: workers that wait should be small
         names = Decoder(encoder).names
+        names = [names[i] for i in range(len(names))] if max(names, default=-1) + 1 == len(names) else names
+        gc.disable()  # nothing here makes cycles, and the memories are large to walk through
         for b in batches:
             n, digest, decoded, all_ids = [], [], [], []
             for text in map(pa.StringScalar.as_py, b.column("text")):
@@ -550,6 +553,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", ids:
                 all_ids.append(kept)
             columns = [b.column("id"), pa.array(n, pa.int64()), pa.array(digest), pa.array(decoded)] + [pa.array(all_ids, pa.list_(pa.int32()))] * ids
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        gc.enable()
 
     out = docs.select(F.col(id_column).alias("id"), "text").mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
     return out.withColumnRenamed("id", id_column)
