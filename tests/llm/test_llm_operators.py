@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, exact_dedup, fingerprint, licenses, mixing, near_copies, sharding, simhash, substring_dedup, toxicity, warc
+from newsloom.llm import bpe, exact_dedup, filter_audit, fingerprint, licenses, mixing, near_copies, sharding, simhash, substring_dedup, toxicity, warc
 
 #: Names that operators use inside, or that one could take for such; what is in these columns has to pass through.
 EXTRA = "row none hot salt hash start rank null sha winner number copies rows times fp bits first component_id keep_id _id _key _hash _rank _start _none _toxic_probability toxic_probability low_quality_probability".split()
@@ -774,3 +774,36 @@ def test_chain_learns_from_what_came_before():
     assert ((p >= 0.5) == y[:, 1]).mean() > 0.95
     one = chain[1].probability(sum(map(chain[1].word, rows_[7])), len(rows_[7]), [first[7]])
     assert one == pytest.approx(p[7], abs=1e-5)
+
+
+def test_filter_audit(spark, docs, empty):
+    from itertools import permutations
+
+    plain = [(r[0], r[1] or "", r[2]) for r in rows()] + [(500, "LOUD # words", None), (501, "LOUD # words", ""), (None, "LOUD # words", "en"), (502, " ".join(f"w{i}" for i in range(120)), "de")]
+    more = spark.createDataFrame([(i, t, p, *[None] * (len(docs.columns) - 3)) for i, t, p in plain[-4:]], SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 1, None), (None, 1, 1), (501, 1, 1), (999, 1, 1)], "doc_id long, quality int, toxic int")
+    good, toxic = {1, 2, 501}, {2, 501}
+    least = {}
+    for i, t, _ in plain:
+        if i is not None:
+            least[t] = min(least.get(t, i), i)
+    fails = []
+    for i, t, part in plain:
+        w = [x for x in t.replace("\t", " ").replace("\n", " ").replace("\x0b", " ").split(" ") if x]
+        capitals = sum("A" <= c <= "Z" for c in t)
+        again = t in least and (i is None or i > least[t])
+        fails.append((part or "", i, {k for k, f in zip("ABCDE", (len(w) < 100, 100 * len({*w}) < 80 * len(w), 100 * capitals > 10 * len(t), bool({*"#$%&*|"} & {*t}), again)) if f}))
+    want = []
+    for part in {p for p, _, _ in fails}:
+        own, removed = [(i, f) for p, i, f in fails if p == part], defaultdict(int)
+        table = []
+        for order in permutations("ABCDE"):
+            for s, x in enumerate(order):
+                before = {*order[:s]}
+                gone = [(i, f) for i, f in own if x in f and not f & before]
+                removed[x] += len(gone)
+                table.append((part, "".join(order), s + 1, sum(not f & (before | {x}) for _, f in own), len(gone), sum(x in f and bool(f & before) for _, f in own), sum(f == {x} for _, f in own), sum(i in good for i, _ in gone), sum(i in toxic for i, _ in gone)))
+        want += [(*r, removed[r[1][r[2] - 1]]) for r in table]
+    same(filter_audit.audit(docs.unionAll(more), labels).collect(), want)
+    assert filter_audit.audit(empty, labels).count() == 0
+    assert filter_audit.audit(docs, labels.where("doc_id < 0")).agg(F.sum("good_lost")).first()[0] == 0
