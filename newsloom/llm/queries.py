@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, exact_dedup, filter_audit, fingerprint, licenses, mixing, sharding, simhash, substring_dedup, toxicity, warc
+from newsloom.llm import bpe, exact_dedup, filter_audit, fingerprint, hyper_minhash, licenses, mixing, sharding, simhash, substring_dedup, toxicity, warc
 from newsloom.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyper_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +73,7 @@ def vocabulary(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_exact_dedup, op4_licenses, op5_simhash, op6_mixing, op7_warc, op8_fingerprint, op9_bpe, op10_toxicity, op12_filter_audit, pipeline)}
+    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_exact_dedup, op4_licenses, op5_simhash, op6_mixing, op7_warc, op8_fingerprint, op9_bpe, op10_toxicity, op12_filter_audit, op13_hyper_minhash, pipeline)}
 
 
 SQL = {
@@ -141,4 +145,15 @@ SQL = {
                      coalesce(sum(good) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
               FROM h, b GROUP BY ALL)
         SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r""",
+    "op13_hyper_minhash": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + 3), ' ')) AS h FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT l, r FROM p JOIN n x ON x.doc_id = l JOIN n y ON y.doc_id = r WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        both_ways AS (SELECT l AS a, r AS b FROM e UNION SELECT r, l FROM e),
+        reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT reach.node, b FROM reach JOIN both_ways ON a = other),
+        c AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = d.doc_id""",
 }

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, exact_dedup, filter_audit, fingerprint, licenses, mixing, near_copies, sharding, simhash, substring_dedup, toxicity, warc
+from newsloom.llm import bpe, exact_dedup, filter_audit, fingerprint, hyper_minhash, licenses, mixing, near_copies, sharding, simhash, substring_dedup, toxicity, warc
 
 #: Names that operators use inside, or that one could take for such; what is in these columns has to pass through.
 EXTRA = "row none hot salt hash start rank null sha winner number copies rows times fp bits first component_id keep_id _id _key _hash _rank _start _none _toxic_probability toxic_probability low_quality_probability".split()
@@ -807,3 +807,96 @@ def test_filter_audit(spark, docs, empty):
     same(filter_audit.audit(docs.unionAll(more), labels).collect(), want)
     assert filter_audit.audit(empty, labels).count() == 0
     assert filter_audit.audit(docs, labels.where("doc_id < 0")).agg(F.sum("good_lost")).first()[0] == 0
+
+
+def plain_components(plain, words=4):
+    """(id, set size, least id reachable) by comparing all pairs; None is the last of identifiers."""
+    sets = []
+    for _, t in plain:
+        w = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    up = list(range(len(sets)))
+
+    def top(i):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                up[top(i)] = top(j)
+    least = {}
+    for n, (i, _) in enumerate(plain):
+        least[top(n)] = min(least.get(top(n), float("inf")), float("inf") if i is None else i)
+    found = [least[top(n)] for n in range(len(plain))]
+    return [(i, len(s), None if c == float("inf") else int(c)) for (i, _), s, c in zip(plain, sets, found, strict=True)]
+
+
+def varied(seed=5):
+    """Documents of sentences from a few templates, near copies of one, and some of very few words."""
+    rng = random.Random(seed)
+    sentences = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(8)) for _ in range(30)]
+    texts = [". ".join(rng.sample(sentences, 10)) for _ in range(60)]
+    long = [f"x{rng.randint(0, 500)}" for _ in range(300)]
+    for _ in range(60):
+        t = list(long)
+        for _ in range(rng.randint(0, 16)):
+            t[rng.randrange(len(t))] = f"y{rng.randint(0, 99)}"
+        texts.append(" ".join(t))
+    for n in range(40):
+        words = [f"z{i}" for i in range(rng.randint(0, 12))]
+        texts.append(" ".join(words + ["end"] * (n % 2)))
+    return [(1000 + 3 * i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_hyper_minhash(spark, docs, empty, crowded, monkeypatch):
+    if crowded:  # a round of leaders, and all bands refined, before what is left is compared
+        run = hyper_minhash.Search.run
+
+        def turns(search):
+            search.lead()
+            assert search.sets.select("component").distinct().count() < search.sets.count()
+            before = search.rows.count()
+            monkeypatch.setattr(hyper_minhash, "PAIRS", 0)
+            search.refine()
+            assert search.rows.where("size(used) <> 2").isEmpty() and before > 0
+            run(search)
+
+        monkeypatch.setattr(hyper_minhash.Search, "run", turns)
+    plain = [(r[0], r[1]) for r in rows()] + varied()
+    more = spark.createDataFrame([(i, t, *[None] * (len(docs.columns) - 2)) for i, t in varied()], SCHEMA)
+    want = [(i, n, c, i == c) for i, n, c in plain_components(plain)]
+    same(hyper_minhash.near_duplicates(docs.unionAll(more)).collect(), want)
+    assert len({c for _, _, c, _ in want}) < len(want) - 30
+    if not crowded:
+        assert hyper_minhash.near_duplicates(empty).count() == 0
+
+
+def test_sketches():
+    """Registers as defined, one by one; the estimate's collisions as they are counted over random sets."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 300, 20_000):
+        bits = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        want = [0] * hyper_minhash.REGISTERS
+        for h in bits.tolist():
+            h %= 1 << 64
+            bucket, rest = h >> 56, h % (1 << 56)
+            digits = f"{rest:056b}".lstrip("0")
+            low = (56 - len(digits) + 1) << 10 | int((digits[1:] + "0" * 10)[:10], 2)
+            old = want[bucket]
+            if not old or (old >> 10, -(old & 1023)) < (low >> 10, -(low & 1023)):
+                want[bucket] = low
+        assert hyper_minhash.sketch(bits).view(np.uint16).tolist() == want
+
+
+@pytest.mark.parametrize("n", [40, 600, 6000])
+def test_expected_collisions(spark, n):
+    rng = np.random.default_rng(4)
+    draw = lambda: hyper_minhash.sketch(np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))).view(np.uint16)
+    tries = 2000
+    sets = [draw() for _ in range(tries)]
+    met = sum(int(((sets[i] == sets[i - 1]) & (sets[i] > 0)).sum()) for i in range(tries))
+    want = spark.range(1).select(hyper_minhash.expected_collisions(F.lit(n), F.lit(n))).first()[0] * tries
+    assert abs(met - want) < 5 * want**0.5 + 1
