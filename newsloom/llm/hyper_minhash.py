@@ -10,9 +10,9 @@ the compression makes (expected_collisions). The estimate's deviation is 0.025 a
 confirmed on the full sets, which are made again from the texts of the documents that need it.
 
 Sets are compared once however many documents have them. While the sets of some bands make more than PAIRS pairs for each row, and each round at least halves the pairs, they are met with one leader of
-the band each instead, which joins a large group of near copies without its square of pairs, and what lies in one component need not meet again. Then crowded bands are refined: their sets must agree in another
-band too, which similar sets do in 26 of 64 bands on average (in fewer than two with a probability of 1e-13) and sets with a passage in common hardly ever. The pairs that are left are estimated; only a crowd of sets that all
-have about two thirds of their shingles in common makes more of them than grow with the rows.
+the band each instead, which joins a large group of near copies without its square of pairs, and what lies in one component need not meet again. What is crowded then has passages in common
+rather than being similar. Its sets meet at their rarest shingles instead, exactly: the shingles that are common in a sample of them come last, and two similar sets have one of the first n // 5 + 1 in common. How
+common a shingle is decides how many pairs are met, never which are found.
 
 Cases: a null text has no words; sets without shingles are empty and linked with nothing, not with each other either; null identifiers belong to their group, whose id is the least that is not
 null, and a group of null identifiers alone has the id null, of which all rows are kept; repeated rows are one set; an empty table gives none; other columns are ignored.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import bounded_batches
-from newsloom.llm.near_copies import alike, bits_of, lists, set_bits, tagged
+from newsloom.llm.near_copies import alike, bits_of, common_shingles, lists, set_bits, tables, tagged
 from newsloom.operators.graph import connected_components
 from newsloom.session import materialize, release
 
@@ -110,13 +110,8 @@ def likely(left: str, right: str) -> Column:
     return alike(n, m, F.abs(n - m)) & (estimate(left, right) >= LIKELY)
 
 
-def agreement(used: Column, regs: Column) -> Column:
-    """What sets that agree in the used bands (ascending) have in common."""
-    return F.xxhash64(used, F.transform(used, lambda i: F.get(regs, i)))
-
-
 class Search:
-    """rows (g, fp, used): sets that agree in the used bands have the same g. sets: what is known of each set."""
+    """rows (g, fp): the sets of a group meet. sets: what is known of each set."""
 
     def __init__(self, prints: DataFrame, docs: DataFrame, words: int, id_column: str):
         self.docs, self.words, self.id_column = docs, words, id_column
@@ -125,15 +120,15 @@ class Search:
         self.sets = materialize(sets.withColumn("component", F.col("fp")), "sets")
         # A set of three shingles or fewer is similar to no other; nor do sets meet in a band that is empty in both.
         bands = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.get("regs", i) != 0)
-        one = F.array("band")
-        self.rows = self.shared(self.sets.where("n > 3").select("fp", "regs", F.explode(bands).alias("band")).select(agreement(one, F.col("regs")).alias("g"), "fp", one.alias("used")))
+        rows = self.sets.where("n > 3").select("fp", "regs", F.explode(bands).alias("band"))
+        self.rows = self.shared(rows.select(F.xxhash64("band", F.get("regs", F.col("band"))).alias("g"), "fp"))
 
     def shared(self, rows: DataFrame) -> DataFrame:
         """rows of which a group's sets lie in several components."""
         found = materialize(rows.distinct(), "bands")
         several = found.join(self.sets.select("fp", "component"), "fp").groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         several = materialize(several.where("low <> high").select("g"), "several")
-        out = materialize(found.join(several, "g").select("g", "fp", "used"), "rows")
+        out = materialize(found.join(several, "g").select("g", "fp"), "rows")
         release(found, several)
         return out
 
@@ -144,15 +139,18 @@ class Search:
         each = each.groupBy("g").agg(F.sum("k").alias("n"), F.sum(n).alias("all"), F.sum(n * n).alias("inside"))
         return each.select("g", "n", ((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs"))
 
-    def bits(self, fps: DataFrame) -> DataFrame:
-        """(fp, bits) of some sets, made again from the text of one document of each."""
+    def texts(self, fps: DataFrame) -> tuple[DataFrame, int]:
+        """(fp, text) of one document of each of some sets, and how many these are; rows repeated with its id and text come too."""
         wanted = materialize(self.sets.join(fps, "fp", "left_semi").select("fp", "row.*"), "wanted")
         n = wanted.count()
-        few = F.broadcast(wanted) if n <= FEW else wanted
         texts = self.docs.select(F.isnull(self.id_column).alias("none"), F.coalesce(F.col(self.id_column), F.lit(0)).alias("id"), F.xxhash64("text").alias("key"), "text")
-        found = materialize(bits_of(texts.join(few, ["none", "id", "key"]), self.words), "bits")
-        release(wanted)
-        if found.count() > n:  # some rows are repeated
+        return texts.join(F.broadcast(wanted) if n <= FEW else wanted, ["none", "id", "key"]).select("fp", "text"), n
+
+    def bits(self, fps: DataFrame) -> DataFrame:
+        """(fp, bits) of some sets."""
+        texts, n = self.texts(fps)
+        found = materialize(bits_of(texts, self.words), "bits")
+        if found.count() > n:
             found, again = materialize(found.dropDuplicates(["fp"]), "bits"), found
             release(again)
         return found
@@ -188,20 +186,18 @@ class Search:
         others = materialize(self.rows.join(lead, "g").where("fp <> top"), "others")
         self.confirm(others.select(F.col("top").alias("left"), F.col("fp").alias("right")))
         old = self.rows
-        self.rows = self.shared(others.select("g", "fp", "used"))
+        self.rows = self.shared(others.select("g", "fp"))
         release(old, others, lead, ranks)
 
     def refine(self) -> None:
-        """The sets of crowded groups must agree in another band too, of the half that follows (of any two bands, one follows the other so)."""
+        """The sets of crowded groups meet at their rarest shingles."""
         crowded = materialize(self.crowds().where(F.col("pairs") > PAIRS * F.col("n")).select("g"), "crowded")
-        last = F.element_at("used", -1)
-        more = F.transform(F.sequence(F.lit(1), F.lit(BANDS // 2)), lambda k: (last + k) % BANDS)
-        more = F.filter(more, lambda i: (F.get("regs", i) != 0) & ~F.array_contains("used", i))
-        rows = self.rows.join(crowded, "g").join(self.sets.select("fp", "regs"), "fp").select("fp", "regs", "used", F.explode(more).alias("band"))
-        rows = rows.withColumn("used", F.array_sort(F.array_append("used", F.col("band"))))
+        texts, _ = self.texts(self.rows.join(crowded, "g").select("fp").distinct())
+        texts = materialize(texts.withColumnRenamed("fp", "id"), "texts")
+        first = tables(texts, self.words, common_shingles(texts, self.words), "id").select(F.explode("first").alias("g"), F.col("id").alias("fp"))
         old = self.rows
-        self.rows = self.shared(old.join(crowded, "g", "left_anti").unionByName(rows.select(agreement(F.col("used"), F.col("regs")).alias("g"), "fp", "used")))
-        release(old, crowded)
+        self.rows = self.shared(old.join(crowded, "g", "left_anti").unionByName(first))
+        release(old, crowded, texts)
 
     def pairs(self) -> int:
         return int(self.crowds().agg(F.sum("pairs")).first()[0] or 0)

@@ -852,7 +852,7 @@ def varied(seed=5):
 
 @pytest.mark.parametrize("crowded", [False, True])
 def test_hyper_minhash(spark, docs, empty, crowded, monkeypatch):
-    if crowded:  # a round of leaders, and all bands refined, before what is left is compared
+    if crowded:  # a round of leaders, and all sets at their rarest shingles, before what is left is compared
         run = hyper_minhash.Search.run
 
         def turns(search):
@@ -861,7 +861,7 @@ def test_hyper_minhash(spark, docs, empty, crowded, monkeypatch):
             before = search.rows.count()
             monkeypatch.setattr(hyper_minhash, "PAIRS", 0)
             search.refine()
-            assert search.rows.where("size(used) <> 2").isEmpty() and before > 0
+            assert 0 < search.rows.count() != before
             run(search)
 
         monkeypatch.setattr(hyper_minhash.Search, "run", turns)
