@@ -1,16 +1,16 @@
 """Near-duplicates by HyperMinHash: documents whose sets of four-word shingles have a Jaccard similarity of 0.8 or more, and what these link.
 
-The sketch of a set has REGISTERS buckets. A shingle's 64-bit hash names its bucket; of the least hash of a bucket, the rest is
+The sketch of a set has REGISTERS buckets. A shingle's 64-bit hash names its bucket; the least rest of the hashes of a bucket is
 compressed to its number of leading zeros and the MANTISSA bits that follow the first one, 16 bits in all (0: no shingle). Two
 sets agree in a register with the probability of their similarity or more, whether few or many of their shingles are there.
 
-Four registers are a band, one long; sets that agree in a band that isn't empty meet. Of two sets at 0.8, all of 64 bands differ with a
-probability of (1 - 0.8^4)^64, 2e-15. Pairs that met are estimated from all registers: the share of registers in agreement, less those that agree by the collisions that
-the compression makes (expected_collisions). The estimate's deviation is 0.025 at 0.8, so pairs below LIKELY are discarded at no risk, and the rest are
+Four registers are a band, one long; sets that agree in bands that aren't empty meet. Two sets at 0.8 agree in 26 of 64 bands on average, and in fewer than AGREE
+with a probability of 2e-12; sets of fewer than SHORT shingles, which fill few bands, meet at one. Pairs that met are estimated from all registers: the share of registers in agreement, less those that agree by the
+collisions that the compression makes (expected_collisions). The estimate's deviation is 0.025 at 0.8, so pairs below LIKELY are discarded at no risk, and the rest are
 confirmed on the full sets, which are made again from the texts of the documents that need it.
 
-Sets are compared once however many documents have them. While the sets of some bands make more than PAIRS pairs for each row, and each round at least halves the pairs, they are met with one leader of
-the band each instead, which joins a large group of near copies without its square of pairs, and what lies in one component need not meet again. What is crowded then has passages in common
+Sets are compared once however many documents have them. While the sets of some bands make more than PAIRS pairs for each row, and each round takes a quarter of them or more, each set meets one leader of its bands
+instead, which joins a large group of near copies without its square of pairs, and what lies in one component need not meet again. What is crowded then has passages in common
 rather than being similar. Its sets meet at their rarest shingles instead, exactly: the shingles that are common in a sample of them come last, and two similar sets have one of the first n // 5 + 1 in common. How
 common a shingle is decides how many pairs are met, never which are found.
 
@@ -32,29 +32,26 @@ from newsloom.llm.near_copies import alike, bits_of, common_shingles, lists, set
 from newsloom.operators.graph import connected_components
 from newsloom.session import materialize, release
 
-#: Registers and how many of their bits are mantissa; the other 16 less these hold the leading zeros.
-REGISTERS, MANTISSA, BAND = 256, 10, 4
-BANDS, REST = REGISTERS // BAND, 64 - 8
+#: Registers, their bits, and how many of these are mantissa; the others hold the leading zeros of the hashes' last REST bits.
+REGISTERS, WIDTH, MANTISSA, BAND = 256, 16, 10, 4
+BANDS, REST = REGISTERS // BAND, 32
+#: Bands in which sets must agree, but for those of fewer than SHORT shingles.
+AGREE, SHORT = 3, 64
 #: Estimates under LIKELY are discarded. Leaders go first while there are more than PAIRS pairs for each row; lists of at most FEW identifiers are broadcast.
-LIKELY, PAIRS, FEW = 0.65, 8, 1 << 20
+LIKELY, PAIRS, FEW = 0.65, 8, 1 << 18
 
 
 def sketch(bits: np.ndarray) -> np.ndarray:
-    """BANDS longs of four registers each, of the sorted distinct hashes of a set."""
-    registers = np.zeros(REGISTERS, np.uint16)
-    h = np.sort(bits.view(np.uint64))
-    bucket = (h >> np.uint64(REST)).astype(np.int64)
+    """BANDS longs of four registers each, of the distinct hashes of a set."""
+    h, rest = bits.view(np.uint64), np.uint64(REST)
+    h = np.sort((h >> rest) * np.uint64(REGISTERS) >> rest << rest | h & np.uint64((1 << REST) - 1))
+    bucket = (h >> rest).astype(np.int64)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    least = h[first] & np.uint64((1 << REST) - 1)
-    # The highest bit that is set, by halves: exact, where a float's logarithm would round.
-    high, x = np.zeros(len(least), np.int64), least.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        more = x >= np.uint64(1) << np.uint64(step)
-        high += step * more
-        x = np.where(more, x >> np.uint64(step), x)
-    zeros = REST - 1 - high
-    below = np.where(high >= MANTISSA, least >> np.maximum(high - MANTISSA, 0).astype(np.uint64), least << np.maximum(MANTISSA - high, 0).astype(np.uint64))
-    registers[bucket[first]] = ((zeros + 1) << MANTISSA | (below & np.uint64((1 << MANTISSA) - 1)).astype(np.int64)).astype(np.uint16)
+    least = (h[first] & np.uint64((1 << REST) - 1)).astype(np.int64)
+    high = np.frexp(least.astype(np.float64))[1].astype(np.int64) - 1  # the highest bit that is set; REST bits are exact in a double
+    below = least << MANTISSA >> np.maximum(high, 0) & ((1 << MANTISSA) - 1)
+    registers = np.zeros(REGISTERS, np.uint16)
+    registers[bucket[first]] = (REST - high) << MANTISSA | below
     return registers.view("<i8")
 
 
@@ -76,12 +73,12 @@ def filled(x: Column) -> Column:
     """How many of the four 16-bit registers in a long are not 0: each one's bits are folded into its lowest."""
     for step in (8, 4, 2, 1):
         x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-    return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+    return F.bit_count(x.bitwiseAND(F.lit(sum(1 << WIDTH * i for i in range(BAND)))))
 
 
-def counted(*longs: Column) -> Column:
+def counted(longs: Column) -> Column:
     """Registers that are not 0, of an array of longs."""
-    return F.aggregate(longs[0], F.lit(0), lambda n, x: n + filled(x))
+    return F.aggregate(longs, F.lit(0), lambda n, x: n + filled(x))
 
 
 def expected_collisions(n: Column, m: Column) -> Column:
@@ -111,7 +108,7 @@ def likely(left: str, right: str) -> Column:
 
 
 class Search:
-    """rows (g, fp): the sets of a group meet. sets: what is known of each set."""
+    """rows (g, w, fp, n): the sets of a group meet, which counts as w bands. sets: what is known of each set, and its component."""
 
     def __init__(self, prints: DataFrame, docs: DataFrame, words: int, id_column: str):
         self.docs, self.words, self.id_column = docs, words, id_column
@@ -121,14 +118,14 @@ class Search:
         # A set of three shingles or fewer is similar to no other; nor do sets meet in a band that is empty in both.
         bands = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.get("regs", i) != 0)
         rows = self.sets.where("n > 3").select("fp", "regs", F.explode(bands).alias("band"))
-        self.rows = self.shared(rows.select(F.xxhash64("band", F.get("regs", F.col("band"))).alias("g"), "fp"))
+        self.rows = self.shared(rows.select(F.xxhash64("band", F.get("regs", F.col("band"))).alias("g"), F.lit(1).alias("w"), "fp"))
 
     def shared(self, rows: DataFrame) -> DataFrame:
         """rows of which a group's sets lie in several components."""
-        found = materialize(rows.distinct(), "bands")
+        found = materialize(rows.distinct(), "bands")  # (g, w, fp)
         several = found.join(self.sets.select("fp", "component"), "fp").groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         several = materialize(several.where("low <> high").select("g"), "several")
-        out = materialize(found.join(several, "g").select("g", "fp"), "rows")
+        out = materialize(found.join(several, "g").join(self.sets.select("fp", "n"), "fp").select("g", "w", "fp", "n"), "rows")
         release(found, several)
         return out
 
@@ -157,7 +154,7 @@ class Search:
 
     def confirm(self, pairs: DataFrame) -> None:
         """Join the components of those of pairs (left, right) that are similar."""
-        ends = pairs.distinct().join(tagged(self.sets.select("fp", "n", "regs", "component"), "l"), F.col("left") == F.col("l_fp"))
+        ends = pairs.join(tagged(self.sets.select("fp", "n", "regs", "component"), "l"), F.col("left") == F.col("l_fp"))
         ends = ends.join(tagged(self.sets.select("fp", "n", "regs", "component"), "r"), F.col("right") == F.col("r_fp"))
         pairs = materialize(ends.where((F.col("l.component") != F.col("r.component")) & likely("l", "r")).select("left", "right"), "met")
         bits = self.bits(pairs.select(F.explode(F.array("left", "right")).alias("fp")).distinct())
@@ -178,44 +175,48 @@ class Search:
             release(old, labels)
         release(found)
 
-    def lead(self) -> None:
-        """Compare each group's leader, the set that is in most groups, with the others, and take it out."""
-        rank = F.shiftleft(F.least(F.count("*"), F.lit(127)), 56).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << 56) - 1)))  # one leader for all groups that tie
-        ranks = materialize(self.rows.groupBy("fp").agg(rank.alias("rank")), "ranks")
-        lead = materialize(self.rows.join(ranks, "fp").groupBy("g").agg(F.max_by("fp", "rank").alias("top")), "leaders")
-        others = materialize(self.rows.join(lead, "g").where("fp <> top"), "others")
-        self.confirm(others.select(F.col("top").alias("left"), F.col("fp").alias("right")))
+    def lead(self, turn: int) -> None:
+        """Compare each set with one leader of its groups; the set that is in most groups leads first, then any."""
+        most = F.shiftleft(F.least(F.count("*"), F.lit(127)), 56).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << 56) - 1)))  # one leader for all groups that tie
+        ranks = materialize(self.rows.groupBy("fp", "n").agg((F.xxhash64("fp", F.lit(turn)) if turn else most).alias("rank")), "ranks")
+        lead = self.rows.join(ranks.select("fp", "rank"), "fp").groupBy("g").agg(F.max(F.struct("rank", F.col("fp").alias("top"), F.col("n").alias("m"))).alias("top"))
+        lead = materialize(lead.select("g", "top.*"), "leaders")
+        met = self.rows.join(lead, "g").where((F.col("fp") != F.col("top")) & alike(F.col("n"), F.col("m"), F.abs(F.col("n") - F.col("m"))))
+        self.confirm(met.groupBy(F.col("fp").alias("right")).agg(F.max_by("top", "rank").alias("left")).select("left", "right"))
         old = self.rows
-        self.rows = self.shared(others.select("g", "fp"))
-        release(old, others, lead, ranks)
+        self.rows = self.shared(old.select("g", "w", "fp"))
+        release(old, lead, ranks)
 
     def refine(self) -> None:
         """The sets of crowded groups meet at their rarest shingles."""
         crowded = materialize(self.crowds().where(F.col("pairs") > PAIRS * F.col("n")).select("g"), "crowded")
         texts, _ = self.texts(self.rows.join(crowded, "g").select("fp").distinct())
         texts = materialize(texts.withColumnRenamed("fp", "id"), "texts")
-        first = tables(texts, self.words, common_shingles(texts, self.words), "id").select(F.explode("first").alias("g"), F.col("id").alias("fp"))
+        first = tables(texts, self.words, common_shingles(texts, self.words), "id").select(F.explode("first").alias("g"), F.lit(AGREE).alias("w"), F.col("id").alias("fp"))
         old = self.rows
-        self.rows = self.shared(old.join(crowded, "g", "left_anti").unionByName(first))
+        self.rows = self.shared(old.select("g", "w", "fp").join(crowded, "g", "left_anti").unionByName(first))
         release(old, crowded, texts)
 
     def pairs(self) -> int:
         return int(self.crowds().agg(F.sum("pairs")).first()[0] or 0)
 
     def run(self) -> None:
-        left, refined = self.pairs(), False
+        left, refined, turn = self.pairs(), False, 0
         while left > PAIRS * self.rows.count():
-            self.lead()
-            left, before = self.pairs(), left
-            if 2 * left > before:
+            self.lead(turn)
+            left, before, turn = self.pairs(), left, turn + 1
+            if 4 * left > 3 * before:
                 if refined:
                     break
                 self.refine()
                 left, refined = self.pairs(), True
-        known = materialize(self.rows.select("g", "fp").join(self.sets.select("fp", "component"), "fp"), "known")
+        known = materialize(self.rows.join(self.sets.select("fp", "component"), "fp"), "known")
         a, b = known.alias("a"), known.alias("b")
         met = (F.col("a.g") == F.col("b.g")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.component") != F.col("b.component"))
-        self.confirm(a.join(b, met).select(F.col("a.fp").alias("left"), F.col("b.fp").alias("right")))
+        met = met & alike(F.col("a.n"), F.col("b.n"), F.abs(F.col("a.n") - F.col("b.n")))
+        bands = F.when(F.least("a.n", "b.n") < SHORT, AGREE).otherwise(F.col("a.w"))
+        met = a.join(b, met).groupBy(F.col("a.fp").alias("left"), F.col("b.fp").alias("right")).agg(F.sum(bands).alias("bands"))
+        self.confirm(met.where(F.col("bands") >= AGREE).select("left", "right"))
         release(known, self.rows)
 
 

@@ -856,7 +856,8 @@ def test_hyper_minhash(spark, docs, empty, crowded, monkeypatch):
         run = hyper_minhash.Search.run
 
         def turns(search):
-            search.lead()
+            search.lead(0)
+            search.lead(1)
             assert search.sets.select("component").distinct().count() < search.sets.count()
             before = search.rows.count()
             monkeypatch.setattr(hyper_minhash, "PAIRS", 0)
@@ -874,6 +875,10 @@ def test_hyper_minhash(spark, docs, empty, crowded, monkeypatch):
         assert hyper_minhash.near_duplicates(empty).count() == 0
 
 
+def registers(bits):
+    return hyper_minhash.sketch(bits).view(np.uint16)
+
+
 def test_sketches():
     """Registers as defined, one by one; the estimate's collisions as they are counted over random sets."""
     rng = np.random.default_rng(3)
@@ -882,19 +887,19 @@ def test_sketches():
         want = [0] * hyper_minhash.REGISTERS
         for h in bits.tolist():
             h %= 1 << 64
-            bucket, rest = h >> 56, h % (1 << 56)
-            digits = f"{rest:056b}".lstrip("0")
-            low = (56 - len(digits) + 1) << 10 | int((digits[1:] + "0" * 10)[:10], 2)
+            bucket, rest = h >> 56, h % (1 << 32)
+            digits = f"{rest:032b}".lstrip("0")
+            low = (33 - len(digits)) << 10 | int((digits[1:] + "0" * 10)[:10], 2)
             old = want[bucket]
             if not old or (old >> 10, -(old & 1023)) < (low >> 10, -(low & 1023)):
                 want[bucket] = low
-        assert hyper_minhash.sketch(bits).view(np.uint16).tolist() == want
+        assert registers(bits).tolist() == want
 
 
 @pytest.mark.parametrize("n", [40, 600, 6000])
 def test_expected_collisions(spark, n):
     rng = np.random.default_rng(4)
-    draw = lambda: hyper_minhash.sketch(np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))).view(np.uint16)
+    draw = lambda: registers(np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n)))
     tries = 2000
     sets = [draw() for _ in range(tries)]
     met = sum(int(((sets[i] == sets[i - 1]) & (sets[i] > 0)).sum()) for i in range(tries))
