@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, exact_dedup, filter_audit, fingerprint, hyper_minhash, licenses, mixing, sharding, simhash, substring_dedup, toxicity, warc
+from newsloom.llm import bpe, collocations, exact_dedup, filter_audit, fingerprint, hyper_minhash, licenses, mixing, sharding, simhash, substring_dedup, toxicity, warc
 from newsloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,7 +77,7 @@ def vocabulary(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_exact_dedup, op4_licenses, op5_simhash, op6_mixing, op7_warc, op8_fingerprint, op9_bpe, op10_toxicity, op12_filter_audit, op13_hyper_minhash, pipeline)}
+    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_exact_dedup, op4_licenses, op5_simhash, op6_mixing, op7_warc, op8_fingerprint, op9_bpe, op10_toxicity, op11_collocations, op12_filter_audit, op13_hyper_minhash, pipeline)}
 
 
 SQL = {
@@ -156,4 +160,17 @@ SQL = {
         c AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = d.doc_id""",
+    "op11_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(p) AS piece FROM d)),
+        t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        i AS (SELECT lang, unnest(list_zip(w, w[2:], w[3:], w[4:])) AS z FROM w),
+        g AS (SELECT lang, unnest([z[1], z[1] || ' ' || z[2], z[1] || ' ' || z[2] || ' ' || z[3], z[1] || ' ' || z[2] || ' ' || z[3] || ' ' || z[4]]) AS phrase FROM i),
+        f AS (SELECT lang, len(string_split(phrase, ' ')) AS k, string_split(phrase, ' ') AS words, f FROM (SELECT lang, phrase, count(*) AS f FROM g WHERE phrase IS NOT NULL GROUP BY ALL HAVING count(*) >= 30)),
+        cuts AS (SELECT c.lang, c.k, c.words, c.f AS a, j.j, x.f AS l, y.f AS r, (2000000 * c.f::HUGEINT) // (x.f + y.f)::HUGEINT AS score
+                 FROM f c, (SELECT unnest([1, 2, 3]) AS j) j, f x, f y WHERE c.k > j.j AND x.lang = c.lang AND x.words = list_slice(c.words, 1, j.j) AND y.lang = c.lang AND y.words = list_slice(c.words, j.j + 1, c.k)),
+        s AS (SELECT lang, k, words, a, arg_min({'l': l, 'r': r, 'score': score}, score * 10 + j) AS cut FROM cuts GROUP BY ALL),
+        o AS (SELECT c.lang, list_slice(c.words, q.q, q.q + m.m - 1) AS words, max(c.f) AS longer FROM f c, (SELECT unnest([1, 2, 3]) AS q) q, (SELECT unnest([2, 3]) AS m) m WHERE m.m < c.k AND q.q + m.m - 1 <= c.k GROUP BY ALL),
+        z AS (SELECT s.lang, array_to_string(s.words, ' ') AS phrase, a, cut.l AS l, cut.r AS r, cut.score::BIGINT AS score FROM s LEFT JOIN o ON o.lang = s.lang AND o.words = s.words WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)
+        SELECT z.lang, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z JOIN t ON t.lang = z.lang QUALIFY rank <= 2000""",
 }

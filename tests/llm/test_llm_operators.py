@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, exact_dedup, filter_audit, fingerprint, hyper_minhash, licenses, mixing, near_copies, sharding, simhash, substring_dedup, toxicity, warc
+from newsloom.llm import bpe, collocations, exact_dedup, filter_audit, fingerprint, hyper_minhash, licenses, mixing, near_copies, sharding, simhash, substring_dedup, toxicity, warc
 
 #: Names that operators use inside, or that one could take for such; what is in these columns has to pass through.
 EXTRA = "row none hot salt hash start rank null sha winner number copies rows times fp bits first component_id keep_id _id _key _hash _rank _start _none _toxic_probability toxic_probability low_quality_probability".split()
@@ -905,3 +905,54 @@ def test_expected_collisions(spark, n):
     met = sum(int(((sets[i] == sets[i - 1]) & (sets[i] > 0)).sum()) for i in range(tries))
     want = spark.range(1).select(hyper_minhash.expected_collisions(F.lit(n), F.lit(n))).first()[0] * tries
     assert abs(met - want) < 5 * want**0.5 + 1
+
+
+def plain_collocations(plain, least, best):
+    import re
+    from collections import Counter
+
+    count, n = Counter(), Counter()
+    for t, lang in plain:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            count.update((lang, tuple(w[i : i + k])) for k in range(1, 5) for i in range(len(w) - k + 1))
+    found = defaultdict(list)
+    often = {k: a for k, a in count.items() if a >= least and len(k[1]) > 1}
+    longer = defaultdict(int)
+    for (lang, w), a in often.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                longer[lang, w[i : i + k]] = max(longer[lang, w[i : i + k]], a)
+    for (lang, w), a in often.items():
+        score, _, left, right = min((2000000 * a // (count[lang, w[:k]] + count[lang, w[k:]]), k, count[lang, w[:k]], count[lang, w[k:]]) for k in range(1, len(w)))
+        if 100 * longer[lang, w] < 80 * a:
+            found[lang].append((-score, -a, " ".join(w).encode(), left, right))
+    return [(lang, i + 1, p.decode(), -a, x, y, n[lang], -s) for lang, rows in found.items() for i, (s, a, p, x, y) in enumerate(sorted(rows)[:best])]
+
+
+def test_collocations(spark, docs, empty, monkeypatch):
+    rng = random.Random(8)
+    odd = ["New York\x01 city, new york\tCITY! new  york; x\x0cy a.b ünï ÜNÏ", "a a a a a a, a a", ". , ;", "\x7f\x00 b \x7f\x00 b \x7f\x00 b"] * 4
+    odd += [" ".join(rng.choice(["in", "the", "case", "of", "fire,", "break", "glass."]) for _ in range(60)) for _ in range(20)]
+    plain = [(r[1], r[2]) for r in rows()] + [(t, rng.choice([None, "en", "", "und"])) for t in odd]
+    more = spark.createDataFrame([(i, *p, *[None] * (len(docs.columns) - 3)) for i, p in enumerate(plain[-len(odd) :])], SCHEMA)
+    monkeypatch.setattr(collocations, "BLOCK", 700)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)  # runs go over several batches
+    try:
+        for least, best in ((3, 40), (12, 2000)):
+            same(collocations.collocations(docs.unionAll(more), least, best).collect(), plain_collocations(plain, least, best))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert collocations.collocations(empty).count() == 0
+
+
+def test_radix_order():
+    rng = np.random.default_rng(2)
+    words = [rng.integers(0, 1 << 32, 3000).astype(np.uint32) >> rng.integers(0, 32) for _ in range(3)]
+    got, counts = collocations.runs(words)
+    want = defaultdict(int)
+    for w in zip(*(w.tolist() for w in words), strict=True):
+        want[w] += 1
+    assert list(zip(*(w.tolist() for w in got), counts.tolist(), strict=True)) == [(*w, n) for w, n in sorted(want.items())]
