@@ -11,8 +11,8 @@ confirmed on the full sets, which are made again from the texts of the documents
 
 Sets are compared once however many documents have them. While the sets of some bands make more than PAIRS pairs for each row, and each round takes a quarter of them or more, each set meets one leader of its bands
 instead, which joins a large group of near copies without its square of pairs, and what lies in one component need not meet again. What is crowded then has passages in common
-rather than being similar. Its sets meet at their rarest shingles instead, exactly: the shingles that are common in a sample of them come last, and two similar sets have one of the first n // 5 + 1 in common. How
-common a shingle is decides how many pairs are met, never which are found.
+rather than being similar. Its sets meet at their rarest shingles instead, exactly: the COMMON commonest shingles come last, and two similar sets have one of the first n // 5 + 1 in common. How
+common a shingle is decides how many pairs are met, never which are found. A set that has more than a fifth of its shingles alone is similar to no other of them.
 
 Cases: a null text has no words; sets without shingles are empty and linked with nothing, not with each other either; null identifiers belong to their group, whose id is the least that is not
 null, and a group of null identifiers alone has the id null, of which all rows are kept; repeated rows are one set; an empty table gives none; other columns are ignored.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import bounded_batches
-from newsloom.llm.near_copies import alike, bits_of, common_shingles, lists, set_bits, tables, tagged
+from newsloom.llm.near_copies import alike, bits_of, lists, set_bits, tagged
 from newsloom.operators.graph import connected_components
 from newsloom.session import materialize, release
 
@@ -38,7 +38,7 @@ BANDS, REST = REGISTERS // BAND, 32
 #: Bands in which sets must agree, but for those of fewer than SHORT shingles.
 AGREE, SHORT = 3, 64
 #: Estimates under LIKELY are discarded. Leaders go first while there are more than PAIRS pairs for each row; lists of at most FEW identifiers are broadcast.
-LIKELY, PAIRS, FEW = 0.65, 8, 1 << 18
+LIKELY, PAIRS, FEW, COMMON = 0.65, 8, 1 << 18, 1 << 16
 
 
 def sketch(bits: np.ndarray) -> np.ndarray:
@@ -107,8 +107,23 @@ def likely(left: str, right: str) -> Column:
     return alike(n, m, F.abs(n - m)) & (estimate(left, right) >= LIKELY)
 
 
+def rarest(sets: DataFrame, known: np.ndarray, often: np.ndarray) -> DataFrame:
+    """sets (fp, own, bits) with first instead of bits: the n // 5 + 1 that are first in the order of their counts; known (sorted) are often, and others 0."""
+    known, often = (known, often) if len(known) else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = []
+            for bits in (x.values.to_numpy() for x in b.column("bits")):
+                at = np.minimum(np.searchsorted(known, bits), len(known) - 1)
+                first.append(bits[np.argsort(np.where(known[at] == bits, often[at], 0), kind="stable")[: len(bits) // 5 + 1]])
+            yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("own"), lists(first, np.int64)], ["fp", "own", "first"])
+
+    return sets.select("fp", "own", "bits").mapInArrow(run, "fp long, own long, first array<long>")
+
+
 class Search:
-    """rows (g, w, fp, n): the sets of a group meet, which counts as w bands. sets: what is known of each set, and its component."""
+    """rows (g, w, fp, own, n): the sets of a group meet, which counts as w bands; own of a set's n shingles are in no other set of such groups. sets: what is known of each set, and its component."""
 
     def __init__(self, prints: DataFrame, docs: DataFrame, words: int, id_column: str):
         self.docs, self.words, self.id_column = docs, words, id_column
@@ -118,14 +133,14 @@ class Search:
         # A set of three shingles or fewer is similar to no other; nor do sets meet in a band that is empty in both.
         bands = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.get("regs", i) != 0)
         rows = self.sets.where("n > 3").select("fp", "regs", F.explode(bands).alias("band"))
-        self.rows = self.shared(rows.select(F.xxhash64("band", F.get("regs", F.col("band"))).alias("g"), F.lit(1).alias("w"), "fp"))
+        self.rows = self.shared(rows.select(F.xxhash64("band", F.get("regs", F.col("band"))).alias("g"), F.lit(1).alias("w"), "fp", F.lit(0).cast("long").alias("own")))
 
     def shared(self, rows: DataFrame) -> DataFrame:
         """rows of which a group's sets lie in several components."""
-        found = materialize(rows.distinct(), "bands")  # (g, w, fp)
+        found = materialize(rows.distinct(), "bands")  # (g, w, fp, own)
         several = found.join(self.sets.select("fp", "component"), "fp").groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         several = materialize(several.where("low <> high").select("g"), "several")
-        out = materialize(found.join(several, "g").join(self.sets.select("fp", "n"), "fp").select("g", "w", "fp", "n"), "rows")
+        out = materialize(found.join(several, "g").join(self.sets.select("fp", "n"), "fp").select("g", "w", "fp", "own", "n"), "rows")
         release(found, several)
         return out
 
@@ -184,18 +199,23 @@ class Search:
         met = self.rows.join(lead, "g").where((F.col("fp") != F.col("top")) & alike(F.col("n"), F.col("m"), F.abs(F.col("n") - F.col("m"))))
         self.confirm(met.groupBy(F.col("fp").alias("right")).agg(F.max_by("top", "rank").alias("left")).select("left", "right"))
         old = self.rows
-        self.rows = self.shared(old.select("g", "w", "fp"))
+        self.rows = self.shared(old.drop("n"))
         release(old, lead, ranks)
 
     def refine(self) -> None:
         """The sets of crowded groups meet at their rarest shingles."""
         crowded = materialize(self.crowds().where(F.col("pairs") > PAIRS * F.col("n")).select("g"), "crowded")
-        texts, _ = self.texts(self.rows.join(crowded, "g").select("fp").distinct())
-        texts = materialize(texts.withColumnRenamed("fp", "id"), "texts")
-        first = tables(texts, self.words, common_shingles(texts, self.words), "id").select(F.explode("first").alias("g"), F.lit(AGREE).alias("w"), F.col("id").alias("fp"))
+        bits = self.bits(self.rows.join(crowded, "g").select("fp").distinct())
+        each = bits.select("fp", F.explode("bits").alias("b")).groupBy("b").agg(F.count("*").alias("k"), F.min("fp").alias("fp"))
+        each = materialize(each.select(F.when(F.col("k") == 1, F.col("fp")).alias("alone"), F.when(F.col("k") > 1, F.col("b")).alias("b"), "k"), "counts")
+        own = each.where("k = 1").groupBy(F.col("alone").alias("fp")).agg(F.count("*").alias("own"))
+        common = sorted((r["b"], r["k"]) for r in each.where("k > 1").orderBy(F.desc("k"), "b").limit(COMMON).collect())
+        able = bits.join(own, "fp", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(F.col("own") * 5 <= F.size("bits"))
+        first = rarest(able, np.array([b for b, _ in common], np.int64), np.array([k for _, k in common], np.int64))
         old = self.rows
-        self.rows = self.shared(old.select("g", "w", "fp").join(crowded, "g", "left_anti").unionByName(first))
-        release(old, crowded, texts)
+        first = first.select(F.explode("first").alias("g"), F.lit(AGREE).alias("w"), "fp", "own")
+        self.rows = self.shared(old.drop("n").join(crowded, "g", "left_anti").unionByName(first))
+        release(old, crowded, bits, each)
 
     def pairs(self) -> int:
         return int(self.crowds().agg(F.sum("pairs")).first()[0] or 0)
@@ -211,15 +231,21 @@ class Search:
                 self.refine()
                 left, refined = self.pairs(), True
         known = materialize(self.rows.join(self.sets.select("fp", "component"), "fp"), "known")
-        a, b = known.alias("a"), known.alias("b")
-        met = (F.col("a.g") == F.col("b.g")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.component") != F.col("b.component"))
-        met = met & alike(F.col("a.n"), F.col("b.n"), F.abs(F.col("a.n") - F.col("b.n")))
         bands = F.when(F.least("a.n", "b.n") < SHORT, AGREE).otherwise(F.col("a.w"))
-        met = a.join(b, met).groupBy(F.col("a.fp").alias("left"), F.col("b.fp").alias("right")).agg(F.sum(bands).alias("bands"))
+        met = meeting(known, bands).groupBy("left", "right").agg(F.sum("bands").alias("bands"))
         self.confirm(met.where(F.col("bands") >= AGREE).select("left", "right"))
         release(known, self.rows)
 
 
+def meeting(rows: DataFrame, bands: Column) -> DataFrame:
+    """(left, right, bands): pairs of rows of a group, in different components, whose sizes and shingles of their own allow the similarity."""
+    a, b = rows.alias("a"), rows.alias("b")
+    n, m = F.col("a.n"), F.col("b.n")
+    most = F.least(n - F.col("a.own"), m - F.col("b.own"))  # shingles in common
+    met = (F.col("a.g") == F.col("b.g")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.component") != F.col("b.component")) & alike(n, m, F.abs(n - m)) & (most * 9 >= (n + m) * 4)
+    return a.join(b, met).select(F.col("a.fp").alias("left"), F.col("b.fp").alias("right"), bands.alias("bands"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, id_column: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component_id, kept): the size of each document's set, the least id that is reachable, and whether that is its own."""
     prints = materialize(sketches(docs, words, id_column), "sketches")
