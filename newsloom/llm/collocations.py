@@ -29,8 +29,9 @@ from newsloom.llm.common import bounded_batches
 from newsloom.session import materialize, release
 
 MIN_COUNT, LONGEST, BEST, WITHIN = 30, 4, 2000, 80
-#: Words, and different words, in a block of a task's text.
-BLOCK, VOCABULARY = 1 << 21, 1 << 20
+#: Words, and different words, in a block of a task's text; rows that go back to Spark at once.
+BLOCK, VOCABULARY = 1 << 20, 1 << 18
+ROWS = 1 << 15
 
 #: Capitals to lower case, breaks to line feeds, tabs to spaces. The byte 0xFF is in no UTF-8 text: it stands for a break among the words.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -94,18 +95,25 @@ def dictionary(entries: DataFrame, least: int) -> DataFrame:
     return out
 
 
-def radix_order(digits: list[np.ndarray]) -> np.ndarray:
-    """The order of rows by their 16-bit digits, the most significant first: a stable sort by each, the least first. Digits that are all alike are skipped."""
+def radix_order(words: list[np.ndarray]) -> np.ndarray:
+    """The order of rows of words by 16-bit digits: a stable sort by each, the least significant first. Digits that are all alike are skipped."""
     order = None
-    for d in reversed(digits):
-        if len(d) and (d != d[0]).any():
-            order = np.argsort(d, kind="stable") if order is None else order[np.argsort(d[order], kind="stable")]  # numpy sorts 16-bit integers by radix
-    return np.arange(len(digits[0])) if order is None else order
+    for w in reversed(words):
+        for shift in (0, 16):
+            d = (w >> shift).astype(np.uint16)
+            if len(d) and (d != d[0]).any():
+                order = np.argsort(d, kind="stable") if order is None else order[np.argsort(d[order], kind="stable")]  # numpy sorts 16-bit integers by radix
+    return np.arange(len(words[0])) if order is None else order
+
+
+def pieces(columns: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(columns, names)
+    return (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS))
 
 
 def runs(words: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """n-grams, as arrays of their first, second ... words, to the different ones in order, and their counts."""
-    order = radix_order([d for w in words for d in ((w >> 16).astype(np.uint16), w.astype(np.uint16))])
+    order = radix_order(words)
     words = [w[order] for w in words]
     new = np.ones(len(order), bool)
     if len(order):
@@ -139,7 +147,7 @@ def bigrams(encoded: DataFrame) -> DataFrame:
                 at = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
                 (first, second), counts = runs([x[at], x[at + 1]])
                 keys = first.astype(np.int64) << 32 | second
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), block)), pa.array(counts)], ["key", "block", "c"])
+                yield from pieces([pa.array(keys), pa.array(np.full(len(keys), block)), pa.array(counts)], ["key", "block", "c"])
 
     return encoded.mapInArrow(run, "key long, block long, c long")
 
@@ -207,7 +215,7 @@ def longer(encoded: DataFrame, often: DataFrame) -> DataFrame:
                         wide[:, k] = w
                     offsets = pa.py_buffer(np.arange(0, 16 * len(counts) + 1, 16, dtype=np.int32))
                     packed = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, offsets, pa.py_buffer(wide.tobytes())])
-                    yield pa.RecordBatch.from_arrays([packed, pa.array(counts)], ["key", "c"])
+                    yield from pieces([packed, pa.array(counts)], ["key", "c"])
 
     return encoded.join(lists, "block").select("ids", "keys").mapInArrow(run, "key binary, c long")
 
