@@ -29,9 +29,9 @@ from newsloom.llm.common import bounded_batches
 from newsloom.session import materialize, release
 
 MIN_COUNT, LONGEST, BEST, WITHIN = 30, 4, 2000, 80
-#: Words, and different words, in a block of a task's text; rows that go back to Spark at once.
+#: Words, and different words, in a block of a task's text; rows that go back to Spark at once, and frequent bigrams that a task holds.
 BLOCK, VOCABULARY = 1 << 20, 1 << 18
-ROWS = 1 << 15
+ROWS, HELD = 1 << 15, 1 << 18
 
 #: Capitals to lower case, breaks to line feeds, tabs to spaces. The byte 0xFF is in no UTF-8 text: it stands for a break among the words.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -153,58 +153,69 @@ def bigrams(encoded: DataFrame) -> DataFrame:
 
 
 def frequent_bigrams(found: DataFrame, least: int) -> DataFrame:
-    """(key, block, f): for each bigram of least or more its blocks, where f is null, and a row without block with its count.
+    """(key, f) for each bigram of least or more, and rows (block, keys): each block's frequent bigrams, packed, as many rows as there are ranges and HELD bigrams of a range.
 
     The rows of a bigram follow each other. At most least of them are held until it is known to be frequent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(keys, blocks, f) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.int64()), pa.array(f, pa.int64())], ["key", "block", "f"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        last, total, waiting = None, 0, []  # of the run that the next batch may go on with
+        def counts(keys, f) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(f, pa.int64()), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.binary())], ["key", "f", "block", "keys"])
+
+        def packed() -> pa.RecordBatch:
+            keys, blocks = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(blocks, kind="stable")
+            keys, blocks = keys[order], blocks[order]
+            starts = np.flatnonzero(np.diff(blocks, prepend=-1))
+            rows = [k.tobytes() for k in np.split(keys, starts[1:])]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(blocks[starts]), pa.array(rows, pa.binary())], ["key", "f", "block", "keys"])
+
+        last, total, waiting = None, 0, np.empty(0, np.int64)  # of the run that the next batch may go on with
         for b in batches:
-            keys, blocks, counts = (b.column(c).to_numpy() for c in ("key", "block", "c"))
+            keys, blocks, n = (b.column(c).to_numpy() for c in ("key", "block", "c"))
             if not len(keys):
                 continue
             starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
-            ends = np.append(starts[1:], len(keys))
-            sums = np.add.reduceat(counts, starts)
-            first = int(keys[0])
-            if last is not None and last != first and total >= least:
-                yield out([last], [None], [total])
+            ends, sums, first = np.append(starts[1:], len(keys)), np.add.reduceat(n, starts), int(keys[0])
             if last != first:
-                total, waiting = 0, []
-            # The first run goes on with what came before.
-            before, sums[0] = total, sums[0] + total
+                if total >= least:
+                    yield counts([last], [total])
+                total, waiting = 0, waiting[:0]
+            sums[0] += total  # the first run goes on with what came before
             often = sums >= least
-            if often[0] and before < least and waiting:
-                yield out([first] * len(waiting), waiting, [None] * len(waiting))
+            if often[0] and len(waiting):
+                held.append((np.full(len(waiting), first), waiting))
             rows = np.repeat(often, ends - starts)
-            if rows.any():
-                yield out(keys[rows], blocks[rows], pa.nulls(int(rows.sum()), pa.int64()))
+            held.append((keys[rows], blocks[rows]))
             done = often.copy()
             done[-1] = False
-            if done.any():
-                yield out(keys[starts[done]], pa.nulls(int(done.sum()), pa.int64()), sums[done])
-            if len(starts) > 1 or last != first:
-                waiting = []
+            yield counts(keys[starts[done]], sums[done])
+            if often[-1]:
+                waiting = waiting[:0]
+            else:
+                waiting = np.append(waiting if len(starts) == 1 else waiting[:0], blocks[starts[-1] :])
             last, total = int(keys[-1]), int(sums[-1])
-            waiting = [] if total >= least else waiting + blocks[starts[-1] :].tolist()
-        if last is not None and total >= least:
-            yield out([last], [None], [total])
+            if sum(len(k) for k, _ in held) >= HELD:
+                yield packed()
+        if total >= least:
+            yield counts([last], [total])
+        if any(len(k) for k, _ in held):
+            yield packed()
 
-    return found.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key long, block long, f long")
+    return found.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key long, f long, block long, keys binary")
 
 
 def longer(encoded: DataFrame, often: DataFrame) -> DataFrame:
-    """(key, c): for each block its phrases of three and four words of which all bigrams are frequent; often (key, block) has these."""
-    lists = often.groupBy("block").agg(F.collect_list("key").alias("keys"))  # bigrams of one block
+    """(key, c): for each block its phrases of three and four words of which all bigrams are frequent; often (block, keys) has these."""
+    lists = often.groupBy("block").agg(F.collect_list("keys").alias("keys"))  # bigrams of one block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                x, keys = np.frombuffer(b.column("ids")[i].as_py(), np.uint32), np.sort(b.column("keys")[i].values.to_numpy())
+                x, keys = np.frombuffer(b.column("ids")[i].as_py(), np.uint32), np.sort(np.frombuffer(b"".join(b.column("keys")[i].as_py()), np.int64))
                 pairs = x[:-1].astype(np.int64) << 32 | x[1:]
                 ok = keys[np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)] == pairs
                 for n in (3, 4):
@@ -250,11 +261,11 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT) -> tuple[DataFrame, D
     found = materialize(bigrams(encoded), "bigrams")  # the ranges are sampled from it
     often = materialize(frequent_bigrams(found, least), "frequent")
     release(found)
-    long = materialize(longer(encoded, often.where("block is not null").select("key", "block")), "longer")
+    long = materialize(longer(encoded, often.where("block is not null").select("block", "keys")), "longer")
     release(encoded)
     # A range has whole runs, so its keys are counted where they are.
     many = long.repartitionByRange("key").sortWithinPartitions("key").groupBy("key").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    pairs = often.where("block is null").select(key_of([F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))]).alias("key"), "f")
+    pairs = often.where("key is not null").select(key_of([F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))]).alias("key"), "f")
     every = materialize(words.select(key_of([F.col("id")]).alias("key"), "f").unionAll(pairs).unionAll(many), "counts")
     release(often, long)
     return every, words, totals
