@@ -159,10 +159,15 @@ def model_tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
 
 
 def is_valid_keyword(phrase: Column, size: Column) -> Column:
-    """The last gate before a keyword is kept: size words, a letter, at most one number, no row of lone numbers."""
-    words = F.split(collapse(phrase), " ")
-    numbers = F.size(F.filter(words, lambda w: w.rlike(r"^[\d.,]+$")))
-    return (collapse(phrase) != "") & (F.size(words) == size) & has_letters(phrase) & (numbers < 2) & ~phrase.rlike(r"\b\d+[.,\d]*\s+\S+\s+\d+\s+\d+\b")
+    """The last gate before a keyword is kept: size words once normalised, a letter, at most one number, no row of lone numbers."""
+    return is_valid_normalized(normalize_keyword(phrase), size)
+
+
+def is_valid_normalized(keyword: Column, size: Column) -> Column:
+    """is_valid_keyword of a normalised phrase; full-width and raised digits are plain ones there, and all of Unicode's digits count."""
+    words = F.split(keyword, " ")
+    numbers = F.size(F.filter(words, lambda w: w.rlike(r"(?U)^[\d.,]+$")))
+    return (keyword != "") & (F.size(words) == size) & has_letters(keyword) & (numbers < 2) & ~keyword.rlike(r"(?U)\b\d+[.,\d]*\s+\S+\s+\d+\s+\d+\b")
 
 
 def article_text(text: Column) -> Column:

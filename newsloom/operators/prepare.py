@@ -35,8 +35,9 @@ def fill_missing(df: DataFrame) -> DataFrame:
 
 
 def add_clean_text(df: DataFrame) -> DataFrame:
-    """With text, title and content joined, and clean_text."""
-    return df.withColumn("text", join_text(F.col("title"), F.col("content"))).withColumn("clean_text", clean_text(F.col("text")))
+    """With title and content cleaned each for itself, and both joined as text and clean_text. Markup that one of them leaves open ends with it."""
+    df = df.withColumns({c: clean_text(F.col(c)) for c in ("title", "content")}).withColumn("text", join_text(F.col("title"), F.col("content")))
+    return df.withColumn("clean_text", F.col("text"))
 
 
 def drop_blank(df: DataFrame, column: str = "clean_text") -> DataFrame:

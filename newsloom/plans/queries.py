@@ -521,9 +521,22 @@ def feed_selection(spark, sf_dir):
 # Dataset preparation
 
 
-@query("SELECT source AS label, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) < 8")
+@query("SELECT source AS label, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) < (SELECT count(*) // count(DISTINCT source) FROM documents)")
 def class_min_samples(spark, sf_dir):
-    return prepare.too_small(tables.read(spark, sf_dir, "documents").select(F.col("source").alias("label")), 8)
+    """Sources with fewer documents than they have on average."""
+    d = tables.read(spark, sf_dir, "documents").select(F.col("source").alias("label"))
+    return prepare.too_small(d, d.agg(F.expr("count(*) div count(DISTINCT label)")).first()[0])
+
+
+# Markup that the title leaves open hides nothing of the content.
+@query(r"""WITH d AS (SELECT doc_id AS id, lang AS label, 'A & B ' || translate(split_part(text, '.', 1), '<&', '') AS title, translate(text, '<&', '') AS content FROM documents),
+    c AS (SELECT id, label, [trim(regexp_replace(regexp_replace(nfc_normalize(x), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x0B]+', ' ', 'g')) FOR x IN [title, content]] AS p FROM d)
+    SELECT id, label, p[1] AS title, trim(p[1] || ' ' || p[2]) AS clean_text FROM c""")
+def prepare_clean(spark, sf_dir):
+    plain = F.translate("text", "<&", "")
+    title = F.concat(F.lit("A &amp; B <b>"), F.substring_index(plain, ".", 1), F.lit("</b> <script>x = 1"))
+    d = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), title.alias("title"), plain.alias("content"))
+    return prepare.add_clean_text(prepare.fill_missing(d)).select("id", "label", "title", "clean_text")
 
 
 def split_rows(spark, sf_dir):
@@ -645,6 +658,12 @@ def per_class_margin(spark, sf_dir):
     return evaluate.per_class_margin(predicted(spark, sf_dir))
 
 
+@query(f"""WITH {PREDICTIONS} SELECT ground_truth, round(median(sqrt(margin + id)), 9) AS median FROM predictions GROUP BY 1""")
+def margin_medians(spark, sf_dir):
+    p = predicted(spark, sf_dir).withColumn("spread", F.sqrt(F.col("margin") + F.col("id")))
+    return rounded(evaluate.medians(p, "ground_truth", "spread"), "median", places=9)
+
+
 @query(f"""WITH {PREDICTIONS} SELECT threshold, count(*) FILTER (margin < threshold) AS unknown, count(*) FILTER (margin >= threshold) AS remaining,
     round(count(*) FILTER (margin >= threshold AND correct) / count(*) FILTER (margin >= threshold), 9) AS remaining_accuracy, count(*) FILTER (margin < threshold AND NOT correct) AS errors_caught
     FROM predictions, (SELECT unnest([0.05, 0.10, 0.15, 0.20, 0.25, 0.30]::DOUBLE[]) AS threshold) GROUP BY 1""")

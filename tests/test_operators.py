@@ -324,3 +324,35 @@ def test_stream(spark, tmp_path):
     q = stream.run(stream.read_items(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(120)
     assert [r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["http://a/"]
+
+
+def test_medians(spark):
+    import random
+    import statistics
+
+    from newsloom.operators import evaluate
+
+    rng = random.Random(4)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(501)], "b": [rng.choice([1.0, 1.0 + 2**-52, 1e300, -1e300]) for _ in range(400)], "c": [5.0], "d": [1.5, -2.5], "e": [float("inf"), float("-inf"), 3.0, 4.0, 4.5], "f": [5e-324, 0.0, 1e-323] * 3, None: [2.0, 7.0, 7.0]}
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("a", None), ("a", float("nan")), ("z", None)]
+    rng.shuffle(rows)
+    got = {r.g: r.median for r in evaluate.medians(spark.createDataFrame(rows, "g string, v double"), "g", "v", 8).collect()}
+    assert got == {g: statistics.median(v) for g, v in groups.items()}
+    assert evaluate.medians(spark.createDataFrame([], "g string, v double"), "g", "v").count() == 0
+
+
+def test_parts_are_cleaned_apart(spark):
+    from newsloom.operators import prepare
+
+    df = spark.createDataFrame([(1, "tin <script>x", "nội dung"), (2, None, " <b>a</b>\n&amp; b "), (3, "x <!-- ", "--> y"), (4, "", None)], "id int, title string, content string")
+    got = {r.id: (r.title, r.content, r.text, r.clean_text) for r in prepare.add_clean_text(df).collect()}
+    assert got[1] == ("tin", "nội dung", "tin nội dung", "tin nội dung")
+    assert got[2][2] == "a & b" and got[3][3].endswith("y") and got[4] == ("", "", "", "")
+
+
+def test_keywords_are_normalised_before_the_gate(spark):
+    from newsloom.functions import text
+
+    cases = [("giá ５ ３", 3, False), ("giá 5 3", 3, False), ("giá ５", 2, True), ("m² x", 2, True), ("x ² ３", 3, False), ("845.100 tệ ３ 3", 4, False), ("tin tức", 2, True), ("", 0, False)]
+    df = spark.createDataFrame(cases, "p string, n int, want boolean")
+    assert all(r.got == r.want for r in df.select("p", "want", text.is_valid_keyword(F.col("p"), F.col("n")).alias("got")).collect())
