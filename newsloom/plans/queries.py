@@ -521,10 +521,10 @@ def feed_selection(spark, sf_dir):
 # Dataset preparation
 
 
-@query("SELECT source AS label, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) < (SELECT count(*) // count(DISTINCT source) FROM documents)")
+@query("SELECT lang AS label, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) < (SELECT count(*) // count(DISTINCT lang) FROM documents)")
 def class_min_samples(spark, sf_dir):
-    """Sources with fewer documents than they have on average."""
-    d = tables.read(spark, sf_dir, "documents").select(F.col("source").alias("label"))
+    """Languages with fewer documents than they have on average."""
+    d = tables.read(spark, sf_dir, "documents").select(F.col("lang").alias("label"))
     return prepare.too_small(d, d.agg(F.expr("count(*) div count(DISTINCT label)")).first()[0])
 
 
