@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import pages, scores, text, urls
-from newsloom.operators import analytics, classify, dedup, evaluate, filters, graph, ingest, keywords, prepare, topics, trends
+from newsloom.operators import analytics, classify, dedup, evaluate, filters, graph, ingest, keywords, prepare, substring, topics, trends
 from newsloom.plans.sql import KEYWORDS, NEWS, PREDICTIONS
 from newsloom.session import materialize
 from newsloom.sources import tables
@@ -170,6 +170,20 @@ def keyword_search(spark, sf_dir):
     return trends.roll_up(*views(spark, sf_dir), filters.Filters(category="en"), "en").withColumn("total_score", F.round("total_score", 6))
 
 
+@query(f"WITH {NEWS}, {KEYWORDS} " + ROLL_UP.format(more="AND keyword ILIKE '%ent%a_i%'", least=1, limit=100))
+def keyword_search_indexed(spark, sf_dir):
+    """keyword_search by the trigrams of the keywords."""
+    k, n = views(spark, sf_dir)
+    found = substring.search(k, "keyword", "%ent%a_i%", substring.build(k, "keyword"))
+    return trends.roll_up(found, n, limit=100).withColumn("total_score", F.round("total_score", 6))
+
+
+@query(f"WITH {NEWS} SELECT id, title FROM news WHERE title ILIKE '%ation%'")
+def title_search_indexed(spark, sf_dir):
+    n = tables.news(spark, sf_dir)
+    return substring.search(n, "title", "%ation%", substring.build(n, "title")).select("id", "title")
+
+
 BASE = f"""base AS (
     SELECT k.keyword, max(display_keyword) AS display_keyword, k.news_id, k.frequency, k.final_score, {DAY} AS article_day
     FROM keyword_occurrences k JOIN news n ON n.id = k.news_id GROUP BY ALL)"""

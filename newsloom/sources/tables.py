@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import scores
-from newsloom.session import is_written, materialize, release
+from newsloom.session import is_written, materialize, release, written
 
 #: Where stored tables are, by application, folder and parameters.
 _stored: dict[tuple, str] = {}
@@ -54,8 +54,8 @@ def make_keyword_occurrences(spark: SparkSession, sf_dir: str, per_article: int
 
 
 def keyword_occurrences(spark: SparkSession, sf_dir: str, per_article: int = 10) -> DataFrame:
-    """The stored table of keywords: made once for an application and a folder, and read by every query after."""
-    key = spark.sparkContext.applicationId, sf_dir, per_article
+    """The stored table of keywords: made once for an application and what is in a folder, and read by every query after. Documents that were written anew make a new one."""
+    key = spark.sparkContext.applicationId, sf_dir, per_article, written(spark, f"{sf_dir}/documents.parquet")
     if key not in _stored or not is_written(spark, _stored[key]):
         _stored[key] = make_keyword_occurrences(spark, sf_dir, per_article).scratch
     return spark.read.parquet(_stored[key])

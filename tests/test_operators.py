@@ -356,3 +356,34 @@ def test_keywords_are_normalised_before_the_gate(spark):
     cases = [("giá ５ ３", 3, False), ("giá 5 3", 3, False), ("giá ５", 2, True), ("m² x", 2, True), ("x ² ３", 3, False), ("845.100 tệ ３ 3", 4, False), ("tin tức", 2, True), ("", 0, False)]
     df = spark.createDataFrame(cases, "p string, n int, want boolean")
     assert all(r.got == r.want for r in df.select("p", "want", text.is_valid_keyword(F.col("p"), F.col("n")).alias("got")).collect())
+
+
+def test_substring_index(spark):
+    import random
+    import re
+
+    from newsloom.operators import substring
+
+    rng = random.Random(6)
+    values = ["".join(rng.choice("abÄßc%_ ") for _ in range(rng.randint(0, 14))) for _ in range(400)] + [None, "", "ab", "ABC abc"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").repartition(3)
+    path = substring.build(df, "v")
+    for pattern in ["%abc%", "abc%", "%ab_c%a%", "%ab\\%c%", "%äa%", "%a%", "abc", "%abcabcabc%", "", "%\\_ab%", "%bäc %"]:
+        parts = re.findall(r"\\.|.", pattern.lower(), re.S)
+        want = re.compile("".join({"%": ".*", "_": "."}.get(p, re.escape(p[-1])) for p in parts), re.S)
+        got = {r.i for r in substring.search(df, "v", pattern, path).collect()}
+        assert got == {i for i, v in enumerate(values) if v is not None and want.fullmatch(v.lower())}, pattern
+    wanted = substring.fixed_grams(spark, "%abc%bca%")
+    plan = substring.candidates(spark, path, wanted)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert len(wanted) == 2
+
+
+def test_rewritten_documents_make_new_keywords(spark, small, tmp_path):
+    from newsloom.sources import tables
+
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    d.where("doc_id % 2 = 0").write.parquet(f"{tmp_path}/documents.parquet")
+    first = tables.keyword_occurrences(spark, str(tmp_path)).select("news_id").distinct().count()
+    d.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert tables.keyword_occurrences(spark, str(tmp_path)).select("news_id").distinct().count() > first
