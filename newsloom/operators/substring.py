@@ -30,8 +30,8 @@ def build(values: DataFrame, column: str, path: str | None = None) -> str:
     path = path or scratch_path(values.sparkSession, "trigrams")
     rows = values.select(F.col(column).alias("value")).where("value is not null").distinct()
     rows = rows.select(F.explode(grams(F.col("value"))).alias("gram"), "value").withColumn("bucket", bucket(F.col("gram")))
-    # A common gram's bucket is dealt over several tasks and files; a search reads all of a bucket's.
-    rows = rows.repartition("bucket", F.pmod(F.xxhash64("value"), F.lit(8))).sortWithinPartitions("bucket", "gram")
+    # By a rebalance, Spark splits the bucket of a common gram into several tasks and files; a search reads all of a bucket's.
+    rows = rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "gram")
     rows.write.partitionBy("bucket").mode("overwrite").parquet(path)
     return path
 

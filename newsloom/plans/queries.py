@@ -170,11 +170,11 @@ def keyword_search(spark, sf_dir):
     return trends.roll_up(*views(spark, sf_dir), filters.Filters(category="en"), "en").withColumn("total_score", F.round("total_score", 6))
 
 
-@query(f"WITH {NEWS}, {KEYWORDS} " + ROLL_UP.format(more="AND keyword ILIKE '%ent%a_i%'", least=1, limit=100))
+@query(f"WITH {NEWS}, {KEYWORDS} " + ROLL_UP.format(more="AND keyword ILIKE '%ent%'", least=1, limit=100))
 def keyword_search_indexed(spark, sf_dir):
     """keyword_search by the trigrams of the keywords."""
     k, n = views(spark, sf_dir)
-    found = substring.search(k, "keyword", "%ent%a_i%", substring.build(k, "keyword"))
+    found = substring.search(k, "keyword", "%ent%", substring.build(k, "keyword"))
     return trends.roll_up(found, n, limit=100).withColumn("total_score", F.round("total_score", 6))
 
 
