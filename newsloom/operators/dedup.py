@@ -33,16 +33,17 @@ def deduplicate(df: DataFrame, position: str = "pos", url: str = "url", text: st
     return keep_first(df, [text], order).drop("_has")
 
 
-def insert_status(batch: DataFrame, existing: DataFrame, position: str = "pos") -> DataFrame:
+def insert_status(batch: DataFrame, existing: DataFrame | dict[str, DataFrame], position: str = "pos") -> DataFrame:
     """batch with status CREATED, DUPLICATE_URL or DUPLICATE_CONTENT, as if inserted row by row.
 
+    existing has the stored rows, or for each of url and content_hash a table of the stored values, as existence.known gives them.
     A row repeats an existing URL or content hash, or one of an earlier row of the batch that was created. A row is refused by its URL first.
     In each round the rows that are the first undecided ones of their URL and of their hash are created, and the others of these URLs and
     hashes are refused; refused rows store nothing, so the next round is without them. Each round is a written table; there are as many as
     the longest chain of rows that each refuse the next asks for. First rows are minima, combined before the shuffle, and all joins are with tables of one
     row for each URL or hash, so that one that very many rows have can be split. A null URL or hash is one like any other.
     """
-    known = lambda c: existing.select(F.col(c).alias("k")).distinct().withColumn("known", F.lit(True))
+    known = lambda c: (existing[c] if isinstance(existing, dict) else existing).select(F.col(c).alias("k")).distinct().withColumn("known", F.lit(True))
     n = materialize(batch.select(F.struct("*").alias("row"), "url", "content_hash", F.struct(F.col(position).alias("pos"), F.monotonically_increasing_id().alias("n")).alias("at")), "batch")
     rows = n
     for c in ("url", "content_hash"):

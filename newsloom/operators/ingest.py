@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import content_hash, normalize_url
+from newsloom.operators import existence
 from newsloom.operators.dedup import insert_status
 from newsloom.operators.filters import in_crawl_range
 
@@ -33,11 +34,15 @@ def resolve_feeds(table: DataFrame, names: list[str] | None = None) -> DataFrame
     return table.where("enabled").orderBy("name")
 
 
-def candidates(items: DataFrame, existing: DataFrame, from_date: str | None = None, to_date: str | None = None) -> DataFrame:
-    """Items within the dates with a normalised address that neither their address nor their feed text has stored."""
+def candidates(items: DataFrame, existing: DataFrame | str, from_date: str | None = None, to_date: str | None = None) -> DataFrame:
+    """Items within the dates with a normalised address that neither their address nor their feed text has stored.
+
+    existing has the stored rows, or is the path of their existence index.
+    """
     day = F.col("published_at").cast("date")
     fresh = items.where(in_crawl_range(day, from_date, to_date)).withColumn("url", normalize_url(F.col("url"))).withColumn("content_hash", content_hash(F.col("title"), F.col("content")))
-    return fresh.join(existing.select("url").distinct(), "url", "left_anti").join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
+    have = existence.known(fresh, existing) if isinstance(existing, str) else {c: existing.select(c).distinct() for c in existence.COLUMNS}
+    return fresh.join(have["url"], "url", "left_anti").join(have["content_hash"], "content_hash", "left_anti")
 
 
 def resolve_content(rows: DataFrame, full: Column, feed: str = "content") -> DataFrame:
@@ -46,7 +51,7 @@ def resolve_content(rows: DataFrame, full: Column, feed: str = "content") -> Dat
     return rows.withColumn("content_source", F.when(has, "fulltext").otherwise("rss_fallback")).withColumn("content", F.when(has, full).otherwise(F.col(feed)))
 
 
-def decide(batch: DataFrame, existing: DataFrame, position: str = "pos") -> DataFrame:
+def decide(batch: DataFrame, existing: DataFrame | dict[str, DataFrame], position: str = "pos") -> DataFrame:
     """batch (url, title, content, pos) with content_hash and insert status."""
     return insert_status(batch.withColumn("content_hash", content_hash(F.col("title"), F.col("content"))), existing, position)
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import pages, scores, text, urls
-from newsloom.operators import analytics, classify, dedup, evaluate, filters, graph, ingest, keywords, prepare, substring, topics, trends
+from newsloom.operators import analytics, classify, dedup, evaluate, existence, filters, graph, ingest, keywords, prepare, substring, topics, trends
 from newsloom.plans.sql import KEYWORDS, NEWS, PREDICTIONS
-from newsloom.session import materialize
+from newsloom.session import materialize, scratch_path
 from newsloom.sources import tables
 from newsloom.sources.files import feed_items
 from newsloom.streaming.ingest import event_windows
@@ -462,10 +462,40 @@ def dedup_first(spark, sf_dir):
           FROM w JOIN b ON b.n = w.n + 1))
     SELECT pos, status FROM w WHERE n > 0""")
 def insert_status(spark, sf_dir):
-    d = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.expr("concat('u', doc_id * 3 % 800)").alias("url"), F.sha2("text", 256).alias("content_hash"))
+    d = arrivals(spark, sf_dir)
     return dedup.insert_status(d.where("pos % 4 <> 0"), d.where("pos % 4 = 0")).select("pos", "status")
 
 
+def arrivals(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.expr("concat('u', doc_id * 3 % 800)").alias("url"), F.sha2("text", 256).alias("content_hash"))
+
+
+def stored_arrivals(spark, sf_dir):
+    """The existence index of every fourth document, stored in two batches."""
+    root, d = scratch_path(spark, "existence"), arrivals(spark, sf_dir)
+    for number in (0, 1):
+        existence.append(d.where(F.col("pos") % 8 == 4 * number), root, number)
+    return root
+
+
+@query(SQL["insert_status"])
+def insert_status_indexed(spark, sf_dir):
+    """insert_status by the existence index."""
+    d = arrivals(spark, sf_dir).where("pos % 4 <> 0")
+    return dedup.insert_status(d, existence.known(d, stored_arrivals(spark, sf_dir))).select("pos", "status")
+
+
+@query("""WITH d AS (SELECT doc_id AS pos, 'u' || (doc_id * 3 % 800) AS url, sha256(text) AS hash FROM documents)
+    SELECT pos, url IN (SELECT url FROM d WHERE pos % 4 = 0) AS known_url, hash IN (SELECT hash FROM d WHERE pos % 4 = 0) AS known_content FROM d""")
+def known_articles(spark, sf_dir):
+    """Whether the address and the content of each article are stored, by the existence index."""
+    d = arrivals(spark, sf_dir)
+    have = existence.known(d, stored_arrivals(spark, sf_dir))
+    for c, name in (("url", "known_url"), ("content_hash", "known_content")):
+        d = d.join(have[c].withColumn(name, F.lit(True)), c, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return d.select("pos", "known_url", "known_content")
+
+
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def anti_existing(spark, sf_dir):
     return dedup.not_existing(tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "labels"), ["doc_id"]).select("doc_id", "source")

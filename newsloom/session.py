@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,11 +58,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    for made in getattr(_scopes, "open", []):
+        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What materialize() writes in this thread within the scope is deleted at its end, as a stream's batches need that never end."""
+    made: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), made]
+    try:
+        yield
+    finally:
+        _scopes.open = _scopes.open[:-1]
+        for path in made:
+            remove_path(spark, path)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete what materialize() wrote, once all that was made of it is written too."""
     for t in tables:
@@ -80,6 +101,12 @@ def written(spark: SparkSession, path: str) -> tuple:
     return len(found), sum(f.getLen() for f in found), max((f.getModificationTime() for f in found), default=0)
 
 
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """The names of what is in a folder; none if there is no such folder."""
+    fs, p = _path(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete path, on whichever file system it is."""
     fs, p = _path(spark, path)

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newsloom.functions.urls import normalize_url
-from newsloom.operators.ingest import decide
+from newsloom.functions.urls import content_hash, normalize_url
+from newsloom.operators import existence
+from newsloom.operators.dedup import insert_status
+from newsloom.session import list_path, materialize, scratch_scope
 
 SCHEMA = "url string, title string, content string, source string, published_at timestamp"
+STORED = SCHEMA + ", content_hash string, batch long"
 
 
 def read_items(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -23,19 +26,29 @@ def unique_items(items: DataFrame, late: str = "1 day") -> DataFrame:
     return items.withColumn("url", normalize_url(F.col("url"))).withWatermark("published_at", late).dropDuplicatesWithinWatermark(["url"])
 
 
-def store_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """What a stream does with each batch: new articles are stored under the batch's number, so a batch that is repeated replaces itself."""
+def store_batches(path: str, index: str | None = None) -> Callable[[DataFrame, int], None]:
+    """What a stream does with each batch: new articles are stored under the batch's number, so a batch that is repeated replaces itself.
+
+    What is stored is looked up in the existence index (at path-known unless index is given), so a batch reads no history but the folders that its keys
+    need. A table without an index gets one. ValueError where batches of a later number are stored, which another checkpoint has written.
+    """
+    index = index or f"{path.rstrip('/')}-known"
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = spark.createDataFrame([], "url string, content_hash string, batch long")
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
-            stored = spark.read.schema(SCHEMA + ", content_hash string, batch long").parquet(path).where(F.col("batch") != number).select("url", "content_hash", "batch")
-        ordered = batch.withColumn("pos", F.struct("published_at", "url"))
-        new = decide(ordered, stored).where("status = 'CREATED'").drop("status", "pos")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with scratch_scope(spark):
+            numbers = [int(n.removeprefix("batch=")) for n in list_path(spark, path) if n.startswith("batch=")]
+            if max(numbers, default=-1) > number:
+                raise ValueError(f"{path} has batch {max(numbers)}, so batch {number} is another stream's")
+            if any(n < number for n in numbers) and not existence.runs(spark, index):
+                stored = spark.read.schema(STORED).parquet(path).where(F.col("batch") < number)
+                existence.append(stored, index, number - 1, first=0)
+            existence.merge(spark, index, number)
+            rows = batch.withColumn("pos", F.struct("published_at", "url")).withColumn("content_hash", content_hash(F.col("title"), F.col("content")))
+            rows = materialize(rows, "items")
+            new = insert_status(rows, existence.known(rows, index, number)).where("status = 'CREATED'").drop("status", "pos")
+            new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            existence.append(spark.read.schema(STORED).parquet(f"{path}/batch={number}"), index, number)
 
     return store
 
