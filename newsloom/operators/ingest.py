@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import content_hash, normalize_url
@@ -74,27 +74,48 @@ def check_requests(batch: DataFrame, text: str = "text", most_chars: int = 20_00
         raise ValueError(f"a text must have between 1 and {most_chars} characters")
 
 
-def crawl_counters(feeds: DataFrame, items: DataFrame) -> DataFrame:
-    """One row of counts of a crawl. feeds (ok): a row for each feed.
-
-    items: a row for each article of the feeds that were read, with fate (DATE, KNOWN, then SKIPPED, or a status of insert_status) and
-    content_source, null where the article was not fetched. All that got that far were predicted.
-    """
+def article_counts() -> list[Column]:
+    """Counts of a crawl's articles. There is a row for each article of the feeds that were read, with fate (DATE, KNOWN, then SKIPPED, or a status of
+    insert_status) and content_source, null where the article was not fetched. All that got that far were predicted."""
     fate, source = F.col("fate"), F.col("content_source")
     tried = ~fate.isin("DATE", "KNOWN")
-    read = feeds.agg(F.count("*").alias("feeds_total"), F.count_if("ok").alias("feeds_success"), F.count_if(~F.col("ok")).alias("feeds_failed"))
-    return read.crossJoin(
-        items.agg(
-            F.count("*").alias("articles_parsed"),
-            F.count_if(fate == "DATE").alias("articles_date_filtered"),
-            F.count_if(fate == "SKIPPED").alias("articles_skipped"),
-            F.count_if((fate == "KNOWN") | fate.startswith("DUPLICATE")).alias("articles_duplicate"),
-            F.count_if(tried).alias("articles_predicted"),
-            F.count_if(fate == "CREATED").alias("articles_created"),
-            F.count_if(tried & (source == "fulltext")).alias("articles_fulltext_fetched"),
-            F.count_if(tried & (source == "rss_fallback")).alias("articles_fulltext_fallback"),
-        )
-    )
+    return [
+        F.count("*").alias("articles_parsed"),
+        F.count_if(fate == "DATE").alias("articles_date_filtered"),
+        F.count_if(fate == "SKIPPED").alias("articles_skipped"),
+        F.count_if((fate == "KNOWN") | fate.startswith("DUPLICATE")).alias("articles_duplicate"),
+        F.count_if(tried).alias("articles_predicted"),
+        F.count_if(fate == "CREATED").alias("articles_created"),
+        F.count_if(tried & (source == "fulltext")).alias("articles_fulltext_fetched"),
+        F.count_if(tried & (source == "rss_fallback")).alias("articles_fulltext_fallback"),
+    ]
+
+
+ARTICLE_COUNTS = (
+    "articles_parsed", "articles_date_filtered", "articles_skipped", "articles_duplicate", "articles_predicted", "articles_created", "articles_fulltext_fetched", "articles_fulltext_fallback",
+)
+
+
+def feed_counts(feeds: DataFrame) -> DataFrame:
+    """One row of counts of feeds (ok), of which each has a row."""
+    return feeds.agg(F.count("*").alias("feeds_total"), F.count_if("ok").alias("feeds_success"), F.count_if(~F.col("ok")).alias("feeds_failed"))
+
+
+def crawl_counters(feeds: DataFrame, items: DataFrame) -> DataFrame:
+    """One row of counts of a crawl: feed_counts and article_counts."""
+    return feed_counts(feeds).crossJoin(items.agg(*article_counts()))
+
+
+def write_counted(items: DataFrame, path: str, kept: Column, drop: tuple[str, ...] = ()) -> dict[str, int]:
+    """Write the items that are kept to path, without the columns drop, and count all items (article_counts) in the same job. A table that is there is replaced."""
+    seen = Observation()
+    items.observe(seen, *article_counts()).where(kept).drop(*drop).write.mode("overwrite").parquet(path)
+    return {**dict.fromkeys(ARTICLE_COUNTS, 0), **seen.get}
+
+
+def counters(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """What write_counted has counted, as a row."""
+    return spark.createDataFrame([tuple(counts[c] for c in ARTICLE_COUNTS)], ", ".join(f"{c} long" for c in ARTICLE_COUNTS))
 
 
 def crawl_stats(decided: DataFrame) -> DataFrame:

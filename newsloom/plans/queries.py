@@ -548,13 +548,26 @@ def crawl_stats(spark, sf_dir):
            count(*) FILTER (fate = 'DUPLICATE_URL') AS articles_duplicate, count(*) FILTER (NOT late) AS articles_predicted, count(*) FILTER (fate = 'CREATED') AS articles_created,
            count(*) FILTER (NOT late AND whole) AS articles_fulltext_fetched, count(*) FILTER (NOT late AND NOT whole) AS articles_fulltext_fallback FROM f""")
 def crawl_counters(spark, sf_dir):
+    return ingest.crawl_counters(*crawled(spark, sf_dir))
+
+
+def crawled(spark, sf_dir):
+    """Feeds, and pages as what a crawl finds in them."""
     p = tables.read(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), F.regexp_replace("url", "[?#].*", "").alias("url"), F.col("page_id").cast("string").alias("content_hash"))
     early = F.when(F.col("pos") % 11 == 0, "DATE").when(F.col("pos") % 7 == 0, "SKIPPED")
     items = p.withColumn("early", early).withColumn("content_source", F.when(F.col("early") == "DATE", None).when(F.col("pos") % 2 == 0, "fulltext").otherwise("rss_fallback"))
     none = spark.createDataFrame([], "url string, content_hash string")
     decided = dedup.insert_status(items.where("early is null"), none).withColumnRenamed("status", "fate")
     feeds = spark.createDataFrame([(i != 3,) for i in range(5)], "ok boolean")
-    return ingest.crawl_counters(feeds, decided.unionByName(items.where("early is not null").withColumn("fate", F.col("early"))))
+    return feeds, decided.unionByName(items.where("early is not null").withColumn("fate", F.col("early")))
+
+
+@query(SQL["crawl_counters"])
+def crawl_counters_observed(spark, sf_dir):
+    """crawl_counters, counted in the job that writes the new articles."""
+    feeds, items = crawled(spark, sf_dir)
+    counts = ingest.write_counted(items, scratch_path(spark, "articles"), F.col("fate") == "CREATED")
+    return ingest.feed_counts(feeds).crossJoin(ingest.counters(spark, counts))
 
 
 @query("""SELECT 'thanhnien' AS name, 'Thanh Niên' AS source UNION ALL SELECT 'tuoitre', 'Tuổi Trẻ'""")

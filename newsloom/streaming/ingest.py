@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from newsloom.functions.urls import content_hash, normalize_url
 from newsloom.operators import existence
 from newsloom.operators.dedup import insert_status
+from newsloom.operators.ingest import counters, write_counted
 from newsloom.session import list_path, materialize, scratch_scope
 
 SCHEMA = "url string, title string, content string, source string, published_at timestamp"
@@ -26,13 +27,15 @@ def unique_items(items: DataFrame, late: str = "1 day") -> DataFrame:
     return items.withColumn("url", normalize_url(F.col("url"))).withWatermark("published_at", late).dropDuplicatesWithinWatermark(["url"])
 
 
-def store_batches(path: str, index: str | None = None) -> Callable[[DataFrame, int], None]:
+def store_batches(path: str, index: str | None = None, status: str | None = None) -> Callable[[DataFrame, int], None]:
     """What a stream does with each batch: new articles are stored under the batch's number, so a batch that is repeated replaces itself.
 
     What is stored is looked up in the existence index (at path-known unless index is given), so a batch reads no history but the folders that its keys
-    need. A table without an index gets one. ValueError where batches of a later number are stored, which another checkpoint has written.
+    need. A table without an index gets one. What became of a batch's articles is counted in the job that writes them; the counts are a row for each batch at
+    path-status unless status is given. ValueError where batches of a later number are stored, which another checkpoint has written.
     """
     index = index or f"{path.rstrip('/')}-known"
+    status = status or f"{path.rstrip('/')}-status"
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -45,9 +48,10 @@ def store_batches(path: str, index: str | None = None) -> Callable[[DataFrame, i
                 existence.append(stored, index, number - 1, first=0)
             existence.merge(spark, index, number)
             rows = batch.withColumn("pos", F.struct("published_at", "url")).withColumn("content_hash", content_hash(F.col("title"), F.col("content")))
-            rows = materialize(rows, "items")
-            new = insert_status(rows, existence.known(rows, index, number)).where("status = 'CREATED'").drop("status", "pos")
-            new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            rows = materialize(rows, "items")  # a batch is computed once
+            decided = insert_status(rows, existence.known(rows, index, number)).withColumnRenamed("status", "fate").withColumn("content_source", F.lit("rss_fallback"))
+            counts = write_counted(decided, f"{path}/batch={number}", F.col("fate") == "CREATED", drop=("fate", "pos", "content_source"))
+            counters(spark, counts).write.mode("overwrite").parquet(f"{status}/batch={number}")
             existence.append(spark.read.schema(STORED).parquet(f"{path}/batch={number}"), index, number)
 
     return store

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.operators import existence, ingest
 from newsloom.operators.dedup import insert_status
@@ -135,5 +136,23 @@ def test_stream_batches(spark, tmp_path):
     store(items("a", "d", "e"), 2)
     got = sorted((r.url, r.batch) for r in spark.read.parquet(path).collect())
     assert got == [("http://a", 0), ("http://b", 0), ("http://c", 1), ("http://d", 1), ("http://e", 2)]
+    status = spark.read.parquet(path + "-status").orderBy("batch").collect()
+    assert [(r.batch, r.articles_parsed, r.articles_created, r.articles_duplicate) for r in status] == [(0, 2, 2, 0), (1, 3, 2, 1), (2, 3, 1, 2)]
+    assert set(spark.read.parquet(path).columns) == {"url", "title", "content", "source", "published_at", "content_hash", "batch"}
     with pytest.raises(ValueError):
         store(items("z"), 1)
+
+
+def test_counts_in_the_job_that_writes(spark, tmp_path):
+    """One job over the items writes what is kept and counts all; no items give zeros."""
+    kind = "id int, fate string, content_source string"
+    items = spark.createDataFrame([(1, "CREATED", "fulltext"), (2, "DUPLICATE_URL", "rss_fallback"), (3, "DATE", None), (4, "KNOWN", None), (5, "SKIPPED", "fulltext"), (6, None, None)], kind)
+    spark.sparkContext.setJobGroup("counted", "counted")
+    counts = ingest.write_counted(items, str(tmp_path / "a"), F.col("fate") == "CREATED")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("counted")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) == 1 and [r.id for r in spark.read.parquet(str(tmp_path / "a")).collect()] == [1]
+    assert tuple(counts[c] for c in ingest.ARTICLE_COUNTS) == (6, 1, 1, 2, 3, 1, 2, 1)
+    assert ingest.counters(spark, counts).first().asDict() == items.agg(*ingest.article_counts()).first().asDict()
+    for none in (items.where("id < 0"), items.where("false")):
+        assert not any(ingest.write_counted(none, str(tmp_path / "b"), F.col("fate") == "CREATED").values())
