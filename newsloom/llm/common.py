@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.session import bounded_batches  # noqa: F401
+
 #: Words of the contracts: runs without the ASCII space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -13,17 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
-    """Batches that go to Python hold at most about so many MB, however long the rows are.
-
-    The session's own bound stays if it is lower; a higher one is lowered, and stays so, since plans are run later than they are made.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    own = str(spark.conf.get(name, None) or -1)
-    if not own.isdigit() or not 0 < int(own) <= megabytes << 20:
-        spark.conf.set(name, megabytes << 20)
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
