@@ -1,7 +1,8 @@
 """Substring search through an inverted index of trigrams, instead of a scan of all values.
 
-The index is a stored table (bucket, gram, value), a folder for each bucket of grams, sorted by gram. A search reads the buckets of the
-trigrams that its pattern fixes, takes the values that have all of them, and verifies the pattern on these.
+The index is a stored table (bucket, gram, key), a folder for each bucket of grams, sorted by gram; a key is a value's hash, so that a value's trigrams
+don't repeat the value. A search reads the buckets of the trigrams that its pattern fixes, takes the keys that have all of them, and verifies the pattern on the rows with these;
+values that share a key are told apart there.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ SIZE, BUCKETS = 3, 64
 
 def grams(text: Column) -> Column:
     """The different runs of SIZE characters of text, in lower case; none if it is shorter."""
-    low = F.lower(text)
-    starts = F.sequence(F.lit(1), F.length(low) - SIZE + 1)
-    return F.when(F.length(low) >= SIZE, F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(SIZE))))).otherwise(F.array().cast("array<string>"))
+    chars = F.split(F.lower(text), "")  # a run is put together of its neighbours; a substring would be looked for from the text's start
+    size, runs = F.length(F.lower(text)), chars
+    for k in range(1, SIZE):
+        runs = F.zip_with(runs, F.slice(chars, k + 1, size), lambda a, b: F.concat(a, b))
+    return F.when(size >= SIZE, F.array_distinct(F.slice(runs, 1, size - SIZE + 1))).otherwise(F.array().cast("array<string>"))
 
 
 def bucket(gram: Column) -> Column:
@@ -28,8 +31,8 @@ def bucket(gram: Column) -> Column:
 def build(values: DataFrame, column: str, path: str | None = None) -> str:
     """Write the index of the different values of a column (nulls have none); the path that it is at."""
     path = path or scratch_path(values.sparkSession, "trigrams")
-    rows = values.select(F.col(column).alias("value")).where("value is not null").distinct()
-    rows = rows.select(F.explode(grams(F.col("value"))).alias("gram"), "value").withColumn("bucket", bucket(F.col("gram")))
+    rows = values.select(F.col(column).alias("value")).where("value is not null").distinct().withColumn("key", F.xxhash64("value"))
+    rows = rows.select(F.explode(grams(F.col("value"))).alias("gram"), "key").withColumn("bucket", bucket(F.col("gram")))
     # By a rebalance, Spark splits the bucket of a common gram into several tasks and files; a search reads all of a bucket's.
     rows = rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "gram")
     rows.write.partitionBy("bucket").mode("overwrite").parquet(path)
@@ -54,10 +57,10 @@ def fixed_grams(spark: SparkSession, pattern: str) -> list[tuple[int, str]]:
 
 
 def candidates(spark: SparkSession, path: str, wanted: list[tuple[int, str]]) -> DataFrame:
-    """(value): values with all wanted grams; only their buckets are read."""
-    schema = "gram string, value string, bucket int"
+    """(key): keys of values with all wanted grams, among others whose grams are so between values of one key; only their buckets are read."""
+    schema = "gram string, key long, bucket int"
     rows = spark.read.schema(schema).parquet(path).where(F.col("bucket").isin(sorted({b for b, _ in wanted})) & F.col("gram").isin([g for _, g in wanted]))
-    return rows.groupBy("value").agg(F.count("*").alias("k")).where(F.col("k") == len(wanted)).select("value")
+    return rows.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") >= len(wanted)).select("key")
 
 
 def search(values: DataFrame, column: str, pattern: str, path: str) -> DataFrame:
@@ -66,5 +69,5 @@ def search(values: DataFrame, column: str, pattern: str, path: str) -> DataFrame
     wanted = fixed_grams(values.sparkSession, pattern)
     if not wanted:
         return values.where(like)
-    found = candidates(values.sparkSession, path, wanted).where(F.col("value").ilike(pattern)).withColumnRenamed("value", "_value")
-    return values.join(found, F.col(column) == F.col("_value"), "left_semi")
+    found = candidates(values.sparkSession, path, wanted).withColumnRenamed("key", "_key")
+    return values.join(found, F.xxhash64(column) == F.col("_key"), "left_semi").where(like)
