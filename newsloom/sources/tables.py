@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import scores
+from newsloom.operators import grams
 from newsloom.session import is_written, materialize, release, written
 
 #: Where stored tables are, by application, folder and parameters.
@@ -33,23 +38,42 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(news_id, keyword, frequency): tokens of at least five characters. Documents are dealt by identifier first, so the counts need no shuffle of tokens."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "text").repartition(F.col("doc_id"))
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    return d.select(F.col("doc_id").alias("news_id"), words.alias("keyword")).where("length(keyword) >= 5").groupBy("news_id", "keyword").agg(F.count("*").alias("frequency"))
-
-
 def make_keyword_occurrences(spark: SparkSession, sf_dir: str, per_article: int = 10) -> DataFrame:
-    """The best keywords of each document by TF-IDF: a top-k for each article."""
-    t = materialize(document_tokens(spark, sf_dir), "tokens")
-    n = read(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
-    df = t.groupBy("keyword").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where("df <= 0.9D * n")
-    scored = t.join(df, "keyword").withColumn("final_score", F.round(scores.tf(F.col("frequency")) * scores.idf(F.col("n"), F.col("df")), 9))
+    """The best keywords of each document by TF-IDF, of tokens of at least five characters.
+
+    Blocks of documents get their tokens' document frequencies (operators/grams.py) and hand on only what can be among a document's best, so that neither a
+    join nor a window has a row for each token.
+    """
+    d = read(spark, sf_dir, "documents")
+    n, buckets = d.count(), grams.buckets_of(d, "text")
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) >= 5)
+    blocks = materialize(grams.packed_blocks(grams.dealt(d, buckets, "doc_id", "text", {grams.WRITTEN: words})), "blocks")
+
+    def best(block: grams.Block, sums: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        (_, at, gram, first), df = next(block.levels()), sums[0]
+        pair, tf = np.unique(block.doc[at] * len(first) + gram, return_counts=True)
+        kept = df[pair % max(1, len(first))] <= 0.9 * n
+        pair, tf = pair[kept], tf[kept]
+        doc, gram = pair // max(1, len(first)), pair % max(1, len(first))
+        score = (1 + np.log(tf)) * (np.log((1.0 + n) / (1.0 + df[gram])) + 1)
+        order = np.lexsort((gram, -score, doc))
+        doc, gram, tf, score = doc[order], gram[order], tf[order], score[order]
+        starts = np.flatnonzero(np.diff(doc, prepend=-1))
+        sizes = np.diff([*starts, len(doc)])
+        least = np.repeat(score[starts + np.minimum(sizes, per_article) - 1], sizes) if len(doc) else score
+        # Scores are rounded to 9 places before they are ranked. Of equal scores, only the first keywords can be among the best.
+        like = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(score, prepend=-1) != 0))
+        place = np.arange(len(doc)) - np.repeat(like, np.diff([*like, len(doc)]))
+        kept = (score >= least - 1e-8) & (place < per_article)
+        gram = gram[kept]
+        yield from grams.in_pieces([block.ids.take(pa.array(doc[kept])), block.spelt(1, first).take(pa.array(gram)), pa.array(tf[kept]), pa.array(df[gram])], ["news_id", "keyword", "frequency", "df"])
+
+    found = grams.met(blocks, [grams.WRITTEN], buckets, ["df"], best, f"news_id {dict(d.dtypes)['doc_id']}, keyword string, frequency long, df long", longest=1)
+    scored = found.withColumn("final_score", F.round(scores.tf(F.col("frequency")) * scores.idf(F.lit(n), F.col("df")), 9))
     rank = F.row_number().over(Window.partitionBy("news_id").orderBy(F.desc("final_score"), "keyword"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= per_article)
-    out = materialize(best.select("news_id", "keyword", F.col("keyword").alias("display_keyword"), "frequency", "final_score"), "keyword-occurrences")
-    release(t)
+    rows = scored.withColumn("rank", rank).where(F.col("rank") <= per_article)
+    out = materialize(rows.select("news_id", "keyword", F.col("keyword").alias("display_keyword"), "frequency", "final_score"), "keyword-occurrences")
+    release(blocks)
     return out
 
 

@@ -47,3 +47,16 @@ def test_no_shuffle_has_a_row_for_an_n_gram(docs):
         dealt = re.findall(r"hashpartitioning\((\w+)#", plan(df))
         assert {*dealt} <= {"id", "block"}, dealt
         assert "Window" not in plan(df)
+
+
+def test_stored_keywords_break_ties_as_sorted(spark, tmp_path):
+    """Many equal scores, and a repeated word; no window or join sees all of a document's words."""
+    from newsloom.sources import tables
+
+    texts = [" ".join(f"word{i:04d}" for i in range(k, 900 + k)) + " twice twice" * (k % 2) for k in range(4)] + ["", None, "four"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {i: sorted((r for r in tables.make_keyword_occurrences(spark, str(tmp_path)).collect() if r.news_id == i), key=lambda r: (-r.final_score, r.keyword)) for i in range(7)}
+    assert [r.keyword for r in rows[0]] == ["word0000", *(f"word{i:04d}" for i in range(1, 10))]
+    assert rows[1][0].keyword == "twice" and rows[1][0].frequency == 2 and len(rows[1]) == 10
+    assert [r.keyword for r in rows[3]][:2] == ["twice", "word0902"] and not rows[4] and not rows[6]
