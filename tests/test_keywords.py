@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 from urllib.parse import parse_qsl, quote, urlencode, urlsplit
@@ -179,3 +180,24 @@ def test_addresses(spark):
     got = {r.u: r.n for r in spark.createDataFrame([(u,) for u in made], "u string").select("u", urls.normalize_url(F.col("u")).alias("n")).collect()}
     wrong = [(u, got[u], plain_url(u)) for u in made if got[u] != plain_url(u)]
     assert not wrong, wrong[:5]
+
+
+def test_best_candidates_are_all_among_those_left(spark):
+    """What a block leaves out is none of a document's best, ties included, whatever the last digits of a score are."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("Aa b C d ee f2 g 7 và".split()) for _ in range(rng.choice([0, 3, 40, 90]))), "b C d") for i in range(30)], "id int, text string, title string")
+    every, some = keywords.scored(docs).collect(), keywords.scored(docs, best=5).collect()
+    assert {*some} < {*every}
+    for i in range(30):
+        own = sorted(r.score for r in every if r.id == i)
+        assert {r for r in every if r.id == i and r.score >= own[-5:][0]} <= {*some}
+    assert keywords.leading(keywords.np.array([0, 1, 0, 0]), keywords.np.array([3.0, 0.1, 1.0, 3.0 - 1e-12]), 1).tolist() == [True, True, False, True]
+
+
+def test_long_lists_of_phrases_are_reduced_by_lookup():
+    """Phrases that share a word with all others; comparing each with all chosen ones took minutes."""
+    rows = [{"display": f"x a{i} b{i}", "key": f"x a{i} b{i}", "score": 1.0, "freq": 1} for i in range(8000)] + [{"display": "a5 b5", "key": "a5 b5", "score": 1.2, "freq": 1}, {"display": "b7 a7 x", "key": "b7", "score": 1.0, "freq": 1}]
+    began = time.process_time()
+    best = [rows[i]["display"] for i in keywords.reduce_phrases(rows, 9000)]
+    assert time.process_time() - began < 5
+    assert len(best) == 8000 and "a5 b5" not in best and best.count("x a5 b5") == 1 and ("b7 a7 x" in best) + ("x a7 b7" in best) == 1
