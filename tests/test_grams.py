@@ -1,5 +1,6 @@
 """N-grams by blocks: any number of adding tasks, repeated identifiers, and plans in which no n-gram is a row of a shuffle."""
 
+import random
 import re
 from collections import Counter
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import lower_tokens, raw_tokens
 from newsloom.operators import grams, keywords
+from newsloom.session import materialize
 
 ROWS = [(1, "a b a_b c a b"), (2, "B a b"), (2, "x b a b"), (3, ""), (4, None), (5, " ..."), (6, "e"), (7, "b a B a b a b c d e f"), (None, "a b"), (None, "c a b")]
 
@@ -60,3 +62,55 @@ def test_stored_keywords_break_ties_as_sorted(spark, tmp_path):
     assert [r.keyword for r in rows[0]] == ["word0000", *(f"word{i:04d}" for i in range(1, 10))]
     assert rows[1][0].keyword == "twice" and rows[1][0].frequency == 2 and len(rows[1]) == 10
     assert [r.keyword for r in rows[3]][:2] == ["twice", "word0902"] and not rows[4] and not rows[6]
+
+
+def near(rows):
+    return {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows}
+
+
+def test_many_blocks_give_what_one_gives(spark, monkeypatch):
+    """Passages that some blocks share, and n-grams of one block alone whose words all blocks have."""
+    rng = random.Random(4)
+    said = [" ".join(rng.choice("a b c d E f1 g_h".split()) for _ in range(9)) for _ in range(5)]
+    docs = [(i, " ".join(rng.choice([*said, "b", f"w{rng.randint(0, 60)}", "a c a"]) for _ in range(rng.randint(0, 12))), rng.choice(["a b", "w1", None])) for i in range(80)]
+    docs = spark.createDataFrame(docs, "id int, text string, title string")
+    ways = [keywords.tfidf, keywords.phrase_pmi, keywords.scored]
+    one = [f(docs).collect() for f in ways]
+    monkeypatch.setattr(grams, "buckets_of", lambda docs, text: 7)
+    for f, want in zip(ways, one, strict=True):
+        got = f(docs).collect()
+        assert len(got) == len(want) and near(got) == near(want)
+
+
+def test_longer_grams_of_one_block_alone_are_not_sent(spark):
+    """Each of three tasks has a block; all have one passage and a text of words in an order of its own."""
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, f"p q r s t u. {' '.join(random.Random(i).sample(words, 40))}") for i in range(3)]
+    docs = spark.createDataFrame(docs, "id int, text string")
+    rows = docs.repartitionByRange(3, "id").sortWithinPartitions("id").select("id", lower_tokens(F.col("text")).alias(grams.LOW))
+    blocks = materialize(grams.packed_blocks(rows), "blocks")
+    assert blocks.count() == 3
+    asked = []
+
+    def sent(rows, names, buckets, counted, rounds, known=None):
+        out = real(rows, names, buckets, counted, rounds, known)
+        asked.append(sum(grams.opened(bytes(r.data), 2)[0][0].size for r in out.collect()))
+        return out
+
+    real, grams.sent = grams.sent, sent
+    try:
+        got = grams.met(blocks, [grams.LOW], 3, ["count"], lambda block, sums: iter([grams.pa.RecordBatch.from_arrays([grams.pa.array(sums[0])], ["c"])]), "c long").collect()
+    finally:
+        grams.sent = real
+    assert len(got) == 3 * (46 + 45 + 44 + 43 + 42) and asked[0] == 3 * (46 + 45)
+    assert 3 * 4 <= asked[1] <= 3 * 12 and 3 * (3 + 2) <= asked[2] <= 3 * 12, asked
+    assert Counter(r.c for r in got)[3] >= 3 * (46 + 5 + 4 + 3 + 2)
+
+
+def test_written_tables_leave_no_shuffle(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = blocks.getAllBlocks().size()
+    found = materialize(spark.range(1000).repartition(4, "id"), "t")
+    assert blocks.getAllBlocks().size() <= before
+    assert found.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
