@@ -114,3 +114,12 @@ def test_written_tables_leave_no_shuffle(spark):
     assert blocks.getAllBlocks().size() <= before
     assert found.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_batches_to_python_are_small(spark):
+    from newsloom.session import bounded_batches
+
+    bounded_batches(spark)
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("text"))
+    sizes = [r.b for r in rows.mapInArrow(lambda bs: (grams.pa.RecordBatch.from_arrays([grams.pa.array([b.nbytes])], ["b"]) for b in bs), "b long").collect()]
+    assert sum(sizes) >= 15_000_000 and max(sizes) <= 5 << 20
