@@ -14,6 +14,10 @@ instead, which joins a large group of near copies without its square of pairs, a
 rather than being similar. Its sets meet at their rarest shingles instead, exactly: the COMMON commonest shingles come last, and two similar sets have one of the first n // 5 + 1 in common. How
 common a shingle is decides how many pairs are met, never which are found. A set that has more than a fifth of its shingles alone is similar to no other of them.
 
+Groups that are crowded still are split by what their sets differ in from the group's leader. The sets S and T differ in what either's difference from the leader has and the other's lacks, so if they are similar
+and not both linked with the leader, much of these differences is common; they meet at the rarest parts of them. Near copies of one text that are just under the similarity, each changed
+in places of its own, share nearly all shingles but few differences, so they no longer make the square of their number.
+
 Cases: a null text has no words; sets without shingles are empty and linked with nothing, not with each other either; null identifiers belong to their group, whose id is the least that is not
 null, and a group of null identifiers alone has the id null, of which all rows are kept; repeated rows are one set; an empty table gives none; other columns are ignored.
 """
@@ -24,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import bounded_batches
@@ -108,7 +113,7 @@ def likely(left: str, right: str) -> Column:
 
 
 def rarest(sets: DataFrame, known: np.ndarray, often: np.ndarray) -> DataFrame:
-    """sets (fp, own, bits) with first instead of bits: the n // 5 + 1 that are first in the order of their counts; known (sorted) are often, and others 0."""
+    """sets (fp, own, bits) with n and first instead of bits: the n // 5 + 1 that are first in the order of their counts; known (sorted) are often, and others 0."""
     known, often = (known, often) if len(known) else (np.zeros(1, np.int64), np.zeros(1, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +122,18 @@ def rarest(sets: DataFrame, known: np.ndarray, often: np.ndarray) -> DataFrame:
             for bits in (x.values.to_numpy() for x in b.column("bits")):
                 at = np.minimum(np.searchsorted(known, bits), len(known) - 1)
                 first.append(bits[np.argsort(np.where(known[at] == bits, often[at], 0), kind="stable")[: len(bits) // 5 + 1]])
-            yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("own"), lists(first, np.int64)], ["fp", "own", "first"])
+            n = pc.cast(pc.list_value_length(b.column("bits")), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("own"), n, lists(first, np.int64)], ["fp", "own", "n", "first"])
 
-    return sets.select("fp", "own", "bits").mapInArrow(run, "fp long, own long, first array<long>")
+    return sets.select("fp", "own", "bits").mapInArrow(run, "fp long, own long, n long, first array<long>")
 
 
 class Search:
-    """rows (g, w, fp, own, n): the sets of a group meet, which counts as w bands; own of a set's n shingles are in no other set of such groups. sets: what is known of each set, and its component."""
+    """rows (g, w, fp, rest, x): the sets of a group meet, which counts as w bands. sets: what is known of each set, and its component.
+
+    Two sets of a group are similar only if 18 * (what they have in common) is x of one and x of the other or more: 8 n of a set of n shingles, and
+    9 d - n where it is its d differences from a leader that meet. They meet at the first that they have in common, from which on rest may be in common.
+    """
 
     def __init__(self, prints: DataFrame, docs: DataFrame, words: int, id_column: str):
         self.docs, self.words, self.id_column = docs, words, id_column
@@ -132,15 +142,15 @@ class Search:
         self.sets = materialize(sets.withColumn("component", F.col("fp")), "sets")
         # A set of three shingles or fewer is similar to no other; nor do sets meet in a band that is empty in both.
         bands = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.get("regs", i) != 0)
-        rows = self.sets.where("n > 3").select("fp", "regs", F.explode(bands).alias("band"))
-        self.rows = self.shared(rows.select(F.xxhash64("band", F.get("regs", F.col("band"))).alias("g"), F.lit(1).alias("w"), "fp", F.lit(0).cast("long").alias("own")))
+        rows = self.sets.where("n > 3").select("fp", "n", "regs", F.explode(bands).alias("band"))
+        self.rows = self.shared(rows.select(F.xxhash64("band", F.get("regs", F.col("band"))).alias("g"), F.lit(1).alias("w"), "fp", F.col("n").alias("rest"), (F.col("n") * 8).alias("x")))
 
     def shared(self, rows: DataFrame) -> DataFrame:
         """rows of which a group's sets lie in several components."""
-        found = materialize(rows.distinct(), "bands")  # (g, w, fp, own)
+        found = materialize(rows.distinct(), "bands")
         several = found.join(self.sets.select("fp", "component"), "fp").groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         several = materialize(several.where("low <> high").select("g"), "several")
-        out = materialize(found.join(several, "g").join(self.sets.select("fp", "n"), "fp").select("g", "w", "fp", "own", "n"), "rows")
+        out = materialize(found.join(several, "g").select("g", "w", "fp", "rest", "x"), "rows")
         release(found, several)
         return out
 
@@ -172,14 +182,23 @@ class Search:
         ends = pairs.join(tagged(self.sets.select("fp", "n", "regs", "component"), "l"), F.col("left") == F.col("l_fp"))
         ends = ends.join(tagged(self.sets.select("fp", "n", "regs", "component"), "r"), F.col("right") == F.col("r_fp"))
         pairs = materialize(ends.where((F.col("l.component") != F.col("r.component")) & likely("l", "r")).select("left", "right"), "met")
+        both, bits = self.both(pairs)
+        a, b = F.size("b_left"), F.size("b_right")
+        found = materialize(both.where(alike(a, b, a + b - F.size(F.array_intersect("b_left", "b_right")) * 2)).select("left", "right"), "similar")
+        release(pairs, bits)
+        self.link(found)
+        release(found)
+
+    def both(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(left, right, b_left, b_right) of pairs (left, right), and the table of the sets that these are made of."""
         bits = self.bits(pairs.select(F.explode(F.array("left", "right")).alias("fp")).distinct())
         few = F.broadcast if pairs.count() <= FEW else lambda df: df  # noqa: E731  # a short list spares the sets a shuffle
         found = bits.select(F.col("fp").alias("right"), F.col("bits").alias("b_right")).join(few(pairs), "right")
         lefts = bits.join(few(pairs.select(F.col("left").alias("fp")).distinct()), "fp", "left_semi")
-        found = found.join(lefts.select(F.col("fp").alias("left"), F.col("bits").alias("b_left")), "left")
-        a, b = F.size("b_left"), F.size("b_right")
-        found = materialize(found.where(alike(a, b, a + b - F.size(F.array_intersect("b_left", "b_right")) * 2)).select("left", "right"), "similar")
-        release(pairs, bits)
+        return found.join(lefts.select(F.col("fp").alias("left"), F.col("bits").alias("b_left")), "left"), bits
+
+    def link(self, found: DataFrame) -> None:
+        """Join the components of similar pairs (left, right)."""
         if not found.isEmpty():
             of = self.sets.select("fp", "component")
             links = found.join(of.withColumnsRenamed({"fp": "left", "component": "a"}), "left").join(of.withColumnsRenamed({"fp": "right", "component": "b"}), "right")
@@ -188,19 +207,24 @@ class Search:
             sets = old.join(labels.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left")
             self.sets = materialize(sets.withColumn("component", F.coalesce("joined", "component")).drop("joined"), "sets")
             release(old, labels)
-        release(found)
 
-    def lead(self, turn: int) -> None:
-        """Compare each set with one leader of its groups; the set that is in most groups leads first, then any."""
+    def leaders(self, rows: DataFrame, turn: int = 0) -> DataFrame:
+        """(g, rank, top, m): each group's leader, and its x there."""
         most = F.shiftleft(F.least(F.count("*"), F.lit(127)), 56).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << 56) - 1)))  # one leader for all groups that tie
-        ranks = materialize(self.rows.groupBy("fp", "n").agg((F.xxhash64("fp", F.lit(turn)) if turn else most).alias("rank")), "ranks")
-        lead = self.rows.join(ranks.select("fp", "rank"), "fp").groupBy("g").agg(F.max(F.struct("rank", F.col("fp").alias("top"), F.col("n").alias("m"))).alias("top"))
+        ranks = materialize(rows.groupBy("fp").agg((F.xxhash64(F.col("fp"), F.lit(turn)) if turn else most).alias("rank")), "ranks")
+        lead = rows.join(ranks, "fp").groupBy("g").agg(F.max(F.struct("rank", F.col("fp").alias("top"), F.col("x").alias("m"))).alias("top"))
         lead = materialize(lead.select("g", "top.*"), "leaders")
-        met = self.rows.join(lead, "g").where((F.col("fp") != F.col("top")) & alike(F.col("n"), F.col("m"), F.abs(F.col("n") - F.col("m"))))
+        release(ranks)
+        return lead
+
+    def lead(self, turn: int) -> None:
+        """Compare each set with one leader of its groups; the set that is in most groups leads first, then any."""
+        lead = self.leaders(self.rows, turn)
+        met = self.rows.join(lead, "g").where((F.col("fp") != F.col("top")) & alike(F.col("x"), F.col("m"), F.abs(F.col("x") - F.col("m"))))  # x is 8 n here
         self.confirm(met.groupBy(F.col("fp").alias("right")).agg(F.max_by("top", "rank").alias("left")).select("left", "right"))
         old = self.rows
-        self.rows = self.shared(old.drop("n"))
-        release(old, lead, ranks)
+        self.rows = self.shared(old)
+        release(old, lead)
 
     def refine(self) -> None:
         """The sets of crowded groups meet at their rarest shingles."""
@@ -213,36 +237,70 @@ class Search:
         able = bits.join(own, "fp", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(F.col("own") * 5 <= F.size("bits"))
         first = rarest(able, np.array([b for b, _ in common], np.int64), np.array([k for _, k in common], np.int64))
         old = self.rows
-        first = first.select(F.explode("first").alias("g"), F.lit(AGREE).alias("w"), "fp", "own")
-        self.rows = self.shared(old.drop("n").join(crowded, "g", "left_anti").unionByName(first))
+        first = first.select("fp", "own", "n", F.posexplode("first").alias("at", "g"))
+        first = first.select("g", F.lit(AGREE).alias("w"), "fp", (F.col("n") - F.greatest("at", "own")).alias("rest"), (F.col("n") * 8).alias("x"))
+        self.rows = self.shared(old.join(crowded, "g", "left_anti").unionByName(first))
         release(old, crowded, bits, each)
 
+    def split(self) -> bool:
+        """The sets of groups that are crowded still are compared with the groups' leaders and meet at their rarest differences from these; whether that left fewer pairs by a quarter or more, and is kept."""
+        crowded = materialize(self.crowds().where(F.col("pairs") > PAIRS * F.col("n")), "crowded")
+        before = crowded.agg(F.sum("pairs")).first()[0]
+        if not before:
+            release(crowded)
+            return False
+        members = materialize(self.rows.join(crowded.select("g"), "g"), "members")
+        lead = self.leaders(members)
+        pairs = materialize(members.join(lead, "g").where("fp <> top").select(F.col("top").alias("left"), F.col("fp").alias("right")).distinct(), "met")
+        both, bits = self.both(pairs)
+        d = F.concat(F.array_except("b_left", "b_right"), F.array_except("b_right", "b_left"))
+        differ = both.select("left", "right", F.size("b_left").cast("long").alias("m"), F.size("b_right").cast("long").alias("n"), d.alias("d"))
+        differ = materialize(differ.withColumn("x", F.size("d") * 9 - F.col("n")).drop("n"), "differ")  # similar to the leader: x <= m
+        self.link(differ.where("x <= m").select("left", "right"))
+        # The partner of a set that is similar to the leader is not, or they are linked.
+        low = differ.groupBy("left").agg(F.min("x").alias("least"), F.min(F.when(F.col("x") > F.col("m"), F.col("x"))).alias("far"))
+        low = materialize(low, "low")
+        of = F.when(F.col("x") > F.col("m"), F.col("least")).otherwise(F.col("far")).alias("low")
+        each = differ.join(low, "left").select("left", F.col("right").alias("fp"), "x", F.size("d").alias("all"), of, F.explode("d").alias("d"))
+        each = materialize(each.where("low is not null").select(F.xxhash64("left", "d").alias("g"), "left", "fp", "x", "all", "low"), "each")
+        counts = materialize(each.groupBy("g").agg(F.count("*").alias("k")), "counts")
+        at = F.row_number().over(Window.partitionBy("left", "fp").orderBy("k", "g")) - 1
+        met = each.join(counts, "g").select("g", "k", "fp", "x", "low", (F.col("all") - at).cast("long").alias("rest"))
+        met = met.where("k > 1 and 18 * rest >= x + low").select("g", F.lit(AGREE).alias("w"), "fp", "rest", "x")
+        found = self.shared(met)
+        old, self.rows = self.rows, found
+        kept = 4 * self.pairs() <= 3 * before
+        if kept:
+            self.rows = materialize(old.join(crowded.select("g"), "g", "left_anti").unionByName(found), "rows")
+        else:
+            self.rows, old = old, None
+        release(old, found, crowded, members, lead, pairs, bits, differ, low, each, counts)
+        return kept
+
     def pairs(self) -> int:
         return int(self.crowds().agg(F.sum("pairs")).first()[0] or 0)
 
     def run(self) -> None:
-        left, refined, turn = self.pairs(), False, 0
+        left, turn = self.pairs(), 0
         while left > PAIRS * self.rows.count():
             self.lead(turn)
             left, before, turn = self.pairs(), left, turn + 1
             if 4 * left > 3 * before:
-                if refined:
-                    break
                 self.refine()
-                left, refined = self.pairs(), True
+                break
+        while self.split() and self.pairs() > PAIRS * self.rows.count():
+            pass
         known = materialize(self.rows.join(self.sets.select("fp", "component"), "fp"), "known")
-        bands = F.when(F.least("a.n", "b.n") < SHORT, AGREE).otherwise(F.col("a.w"))
+        bands = F.when(F.least("a.x", "b.x") < 8 * SHORT, AGREE).otherwise(F.col("a.w"))  # x is 8 n in bands
         met = meeting(known, bands).groupBy("left", "right").agg(F.sum("bands").alias("bands"))
         self.confirm(met.where(F.col("bands") >= AGREE).select("left", "right"))
         release(known, self.rows)
 
 
 def meeting(rows: DataFrame, bands: Column) -> DataFrame:
-    """(left, right, bands): pairs of rows of a group, in different components, whose sizes and shingles of their own allow the similarity."""
+    """(left, right, bands): pairs of rows of a group, in different components, that may have as much in common as the similarity needs."""
     a, b = rows.alias("a"), rows.alias("b")
-    n, m = F.col("a.n"), F.col("b.n")
-    most = F.least(n - F.col("a.own"), m - F.col("b.own"))  # shingles in common
-    met = (F.col("a.g") == F.col("b.g")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.component") != F.col("b.component")) & alike(n, m, F.abs(n - m)) & (most * 9 >= (n + m) * 4)
+    met = (F.col("a.g") == F.col("b.g")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.component") != F.col("b.component")) & (F.least("a.rest", "b.rest") * 18 >= F.col("a.x") + F.col("b.x"))
     return a.join(b, met).select(F.col("a.fp").alias("left"), F.col("b.fp").alias("right"), bands.alias("bands"))
 
 

@@ -875,6 +875,33 @@ def test_hyper_minhash(spark, docs, empty, crowded, monkeypatch):
         assert hyper_minhash.near_duplicates(empty).count() == 0
 
 
+def test_hyper_minhash_crowd_just_under(spark, monkeypatch):
+    """Copies of one text, changed in places of their own, are less similar to it and each other than is looked for; few of their pairs are compared, and those that share changes are found."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+
+    def changed(words, times):
+        words = list(words)
+        for at in rng.sample(range(150), times):
+            words[at] = f"y{rng.randint(0, 1)}"
+        return words
+
+    copies = [changed(base, rng.randint(6, 8)) for _ in range(240)]
+    copies += [changed(c, 1) for c in copies[::8]] + [changed(base, rng.randint(1, 3)) for _ in range(20)]
+    plain = [(7 * i, " ".join(c)) for i, c in enumerate(copies)]
+    made, real = [], hyper_minhash.meeting
+
+    def meeting(rows, bands):
+        made.append(real(rows, bands).count())
+        return real(rows, bands)
+
+    monkeypatch.setattr(hyper_minhash, "meeting", meeting)
+    want = [(i, n, c, i == c) for i, n, c in plain_components(plain)]
+    same(hyper_minhash.near_duplicates(spark.createDataFrame(plain, "doc_id long, text string")).collect(), want)
+    assert 100 < len({c for _, _, c, _ in want}) < 240
+    assert made[0] < len(plain) ** 2 / 2  # rows, of which a pair may have several
+
+
 def registers(bits):
     return hyper_minhash.sketch(bits).view(np.uint16)
 
