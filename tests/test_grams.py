@@ -123,3 +123,28 @@ def test_batches_to_python_are_small(spark):
     rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("text"))
     sizes = [r.b for r in rows.mapInArrow(lambda bs: (grams.pa.RecordBatch.from_arrays([grams.pa.array([b.nbytes])], ["b"]) for b in bs), "b long").collect()]
     assert sum(sizes) >= 15_000_000 and max(sizes) <= 5 << 20
+
+
+def test_a_tasks_text_is_sent_in_one_block(spark):
+    """Rows of the shuffle are blocks times tasks that add up: one task's 600,000 words go to seven in seven rows."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(300_000)), lambda x: F.concat(F.lit("w"), (x * (F.col("id") + 1) % 1000).cast("string")))
+    rows = spark.range(0, 2, 1, 1).select("id", words.alias(grams.WRITTEN))
+    assert grams.sent(rows, [grams.WRITTEN], 7, ["df"], [(1, 1)]).count() == 7
+    got = {r.gram: r.df for r in grams.summed(rows, 7, "df", 1, lengths=False).collect()}
+    assert got == {f"w{i}": 2 - i % 2 for i in range(1000)}
+
+
+def test_long_and_equally_long_words(spark):
+    texts = [f"{'a' * 300} {'b' * 300} {'a' * 300} c", f"{'b' * 300} {'a' * 299} {'a' * 300}", "aa bb aa bb"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", F.split("text", " ").alias(grams.WRITTEN)).repartition(3)
+    got = grams.summed(rows, 3, "df").collect()
+    want = Counter(g for _, g in {(i, g) for i, t in enumerate(texts) for g in runs(t.split())})
+    assert {r.gram: r.df for r in got} == want and len(got) == len(want) and all(r.n == len(r.gram.split()) for r in got)
+
+
+@pytest.mark.parametrize("most", [10, 1 << 40, (1 << 63) - 1])
+def test_numbers_in_order(most):
+    rng = grams.np.random.default_rng(1)
+    for numbers in (rng.integers(0, most, 3000), rng.integers(most - 3, most, 3000), grams.np.empty(0, grams.np.int64)):
+        order, of = grams.in_order(numbers, most)
+        assert (order == grams.np.argsort(numbers, kind="stable")).all() and (of == numbers[order]).all()
