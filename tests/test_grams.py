@@ -148,3 +148,24 @@ def test_numbers_in_order(most):
     for numbers in (rng.integers(0, most, 3000), rng.integers(most - 3, most, 3000), grams.np.empty(0, grams.np.int64)):
         order, of = grams.in_order(numbers, most)
         assert (order == grams.np.argsort(numbers, kind="stable")).all() and (of == numbers[order]).all()
+
+
+def test_longer_grams_are_sent_as_their_last_word(spark):
+    """Two documents of 20,000 words each, dealt in one block; whole n-grams took some 12 bytes each."""
+    rng = random.Random(2)
+    texts = [" ".join(f"word{rng.randrange(300)}" for _ in range(20_000)) for _ in range(2)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1).select("id", F.split("text", " ").alias(grams.WRITTEN))
+    sent = [bytes(r.data) for r in grams.sent(rows, [grams.WRITTEN], 3, ["df"], [(1, 5)]).collect()]
+    found = sum(grams.opened(d, 2)[0][0].size for d in sent)
+    assert found > 150_000 and sum(map(len, sent)) < 3 * found
+    got = {r.gram: r.df for r in grams.summed(rows, 3, "df").collect()}
+    assert got == Counter(g for t in texts for g in {*runs(t.split())}) and len(got) < found + 1
+
+
+def test_sums_stand_beside_those_that_go_on_from_them(spark):
+    """Parquet packs them well so: a row of four or five words follows one that it starts with, or one that starts as it does."""
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghijkl") for _ in range(300))) for i in range(4)], "id int, text string").select("id", F.split("text", " ").alias(grams.LOW))
+    found = [r.gram.split() for r in grams.summed(rows, 1, "count").collect()]
+    pairs = [(a, b) for a, b in zip(found, found[1:]) if len(b) > 3]
+    assert len(pairs) > 1000 and all(a[:3] == b[:3] for a, b in pairs)
