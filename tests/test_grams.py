@@ -169,3 +169,12 @@ def test_sums_stand_beside_those_that_go_on_from_them(spark):
     found = [r.gram.split() for r in grams.summed(rows, 1, "count").collect()]
     pairs = [(a, b) for a, b in zip(found, found[1:]) if len(b) > 3]
     assert len(pairs) > 1000 and all(a[:3] == b[:3] for a, b in pairs)
+
+
+def test_candidates_stand_as_in_the_text(spark):
+    """Parquet packs them well so: a document's candidates come by their first place, each before those that go on from it."""
+    docs = spark.createDataFrame([(i, " ".join(f"Word{(7 * i + j) % 50}" for j in range(50))) for i in range(3)], "id int, text string")
+    rows = keywords.candidates(docs).collect()
+    by = {i: [r.key.split() for r in rows if r.id == i] for i in range(3)}
+    want = [[f"word{(7 * i + j + k) % 50}" for k in range(n)] for i in range(3) for j in range(50) for n in range(1, 6) if j + n <= 50]
+    assert [k for i in range(3) for k in by[i]] == want and all(r.display == r.key.title() and r.n == len(r.key.split()) for r in rows)
