@@ -178,3 +178,27 @@ def test_candidates_stand_as_in_the_text(spark):
     by = {i: [r.key.split() for r in rows if r.id == i] for i in range(3)}
     want = [[f"word{(7 * i + j + k) % 50}" for k in range(n)] for i in range(3) for j in range(50) for n in range(1, 6) if j + n <= 50]
     assert [k for i in range(3) for k in by[i]] == want and all(r.display == r.key.title() and r.n == len(r.key.split()) for r in rows)
+
+
+def test_a_block_goes_when_it_is_done(spark):
+    """A worker held every block that it had made until a full collection of garbage."""
+    import gc
+    import weakref
+
+    words = grams.pa.array([["a", "b", "a", "b", "c"], ["b", "c"]])
+    gc.disable()
+    try:
+        block = grams.Block.made(grams.pa.array([1, 2]), grams.np.arange(2), {grams.LOW: words})
+        assert [len(first) for *_, first in block.levels()] == [3, 3, 3, 2, 1]
+        held = weakref.ref(block)
+        del block
+        assert held() is None
+    finally:
+        gc.enable()
+
+
+def test_keywords_are_picked_in_their_block(docs):
+    """One Python stage makes candidates and picks keywords: no second one beside it, with workers of its own and rows for each candidate."""
+    df = keywords.extract(docs)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r.id, r.key, r.score) for r in df.collect()} < {(r.id, r.key, r.score) for r in keywords.scored(docs).collect()}
